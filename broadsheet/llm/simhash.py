@@ -8,10 +8,10 @@ and looks under the second with one of its zero bits set: each pair that passes
 chain meets exactly once for that chain. What meets is checked link by link up to the whole ring, whose
 budget is the full Hamming distance. Copies are one fingerprint throughout.
 
-A key that holds more than HOT_ROWS rows is not compared in one task: its rows go on to another level whose
-keys hold the chain's next segment as well, with all changes its budget allows, and so on. Nothing is
-capped. Links are thinned to spanning trees in every task before they are shuffled, and joined to
-components by Spark.
+A key that holds more than HOT_ROWS rows is not compared in one task: its rows are dealt into blocks of about
+that size, and every pair of blocks is a task of its own, which takes the full Hamming distance at once.
+Nothing is capped; what is sent grows with the number of blocks of a key, what is compared with its square. Links
+are thinned to spanning trees in every task before they are shuffled, and joined to components by Spark.
 
 Words are runs of characters other than U+0020 and U+0009 to U+000D, A-Z in lower case. A text with fewer
 words than a shingle is one shingle; a text without words (null and empty ones too) has fingerprint zero,
@@ -151,28 +151,6 @@ def listed(ring: Ring):
     return go
 
 
-def relisted(ring: Ring, level: int):
-    """Rows of hot keys to the rows of the next level, whose keys hold segment ``level`` of the chain too."""
-
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for at in range(0, len(whole), 1024):
-                pdf = whole.iloc[at : at + 1024]
-                w = np.column_stack([pdf[f"w{k}"].to_numpy(np.int64).view(np.uint64) for k in range(ring.words)])
-                key, table, side, spent = pdf["key"].to_numpy(np.int64).view(np.uint64), pdf["tbl"].to_numpy(np.int64), pdf["side"].to_numpy(), pdf["spent"].to_numpy(np.int64)
-                seg, parts = ring.segment(w, table + level), []
-                own = np.flatnonzero(side == 0)
-                parts.append((_key(key[own], seg[own]), table[own], np.zeros(len(own)), spent[own], w[own]))
-                for change in ring.flips(0, ring.budget(level + 1)):
-                    n = int(np.bitwise_count(change))
-                    # a listed row need not look for rows that are the same so far: these meet as listed rows
-                    z = np.flatnonzero((spent + n <= ring.budget(level + 1)) & ((side == 1) | (n > 0)))
-                    parts.append((_key(key[z], seg[z] ^ change), table[z], np.ones(len(z)), spent[z] + n, w[z]))
-                yield _rows(ring, parts)
-
-    return go
-
-
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (node, least node of its component) that say the same as the links a-b over nodes 0 to n - 1."""
     label = np.arange(n)
@@ -192,7 +170,44 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
 LINKS = "a string, b string, key long, tbl short, side byte, spent byte"
 
 
-def met(ring: Ring, last: bool, hot_rows: int):
+def named(w: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """The links a-b between rows of w, thinned to spanning trees, with fingerprints as names."""
+    used, nodes = np.unique(np.concatenate([w[a], w[b]]), axis=0, return_inverse=True)
+    u, v = forest(nodes.ravel()[: len(a)], nodes.ravel()[len(a) :], len(used))
+    hexes = ["".join(f"{int(x):016x}" for x in row) for row in used]
+    return pd.DataFrame({"a": [hexes[i] for i in u], "b": [hexes[i] for i in v]}, dtype=object)
+
+
+def between(ring: Ring):
+    """One pair of blocks of a hot key (columns i, j: the blocks, own: the row's block) to its links."""
+
+    def go(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = np.column_stack([pdf[f"w{k}"].to_numpy(np.int64).view(np.uint64) for k in range(ring.words)])
+        own, asks = pdf["own"].to_numpy(), pdf["side"].to_numpy() == 1
+        left = np.flatnonzero(own == pdf["i"].iloc[0])
+        right = np.flatnonzero(own == pdf["j"].iloc[0])
+        found_a, found_b = [], []
+        step = max(1, PAIRS // max(len(right), 1))
+        for at in range(0, len(left), step):
+            some = left[at : at + step]
+            far = np.zeros((len(some), len(right)), np.uint8)
+            for k in range(ring.words):
+                far += np.bitwise_count(w[some, k][:, None] ^ w[right, k][None, :])
+            far[np.ix_(asks[some], asks[right])] = 255  # of rows that look for others, another key tells
+            x, y = np.nonzero(far <= ring.most)
+            a, b = some[x], right[y]
+            if len(a):
+                a, b = forest(a, b, len(w))
+                found_a.append(a)
+                found_b.append(b)
+        if not found_a:
+            return pd.DataFrame({"a": [], "b": []}, dtype=object)
+        return named(w, np.concatenate(found_a), np.concatenate(found_b))
+
+    return go
+
+
+def met(ring: Ring, hot_rows: int):
     """Rows in order of (key, side) to links, and to the rows of hot keys (those with ``key`` set)."""
     names = [f"w{k}" for k in range(ring.words)]
 
@@ -223,10 +238,7 @@ def met(ring: Ring, last: bool, hot_rows: int):
         if not found:
             return None
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        used, nodes = np.unique(np.concatenate([w[a], w[b]]), axis=0, return_inverse=True)
-        u, v = forest(nodes.ravel()[: len(a)], nodes.ravel()[len(a) :], len(used))
-        hexes = ["".join(f"{int(x):016x}" for x in row) for row in used]
-        return pd.DataFrame({"a": [hexes[i] for i in u], "b": [hexes[i] for i in v]})
+        return named(w, a, b)
 
     def shaped(pdf: pd.DataFrame) -> pd.DataFrame:
         out = pdf.reindex(columns=["a", "b", "key", "tbl", "side", "spent", *names])
@@ -256,7 +268,7 @@ def met(ring: Ring, last: bool, hot_rows: int):
                 ready = pd.concat([*held, pdf[~tail]], ignore_index=True)
                 held, n_held = [pdf[tail]], int(tail.sum())
                 yield from emitted(ready)
-            if n_held > hot_rows and not last:
+            if n_held > hot_rows:
                 yield from (shaped(x) for x in held)
                 held, n_held, hot = [], 0, last_key
         if held:
@@ -265,11 +277,10 @@ def met(ring: Ring, last: bool, hot_rows: int):
     def emitted(ready: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if not len(ready):
             return
-        if not last:
-            size = ready.groupby("key", sort=False)["key"].transform("size").to_numpy()
-            if (size > hot_rows).any():
-                yield shaped(ready[size > hot_rows])
-                ready = ready[size <= hot_rows].reset_index(drop=True)
+        size = ready.groupby("key", sort=False)["key"].transform("size").to_numpy()
+        if (size > hot_rows).any():
+            yield shaped(ready[size > hot_rows])
+            ready = ready[size <= hot_rows].reset_index(drop=True)
         if len(ready) and (out := links(ready)) is not None and len(out):
             yield shaped(out)
 
@@ -278,18 +289,17 @@ def met(ring: Ring, last: bool, hot_rows: int):
 
 def fingerprint_links(prints: DataFrame, ring: Ring, hot_rows: int = HOT_ROWS) -> DataFrame:
     """a, b: links that join all distinct fingerprints (column fp) which differ in at most ``ring.most`` bits."""
-    words = ", ".join(f"w{k} long" for k in range(ring.words))
+    names = [f"w{k}" for k in range(ring.words)]
+    words = ", ".join(f"{c} long" for c in names)
     rows = prints.mapInPandas(listed(ring), f"key long, tbl short, side byte, spent byte, {words}")
-    out, level = None, 2
-    while True:
-        met_ = saved(rows.repartition("key").sortWithinPartitions("key", "side").mapInPandas(met(ring, level >= ring.m, hot_rows), f"{LINKS}, {words}"), "met")
-        links = met_.where("key is null").select("a", "b")
-        out = links if out is None else out.unionByName(links)
-        hot = met_.where("key is not null")
-        if level >= ring.m or hot.isEmpty():
-            return out
-        rows = hot.select("key", "tbl", "side", "spent", *[f"w{k}" for k in range(ring.words)]).mapInPandas(relisted(ring, level), f"key long, tbl short, side byte, spent byte, {words}")
-        level += 1
+    found = saved(rows.repartition("key").sortWithinPartitions("key", "side").mapInPandas(met(ring, hot_rows), f"{LINKS}, {words}"), "met")
+    links, hot = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", "side", *names)
+    if hot.isEmpty():
+        return links
+    blocks = hot.groupBy("key").agg(F.ceil(F.count("*") / F.lit(hot_rows)).cast("int").alias("blocks"))
+    dealt = hot.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64(*names), F.col("blocks")).cast("int"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "side", *names, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return links.unionByName(pairs.groupBy("key", "i", "j").applyInPandas(between(ring), "a string, b string"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, words: int = 1, segments: int = 4, most: int = 3, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
