@@ -2,12 +2,14 @@
 
 Words are runs of characters other than U+0020 and U+0009 to U+000D. Every statistic covers the whole text:
 ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words`` as the contract has them, and besides
-letters, capitals and digits. A document fails the base rules if it has fewer than 20 words or more than
+lines, characters and capitals. A document fails the base rules if it has fewer than 20 words or more than
 30 % of its words lie in repeated 8-word windows. All others get an isolation-forest score: the mean depth
 at which random splits part a row from the rest, over TREES trees of SUBSAMPLE rows each. Rows that are
 parted early are anomalous. The forest is fitted on at most TREES * SUBSAMPLE rows labelled good, those of
-the least hashed id (a documented bound; the method subsamples by itself). The threshold is chosen on all
-labelled rows: the one with the most correct verdicts, where a good row that is rejected counts COST times.
+the least hashed id (a documented bound; the method subsamples by itself). Its cuts fall anywhere in the range
+that all labelled rows span: most good rows have no symbol at all, and cuts drawn from their own range alone
+would never look at symbols. The threshold is chosen on all labelled rows: the one with the most correct
+verdicts, where a good row that is rejected counts COST times.
 
 Null and empty texts have no words, all statistics 0, and fail. Ties do not matter; repeated rows get
 repeated results; an empty table gives an empty result. Without usable labels the base rules decide alone.
@@ -26,7 +28,7 @@ from .common import saved
 TREES, SUBSAMPLE, COST, SEED = 100, 256, 3.0, 7
 SYMBOLS = "#*$%&|<>"
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-MORE = "n_lines long, n_chars long, n_upper long, n_digits long, n_marks long"
+MORE = "n_lines long, n_chars long, n_upper long"
 _FIELDS = [x.split()[0] for x in f"{BASE}, {MORE}".split(", ")]
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,7 +72,7 @@ def statistics(text: str | None) -> tuple[int, ...]:
     b = np.bincount(np.frombuffer(raw, np.uint8), minlength=128)
     return (
         len(words), len(text) - blanks, int(sum(b[ord(c)] for c in SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words),
-        len(lines), len(text), int(b[65:91].sum()), int(b[48:58].sum()), int(b[33] + b[63] + b[64] + b[94] + b[95] + b[126]),
+        len(lines), len(text), int(b[65:91].sum()),
     )
 
 
@@ -88,10 +90,7 @@ def features(s: pd.DataFrame) -> np.ndarray:
     """What the forest splits on: each row is a document, each column a rate."""
     n = np.maximum(s["n_words"].to_numpy(float), 1)
     lines, chars = np.maximum(s["n_lines"].to_numpy(float), 1), np.maximum(s["n_chars"].to_numpy(float), 1)
-    return np.column_stack([
-        s["word_chars"] / n, np.sqrt(s["n_symbols"] / n), s["n_dup_lines"] / lines, s["n_repeat_words"] / n,
-        s["n_upper"] / chars, s["n_digits"] / chars, np.sqrt(s["n_marks"] / n), np.log1p(n / lines),
-    ]).astype(np.float64)
+    return np.column_stack([np.sqrt(s["n_symbols"] / n), s["n_dup_lines"] / lines, s["n_repeat_words"] / n, s["n_upper"] / chars]).astype(np.float64)
 
 
 def _mean_depth(n: np.ndarray | float) -> np.ndarray | float:
@@ -107,33 +106,32 @@ class IsolationForest:
         self.trees, self.size = trees, size
 
     @classmethod
-    def fit(cls, x: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED) -> IsolationForest:
+    def fit(cls, x: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED) -> IsolationForest:
+        """Trees on the rows of x; ``low`` and ``high`` span the box that cuts are drawn from."""
         rng = np.random.default_rng(seed)
         size = min(subsample, len(x))
         limit = int(np.ceil(np.log2(max(size, 2))))
         out = []
         for _ in range(trees):
-            nodes: list[list[float]] = []
+            nodes: list[list[float]] = []  # feature, cut, left, depth, right
 
-            def grow(rows: np.ndarray, depth: int) -> int:
+            def grow(rows: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int) -> int:
                 at = len(nodes)
-                nodes.append([-1, 0.0, 0, depth + float(_mean_depth(len(rows)))])
-                if depth >= limit or len(rows) < 2:
-                    return at
-                low, high = rows.min(0), rows.max(0)
+                nodes.append([-1, 0.0, 0, depth + float(_mean_depth(len(rows))), 0])
                 can = np.flatnonzero(high > low)
-                if not len(can):
+                if depth >= limit or len(rows) < 2 or not len(can):
                     return at
                 f = int(rng.choice(can))
                 cut = rng.uniform(low[f], high[f])
-                left = grow(rows[rows[:, f] < cut], depth + 1)
-                right = grow(rows[rows[:, f] >= cut], depth + 1)
-                nodes[at][:3] = [f, cut, left]
-                nodes[at].append(right)
+                top, bottom = high.copy(), low.copy()
+                top[f] = bottom[f] = cut
+                left = grow(rows[rows[:, f] < cut], low, top, depth + 1)
+                right = grow(rows[rows[:, f] >= cut], bottom, high, depth + 1)
+                nodes[at][:3], nodes[at][4] = [f, cut, left], right
                 return at
 
-            grow(x[rng.choice(len(x), size, replace=False)], 0)
-            out.append((np.array([int(n[0]) for n in nodes]), np.array([n[1] for n in nodes]), np.array([[n[2], n[4] if len(n) > 4 else 0] for n in nodes], np.int64), np.array([n[3] for n in nodes])))
+            grow(x[rng.choice(len(x), size, replace=False)], low, high, 0)
+            out.append((np.array([int(n[0]) for n in nodes]), np.array([n[1] for n in nodes]), np.array([[n[2], n[4]] for n in nodes], np.int64), np.array([n[3] for n in nodes])))
         return cls(out, size)
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -168,7 +166,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     sample = known.where("_good = 1").orderBy(F.xxhash64(F.col("doc_id").cast("string")), *_FIELDS).limit(TREES * SUBSAMPLE).select(*_FIELDS).toPandas()
     if len(sample) < 2:
         return stats.withColumn("base_failed", base_failed()).withColumns({"score": F.lit(None).cast("double"), "threshold": F.lit(None).cast("double")}).withColumn("kept", ~F.col("base_failed")).select("doc_id", *_FIELDS[:5], "base_failed", "score", "threshold", "kept")
-    forest = spark.sparkContext.broadcast(IsolationForest.fit(features(sample)))  # TREES trees of at most 2 * SUBSAMPLE nodes
+
+    @F.pandas_udf("array<double>")
+    def rates(s: pd.DataFrame) -> pd.Series:
+        return pd.Series(list(features(s)))
+
+    ends = known.select(rates(F.struct(*_FIELDS)).alias("r"))
+    span = [ends.agg(*[f(F.col("r")[k]).alias(f"r{k}") for k in range(4)]).first() for f in (F.min, F.max)]
+    # TREES trees of at most 2 ** (1 + log2(SUBSAMPLE)) nodes
+    forest = spark.sparkContext.broadcast(IsolationForest.fit(features(sample), np.array(span[0], float), np.array(span[1], float)))
 
     @F.pandas_udf("double")
     def anomaly(s: pd.DataFrame) -> pd.Series:
