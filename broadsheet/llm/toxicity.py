@@ -115,7 +115,7 @@ def _counts(rows: DataFrame) -> DataFrame:
 
         def flush() -> pd.DataFrame:
             names = list(kinds[1].keys() | kinds[0].keys() | kinds[2].keys())
-            out = pd.DataFrame({"token": names, "toxic": [kinds[0][w] for w in names], "other": [kinds[1][w] for w in names], "n_other": [kinds[2][w] for w in names]})
+            out = pd.DataFrame({"token": names, "toxic": [kinds[0][w] for w in names], "other": [kinds[1][w] for w in names], "n_other": [kinds[2][w] for w in names]}).astype({"token": object})
             for k in kinds:
                 k.clear()
             return out
@@ -147,7 +147,7 @@ def held_out(id_: Column, folds: int = 5) -> Column:
 def learn(rows: DataFrame, train: DataFrame) -> Model | None:
     """Token scores and lambda from ``rows`` (text, _toxic). None without both classes."""
     counts = saved(_counts(rows), "toxicity")
-    size = train.agg(F.count_if("_toxic = 1"), F.count_if("_toxic <> 1")).first()
+    size = train.agg(F.count_if(F.col("_toxic") == 1), F.count_if(F.col("_toxic") != 1)).first()
     if not size[0] or not size[1]:
         return None
     total = counts.agg(F.sum(F.col("toxic") + F.col("other")), F.sum("n_other")).first()
@@ -188,7 +188,7 @@ def segments_column(text: Column, model: Broadcast) -> Column:
     def segments(texts: pd.Series) -> pd.DataFrame:
         cache = _cached(model)
         rows = [scan(t, cache) for t in texts]
-        return pd.DataFrame({"n": [n for n, _ in rows], "segments": [[x[2] for x in found] for _, found in rows]})
+        return pd.DataFrame({"n": [n for n, _ in rows], "segments": pd.Series([[x[2] for x in found] for _, found in rows], dtype=object)})
 
     # so marked, it is not run once for the filter and once more for the column
     return segments.asNondeterministic()(text)
@@ -248,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     best = F.lit(model.lam) * F.coalesce(F.array_max("segments"), F.lit(0.0)) - F.log(F.greatest("n", F.lit(1)).cast("double"))
     model.ln_k = float(known.where("_toxic <> 1 and n > 0").agg(F.coalesce(F.avg(best), F.lit(0.0))).first()[0]) - float(np.euler_gamma)
     # all rows that may be learnt from, as counts by evidence: at most 1801 rows reach the driver
-    bins = known.select(F.round(evidence(model) * 20).cast("int").alias("bin"), "_toxic").groupBy("bin").agg(F.count_if("_toxic = 1").alias("pos"), F.count_if("_toxic <> 1").alias("neg")).orderBy("bin").toPandas()
+    bins = known.select(F.round(evidence(model) * 20).cast("int").alias("bin"), "_toxic").groupBy("bin").agg(F.count_if(F.col("_toxic") == 1).alias("pos"), F.count_if(F.col("_toxic") != 1).alias("neg")).orderBy("bin").toPandas()
     if not len(bins):
         return constant
     model.a, model.b = logistic(bins["bin"].to_numpy(float) / 20, bins["pos"].to_numpy(float), bins["neg"].to_numpy(float))
