@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import listings, personal, titles
+
 Query = Callable[[SparkSession, str], DataFrame]
+PARTS = (titles, listings, personal)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {f.__name__: f for part in PARTS for f, _ in part.ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {f.__name__: sql for part in PARTS for f, sql in part.ALL if sql}

@@ -1,0 +1,81 @@
+"""The news engine's tables, derived from the given Parquet tables, and the same views as SQL.
+
+Times are whole seconds since 1970 (UTC), so no result depends on a session's time zone. Every query takes its
+cut-off as a value; none reads a clock.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: 2024-01-01, and the cut-off of the registered queries: 2024-01-20 00:00.
+EPOCH, AS_OF = 1_704_067_200, 1_705_708_800
+HOUR, DAY = 3600, 86_400
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def seconds(ts: str) -> Column:
+    """Whole seconds since 1970 of a timestamp column, with or without a zone."""
+    return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast({ts} as timestamp_ntz))")
+
+
+def pick(index: Column, names: list[str]) -> Column:
+    """The name at ``index`` modulo their number."""
+    return F.element_at(F.array(*[F.lit(x) for x in names]), (index % len(names)).cast("int") + 1)
+
+
+TIERS = ["T1", "T1.5", "T2"]
+ENTITIES = ["company", "lab", "project", "publication", "author", "podcast", "community"]
+LIFECYCLES = ["stable", "stable", "observing", "paused", "stable"]
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, n, tier, entity, lifecycle, official, domain. One row per source: a dimension."""
+    n = F.coalesce(F.try_element_at(F.regexp_extract_all("source", F.lit("([0-9]+)"), F.lit(1)), F.lit(1)).cast("long"), F.lit(0))
+    names = table(spark, sf_dir, "documents").where("source is not null").select("source").distinct().withColumn("n", n)
+    return names.select(
+        "source", "n", pick(F.col("n"), TIERS).alias("tier"), pick(F.col("n"), ENTITIES).alias("entity"), pick(F.col("n"), LIFECYCLES).alias("lifecycle"),
+        (F.col("n") % 4 == 0).alias("official"), F.concat(F.lit("site"), (F.col("n") % 13).cast("string"), F.lit(".example")).alias("domain"),
+    )
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item, story (five items each), source, lang, title, length, published."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(
+        F.col("doc_id").alias("item"), F.floor(F.col("doc_id") / 5).cast("long").alias("story"), "source", "lang",
+        F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 120).alias("title"), F.length("text").cast("long").alias("length"),
+        (F.lit(EPOCH) + F.col("doc_id") * 420).alias("published"),
+    )
+
+
+ACTIONS = {"view": "seen", "click": "opened", "purchase": "saved", "error": "dismissed", "signup": "unsaved"}
+
+
+def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """action_id, reader, story, action, moment, weight: what readers did, from the event stream."""
+    e = table(spark, sf_dir, "events")
+    kind = F.create_map(*[F.lit(x) for kv in ACTIONS.items() for x in kv])[F.col("event_type")]
+    return e.select(F.col("event_id").alias("action_id"), F.col("user_id").alias("reader"), (F.col("event_id") * 7919 % 200).alias("story"), kind.alias("action"), seconds("ts").alias("moment"), F.col("value").alias("weight"))
+
+
+#: The views as SQL, for the queries that state the expected results.
+SQL = {
+    "sources": """select source, n, ['T1','T1.5','T2'][n % 3 + 1] as tier, ['company','lab','project','publication','author','podcast','community'][n % 7 + 1] as entity,
+  ['stable','stable','observing','paused','stable'][n % 5 + 1] as lifecycle, n % 4 = 0 as official, 'site' || (n % 13) || '.example' as domain
+  from (select distinct source, coalesce(try_cast(regexp_extract(source, '([0-9]+)', 1) as bigint), 0) as n from documents where source is not null)""",
+    "items": f"select doc_id as item, doc_id // 5 as story, source, lang, left(split_part(text, chr(10), 1), 120) as title, length(text) as length, {EPOCH} + doc_id * 420 as published from documents",
+    "actions": """select event_id as action_id, user_id as reader, event_id * 7919 % 200 as story,
+  case event_type when 'view' then 'seen' when 'click' then 'opened' when 'purchase' then 'saved' when 'error' then 'dismissed' when 'signup' then 'unsaved' end as action,
+  epoch_us(ts) // 1000000 as moment, value as weight from events""",
+}
+
+
+def with_views(sql: str, *names: str) -> str:
+    """``sql`` after the named views as common table expressions; a leading + says that it goes on with more of them."""
+    head = ", ".join(f"{n} as ({SQL[n]})" for n in names)
+    return f"with {head}{sql[1:]}" if sql.startswith("+") else f"with {head} {sql}"
