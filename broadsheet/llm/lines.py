@@ -23,24 +23,23 @@ from .common import fresh, saved
 
 MIN_SITES, LG_K, BAND = 10, 12, 0.2
 #: Blanks at a line's ends are of no account: U+0009 to U+000D and U+0020.
-ENDS = "[\\x09-\\x0D\\x20]+"
+ENDS = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def line_key(line: Column) -> Column:
     """128 bits for a line, null for one without a word."""
-    bare = F.regexp_replace(line, f"^{ENDS}|{ENDS}$", "")
+    bare = F.btrim(line, F.lit(ENDS))
     return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(bare, F.length(bare)).alias("b")))
 
 
 def line_table(docs: DataFrame, id_col: str, site_col: str, text_col: str) -> DataFrame:
-    """One row per distinct line of a document: a, b (its key), site, id."""
-    lines = docs.select(F.col(id_col).alias("id"), F.col(site_col).cast("string").alias("site"), F.explode(F.array_distinct(F.split(F.col(text_col), "\n", -1))).alias("line"))
-    return lines.select(line_key(F.col("line")).alias("k"), "site", "id").where("k is not null").select("k.a", "k.b", F.coalesce(F.concat(F.lit("s"), F.col("site")), F.lit("n")).alias("site"), "id")
+    """One row per distinct line of a document: a, b (its key), site, id, h (hash of the text)."""
+    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(site_col).cast("string").alias("site"), F.explode(F.array_distinct(F.split(F.col(text_col), "\n", -1))).alias("line"))
+    return lines.select(line_key(F.col("line")).alias("k"), "site", "id", "h").where("k is not null").select("k.a", "k.b", F.coalesce(F.concat(F.lit("s"), F.col("site")), F.lit("n")).alias("site"), "id", "h")
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text") -> DataFrame:
-    """a, b, sites (estimated, exact near the threshold), keeper: the lines on ``min_sites`` sites or more."""
-    lines = line_table(docs, id_col, site_col, text_col)
+def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """a, b, sites (estimated, exact near the threshold), keeper: the lines of a line table on ``min_sites`` sites or more."""
     # lines of one site need no sketch: least and greatest site tell them, in a plain hash aggregation
     several = lines.groupBy("a", "b").agg(F.min("site").alias("lo"), F.max("site").alias("hi"), F.min("id").alias("keeper")).where("lo <> hi" if min_sites > 1 else "true").select("a", "b", "keeper")
     several = saved(several, "lines")
@@ -58,13 +57,13 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str
 
     Only lines that are boilerplate travel: they are gathered per document and joined to it once.
     """
-    found = saved(boilerplate(docs, min_sites, id_col, site_col, text_col), "boilerplate")
+    lines_of = saved(line_table(docs, id_col, site_col, text_col), "line-table")  # hashes: the texts are split once to find, once to cut
+    found = saved(boilerplate(lines_of, min_sites), "boilerplate")
     taken = [*docs.columns, *(counts or ())]
     name, gone = fresh(taken, "_line_doc"), fresh(taken, "_line_gone")
     # per document and text: the keys that go (bounded by the lines of the document)
     t, i = F.col(text_col), F.col(id_col)
-    hits = docs.select(i.alias("id"), F.xxhash64(t).alias("h"), F.explode(F.array_distinct(F.split(t, "\n", -1))).alias("line")).select("id", "h", line_key(F.col("line")).alias("k")).where("k is not null").select("id", "h", "k.a", "k.b")
-    hits = hits.join(found, ["a", "b"]).where(~F.col("id").eqNullSafe(F.col("keeper")) | F.col("id").isNull())
+    hits = lines_of.join(found, ["a", "b"]).where(~F.col("id").eqNullSafe(F.col("keeper")) | F.col("id").isNull())
     per_doc = hits.groupBy("id", "h").agg(F.collect_set("a").alias(gone)).select(F.struct("id", "h").alias(name), gone)
     key = F.struct(i.alias("id"), F.xxhash64(t).alias("h"))
     joined = docs.join(per_doc, key == F.col(name), "left")
