@@ -8,7 +8,8 @@ Every byte covered by a string of LENGTH bytes that also starts anywhere else in
    and each place belongs to exactly one context.
 2. Anchors that occur once drop out (a count, combined in every task before it is shuffled). Contexts that occur twice
    or more as they stand are repeated throughout. What is left to compare are the different contexts of one anchor.
-3. Contexts of many anchors are packed into blocks. For a block the Burrows-Wheeler transform is made, and breadth-first
+3. Contexts of many anchors are packed into blocks; those that share too few bytes around their anchor with any other to
+   hold a repeat are left out. For a block the Burrows-Wheeler transform is made, and breadth-first
    backward extension of intervals, one byte a level, sets each boundary between neighbouring suffixes to the level at
    which it first appears: common prefixes come out by increasing length. The search stops at LENGTH; boundaries
    that are still unset then part suffixes with a common prefix of LENGTH bytes or more, which are the repeats.
@@ -34,7 +35,9 @@ from .simhash import mixed
 
 LENGTH, K = 200, 32
 #: Bytes of contexts in a block, bytes of different contexts of one anchor that a block takes, bytes of a text looked at at once.
-BLOCK_BYTES, HOT_BYTES, CHUNK = 2_000_000, 4_000_000, 1 << 19
+BLOCK_BYTES, HOT_BYTES, CHUNK = 2_000_000, 4_000_000, 1 << 16
+#: Ranges into which the anchor's places within a string are cut, before strings are compared.
+RANGES = 8
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -60,11 +63,12 @@ def hashes(p: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return mixed((p[hi] - p[lo]) * _power("down", len(p))[lo] + (hi - lo).astype(np.uint64))
 
 
-def contexts(b: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...] | None:
-    """Anchor hash, context hash, first byte and bytes of every context of a piece of text."""
+def contexts(b: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """Anchor hash, context hash, first byte, bytes and anchor's place of every context of texts that stand in a row.
+
+    ``ends`` are the texts' ends in ``b``; each has ``length`` bytes or more.
+    """
     n, w = len(b) - length + 1, length - k + 1
-    if n < 1:
-        return None
     p = prefix_sums(b)
     at = np.arange(len(b) - k + 1)
     h = hashes(p, at, at + k)
@@ -76,39 +80,47 @@ def contexts(b: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...] | Non
         step *= 2
     v = np.minimum(v[:n], v[w - step : w - step + n]) if step < w else v[:n]
     anchor = (v & np.uint64((1 << 20) - 1)).astype(np.int64)
-    first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
-    last = np.append(first[1:], n) - 1
-    return h[anchor[first]], hashes(p, first, last + length), first, last + length - first
+    inside = np.ones(n, bool)  # strings that lie in one text
+    for end in ends[:-1].tolist():
+        inside[end - length + 1 : end] = False
+    starts = np.flatnonzero(inside)
+    anchor = anchor[starts]
+    head = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+    first, last, anchor = starts[head], starts[np.append(head[1:], len(starts)) - 1], anchor[head]
+    return h[anchor], hashes(p, first, last + length), first, last + length - first, anchor - first
 
 
 def context_table(docs: DataFrame, length: int = LENGTH, k: int = K, text_col: str = "text") -> DataFrame:
-    """a, c (hashes of anchor and context), th, nb (hash and bytes of the text), lo, len of every context."""
+    """a, c (hashes of anchor and context), th, nb (hash and bytes of the text), lo, len, p (the anchor's place) of every context."""
+
+    def rows_of(group: list[tuple[bytes, int, int, int]]) -> pd.DataFrame:
+        raw, th, nb, at = zip(*group, strict=True)
+        ends = np.cumsum([len(r) for r in raw])
+        a, c, first, size, p = contexts(np.frombuffer(b"".join(raw), np.uint8), ends, length, k)
+        of = np.searchsorted(ends, first, "right")
+        lo = first - np.append(0, ends)[of] + np.array(at)[of]
+        return pd.DataFrame({"a": a.view(np.int64), "c": c.view(np.int64), "th": np.array(th)[of], "nb": np.array(nb)[of], "lo": lo, "len": size.astype(np.int32), "p": p.astype(np.int32)})
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found, rows = [], 0
+            group, held = [], 0  # short texts are taken together, long ones in pieces
             for th, text in zip(pdf["th"], pdf["text"], strict=True):
-                b = np.frombuffer(text.encode(), np.uint8)
-                for at in range(0, max(len(b) - length + 1, 0), CHUNK):
-                    a, c, lo, size = contexts(b[at : at + CHUNK + length - 1], length, k)
-                    found.append((a, c, np.full(len(a), th), np.full(len(a), len(b)), lo + at, size))
-                    rows += len(a)
-                if rows > 200_000:
-                    yield frame(found)
-                    found, rows = [], 0
-            if found:
-                yield frame(found)
-
-    def frame(found: list) -> pd.DataFrame:
-        a, c, th, nb, lo, size = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pd.DataFrame({"a": a.view(np.int64), "c": c.view(np.int64), "th": th, "nb": nb, "lo": lo, "len": size.astype(np.int32)})
+                raw = text.encode()
+                for at in range(0, len(raw) - length + 1, CHUNK):
+                    group.append((raw[at : at + CHUNK + length - 1], th, len(raw), at))
+                    held += len(group[-1][0])
+                    if held >= CHUNK:
+                        yield rows_of(group)
+                        group, held = [], 0
+            if group:
+                yield rows_of(group)
 
     t = F.col(text_col)
-    return docs.where(F.octet_length(t) >= length).select(F.xxhash64(t).alias("th"), t.alias("text")).mapInPandas(go, "a long, c long, th long, nb long, lo long, len int")
+    return docs.where(F.octet_length(t) >= length).select(F.xxhash64(t).alias("th"), t.alias("text")).mapInPandas(go, "a long, c long, th long, nb long, lo long, len int, p int")
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first ``depth`` symbols or more, up to the next 0; ties by place."""
+    """Suffixes in order of their first ``depth`` symbols or more, up to the next 0; ties in any order."""
     n = len(symbols)
     ends = np.flatnonzero(symbols == 0)
     left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n) + 1  # symbols up to and with the next 0
@@ -119,7 +131,7 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
         part[left <= j] = 0
         key = key << 9 | part
     h = 7
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     while True:
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.append(1, key[order[1:]] != key[order[:-1]]))
@@ -129,7 +141,7 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
         behind[: n - h] = rank[h:]
         behind[left <= h] = 0
         key = rank * (n + 1) + behind
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         h *= 2
 
 
@@ -138,7 +150,7 @@ def repeated_suffixes(symbols: np.ndarray, length: int) -> np.ndarray:
     n = len(symbols)
     order = suffix_order(symbols, length)
     bwt = symbols[order - 1]  # the symbol before the first is the last, an end
-    by_symbol = np.argsort(bwt, kind="stable")
+    by_symbol = np.argsort(bwt.astype(np.uint16), kind="stable")
     lf = np.empty(n, np.int64)
     lf[by_symbol] = np.arange(n)
     unset = np.ones(n + 1, bool)
@@ -163,7 +175,7 @@ def repeated_suffixes(symbols: np.ndarray, length: int) -> np.ndarray:
         if not len(q):
             break
         to = lf[at]
-        turn = np.argsort(q * n + to, kind="stable")
+        turn = np.argsort(q * n + to)
         q, to, c = q[turn], to[turn], c[turn]
         head = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (c[1:] != c[:-1])))
         lo, hi = to[head], to[np.append(head[1:], len(to)) - 1] + 1
@@ -177,11 +189,33 @@ def _spans(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[head], starts[np.append(head[1:], len(starts)) - 1] + length
 
 
-def _compare(length: int, block_bytes: int, hot_bytes: int):
+def may_recur(b: np.ndarray, begin: np.ndarray, size: np.ndarray, place: np.ndarray, length: int, k: int) -> np.ndarray:
+    """Which contexts (at ``begin`` in b) can hold a string that another of them holds.
+
+    The anchor's places in a string are cut into ranges. Of two equal strings with the anchor in a range, the bytes
+    from the range's least place before the anchor to its greatest place before the string's end are equal
+    too; a context whose bytes for every range stand in no other context is out.
+    """
+    p, keep = prefix_sums(b), np.zeros(len(begin), bool)
+    cuts = np.unique(np.linspace(0, length - k, RANGES + 1).astype(np.int64))
+    for least, most in zip(cuts[:-1], cuts[1:], strict=True):
+        own = np.flatnonzero((place >= least) & (place + length - most <= size))
+        at = begin[own] + place[own]
+        _, which, n = np.unique(hashes(p, at - least, at + length - most), return_inverse=True, return_counts=True)
+        keep[own] |= n[which] > 1
+    return keep
+
+
+def _compare(length: int, k: int, block_bytes: int, hot_bytes: int):
     """Contexts in order of their anchor to spans (lo, hi in the text), or to the strings of hot anchors (``s1``, ``s2`` set)."""
 
     def compared(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(parts, ignore_index=True)
+        size = pdf["len"].to_numpy(np.int64)
+        keep = may_recur(np.frombuffer(b"".join(pdf["bytes"]), np.uint8), np.cumsum(size) - size, size, pdf["p"].to_numpy(np.int64), length, k)
+        if not keep.any():
+            return
+        pdf = pdf[keep].reset_index(drop=True)
         raw = b"".join(b + b"\0" for b in pdf["bytes"])
         size = np.array([len(b) + 1 for b in pdf["bytes"]], np.int64)
         ends = np.cumsum(size)
@@ -249,15 +283,15 @@ def _compare(length: int, block_bytes: int, hot_bytes: int):
 
 def repeat_spans(docs: DataFrame, length: int = LENGTH, k: int = K, text_col: str = "text", block_bytes: int = BLOCK_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """th, nb, lo, hi: spans of repeated bytes of each distinct text; they may overlap."""
-    table = context_table(docs, length, k, text_col)
+    table = saved(context_table(docs, length, k, text_col), "table")
     often = table.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1")
     often = saved(often.select("a", (F.col("c0") == F.col("c1")).alias("alone")), "anchors")
     some = saved(table.join(often, "a"), "contexts")
-    each = saved(some.where("not alone").groupBy("a", "c").agg(F.count("*").alias("m"), F.min(F.struct("th", "nb", "lo", "len")).alias("at")), "different")
+    each = saved(some.where("not alone").groupBy("a", "c").agg(F.count("*").alias("m"), F.min(F.struct("th", "nb", "lo", "len", "p")).alias("at")), "different")
     whole = some.join(each.where("m > 1").select("a", "c"), ["a", "c"], "left_semi").unionByName(some.where("alone").select("a", "c", *[x for x in some.columns if x not in ("a", "c")]))
     whole = whole.select("th", "nb", "lo", (F.col("lo") + F.col("len")).alias("hi"))
     # the bytes of each different context, from one document of its text
-    wanted = each.select("a", "c", "m", "at.*").groupBy("th", "nb").agg(F.collect_list(F.struct("a", "m", "lo", "len")).alias("parts"))
+    wanted = each.select("a", "c", "m", "at.*").groupBy("th", "nb").agg(F.collect_list(F.struct("a", "m", "lo", "len", "p")).alias("parts"))
     own = docs.select(F.xxhash64(text_col).alias("th"), F.octet_length(text_col).cast("long").alias("nb"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
     first = own.groupBy("th", "nb").agg(F.min("row").alias("row"))
     wanted = wanted.join(first, ["th", "nb"])
@@ -266,12 +300,12 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, k: int = K, text_col: st
         for pdf in batches:
             for th, nb, text, parts in zip(pdf["th"], pdf["nb"], pdf["text"], pdf["parts"], strict=True):
                 raw = text.encode()
-                rows = [(p["a"], th, nb, p["m"], p["lo"], p["len"], raw[p["lo"] : p["lo"] + p["len"]]) for p in parts]
-                yield pd.DataFrame(rows, columns=["a", "th", "nb", "m", "lo", "len", "bytes"])
+                rows = [(p["a"], th, nb, p["m"], p["lo"], p["len"], p["p"], raw[p["lo"] : p["lo"] + p["len"]]) for p in parts]
+                yield pd.DataFrame(rows, columns=["a", "th", "nb", "m", "lo", "len", "p", "bytes"])
 
     # rows that repeat altogether would give a context twice
-    pieces = own.join(wanted, ["th", "nb", "row"]).mapInPandas(cut, "a long, th long, nb long, m long, lo long, len int, bytes binary").dropDuplicates(["a", "th", "nb", "lo"])
-    out = saved(pieces.repartition("a").sortWithinPartitions("a").mapInPandas(_compare(length, block_bytes, hot_bytes), "a long, th long, nb long, m long, lo long, hi long, s1 long, s2 long"), "spans")
+    pieces = own.join(wanted, ["th", "nb", "row"]).mapInPandas(cut, "a long, th long, nb long, m long, lo long, len int, p int, bytes binary").dropDuplicates(["a", "th", "nb", "lo"])
+    out = saved(pieces.repartition("a").sortWithinPartitions("a").mapInPandas(_compare(length, k, block_bytes, hot_bytes), "a long, th long, nb long, m long, lo long, hi long, s1 long, s2 long"), "spans")
     strings = out.where("s1 is not null")
     twice = strings.groupBy("a", "s1", "s2").agg(F.sum("m").alias("n")).where("n > 1").select("a", "s1", "s2")
     found = out.where("s1 is null").unionByName(strings.join(twice, ["a", "s1", "s2"], "left_semi"), allowMissingColumns=True)
