@@ -16,7 +16,7 @@ Texts are tokenized by the public ``tokenizers`` library. As its normalizer and
 non-blanks, each distinct run is encoded once and kept in a bounded cache.
 
 Null texts count as empty; an empty text has the end id alone. Documents are ordered by id, nulls first;
-rows with one id are ordered by text. Repeated rows are written repeatedly. Other columns are not read.
+rows with one id are ordered by their number of tokens, then by their packed ids. Repeated rows are written repeatedly. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import new_path
+from .common import dropped, new_path, saved
 
 CACHE = 600_000
 #: Lengths of the four ranks that a control byte describes.
@@ -122,20 +122,36 @@ def unpack(control: bytes, data: bytes, n_tokens: int) -> np.ndarray:
     return (out & _MASK[size]).astype(np.uint32)
 
 
-def rank_table(docs: DataFrame, path: str, end_id: int, text_col: str = "text") -> np.ndarray:
-    """rank -> id over all documents. Counts are summed in each task, then by Spark; the driver gets one row per id of the vocabulary."""
+def encoded(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n_tokens, control, data of each document: its ids with the end id, packed as they are. Written, so that texts are tokenized once."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        runs = _runs(path)
-        total = np.zeros(runs.size, np.int64)
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        runs, end = _runs(path), np.array([end_id], "<u4").tobytes()
         for pdf in batches:
-            for part in _batches(pdf[text_col]):
-                total += np.bincount(np.frombuffer(b"".join(runs.encode_all(part)), "<u4"), minlength=runs.size)
-                total[end_id] += len(part)
-        ids = np.flatnonzero(total)
-        yield pd.DataFrame({"id": ids, "n": total[ids]})
+            names = iter(pdf["doc_id"])
+            for part in _batches(pdf["text"]):
+                rows = [(next(names), len(ids) // 4 + 1, *pack(np.frombuffer(ids + end, "<u4"))) for ids in runs.encode_all(part)]
+                yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "control", "data"])
+
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return saved(own.mapInPandas(encode, f"doc_id {kind}, n_tokens long, control binary, data binary"), "encoded")
+
+
+def rank_table(ids: DataFrame) -> np.ndarray:
+    """rank -> id over all encoded documents. Counts are summed in each task, then by Spark; the driver gets one row per id of the vocabulary."""
 
-    sums = docs.select(text_col).mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(0, np.int64)
+        for pdf in batches:
+            found = [unpack(c, d, n) for c, d, n in zip(pdf["control"], pdf["data"], pdf["n_tokens"], strict=True)]
+            own = np.bincount(np.concatenate(found), minlength=len(total))
+            own[: len(total)] += total
+            total = own
+        used = np.flatnonzero(total)
+        yield pd.DataFrame({"id": used, "n": total[used]})
+
+    sums = ids.select("n_tokens", "control", "data").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     rows = sums.toPandas()
     return rows.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(np.uint32)
 
@@ -143,29 +159,27 @@ def rank_table(docs: DataFrame, path: str, end_id: int, text_col: str = "text")
 def write_token_files(docs: DataFrame, to: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write all documents to the folder ``to`` in ascending order of their ids."""
     spark = docs.sparkSession
-    of_rank = rank_table(docs, path, end_id, text_col)
+    ids = encoded(docs, path, end_id, id_col, text_col)
+    of_rank = rank_table(ids)
     table = pd.DataFrame({"rank": np.arange(len(of_rank)), "id": of_rank.astype(np.int64)})
     spark.createDataFrame(table, "rank long, id long").coalesce(1).write.parquet(f"{to}/ranks")
     shared = spark.sparkContext.broadcast(of_rank)  # at most the vocabulary
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        runs = _runs(path)
-        rank = np.zeros(runs.size, np.uint32)
+        rank = np.zeros(int(shared.value.max(initial=0)) + 1, np.uint32)
         rank[shared.value] = np.arange(len(shared.value), dtype=np.uint32)
-        part_no, at, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        part_no, at = TaskContext.get().partitionId(), 0
         for pdf in batches:
-            ids = iter(pdf["doc_id"])
-            for part in _batches(pdf["text"]):
-                rows = []
-                for packed in runs.encode_all(part):
-                    r = rank[np.frombuffer(packed + end, "<u4")]
-                    rows.append((next(ids), part_no, at, len(r), *pack(r)))
-                    at += len(r)
-                yield pd.DataFrame(rows, columns=["doc_id", "part", "local_start", "n_tokens", "control", "data"])
-
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    ordered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+            rows = []
+            for name, n, control, data in zip(pdf["doc_id"], pdf["n_tokens"], pdf["control"], pdf["data"], strict=True):
+                rows.append((name, part_no, at, n, *pack(rank[unpack(control, data, n)])))
+                at += n
+            yield pd.DataFrame(rows, columns=["doc_id", "part", "local_start", "n_tokens", "control", "data"])
+
+    kind = ids.schema["doc_id"].dataType.simpleString()
+    ordered = ids.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "control", "data")
     ordered.mapInPandas(write, f"doc_id {kind}, part int, local_start long, n_tokens long, control binary, data binary").write.parquet(f"{to}/ids")
+    dropped(ids)
 
 
 def read_token_files(spark: SparkSession, at: str) -> DataFrame:
