@@ -319,12 +319,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, words: int = 1, segments: i
     return prints.join(classes, F.col("fingerprint") == F.col("fp")).select("doc_id", "fingerprint", "component_id")
 
 
-def one_of_each(docs: DataFrame, width: int = 5, words: int = 2, segments: int = 16, most: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, of which each component's least id is theirs; repeated rows of it stay once.
 
-    The defaults take shingles of five words and 128 bits of which at most 15 differ, a similarity of 0.88.
+    Components are of documents whose sets of shingles have a Jaccard similarity of 0.8 or more (``near_copies``).
     """
-    found = saved(near_duplicates(docs, width, words, segments, most, id_col, text_col), "classes")
+    from .near_copies import near_copies
+
+    found = saved(near_copies(docs, width, id_col, text_col), "classes")
     name = fresh(docs.columns, "_kept_id")
     keep = saved(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias("n")), "kept")
     same = F.col(id_col).eqNullSafe(F.col(name))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from broadsheet.llm import bpe_codec, components, decontaminate, lines, queries, repeats, rules, sharding, simhash, token_counts, token_files, toxicity
+from broadsheet.llm import bpe_codec, components, decontaminate, lines, near_copies, queries, repeats, rules, sharding, simhash, token_counts, token_files, toxicity
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = [
@@ -273,6 +273,44 @@ def test_one_of_each(spark, odd):
     assert len(got) == len(set(got)) and 15 in got and 16 not in got and 0 in got and 1 not in got
 
 
+def brute_copies(pairs, width=5):
+    """The least id of each document's component under exact Jaccard similarity of shingle sets; ids are distinct."""
+    sets = {}
+    for i, t in pairs:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets[i] = frozenset(" ".join(words[k : k + width]) for k in range(len(words) - width + 1)) or frozenset([" ".join(words)] if words else [])
+    alike = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    ids = sorted(sets)
+    return brute_components(ids, [(i, j) for i in ids for j in ids if j < i and alike(sets[i], sets[j])])
+
+
+@pytest.fixture(scope="module")
+def edited(spark):
+    """Texts with copies of which words were replaced, so that the similarities lie on both sides of 0.8; one group is large."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(3000)}"
+    texts = [None, "", " ", "a b", "A  b"]
+    for n, copies in [(8, 3), (20, 4), (60, 6), (200, 6), (200, 6), (400, 6), (90, 80)]:
+        first = [word() for _ in range(n)]
+        texts.append(" ".join(first))
+        for k in range(copies):
+            own = list(first)
+            for at in rng.sample(range(n), max(1, n * (k % 6) // 200)):
+                own[at] = word()
+            texts.append(" ".join(own))
+    rng.shuffle(texts)
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+@pytest.mark.parametrize("many", [near_copies.MANY, 0])
+def test_one_of_each_against_jaccard(spark, edited, docs, many, monkeypatch):
+    monkeypatch.setattr(near_copies, "MANY", many)
+    for table in (edited, docs.select("doc_id", "text")):
+        want = brute_copies(texts_of(table))
+        assert {r[0]: r[1] for r in near_copies.near_copies(table).collect()} == want
+        assert sorted(r[0] for r in simhash.one_of_each(table).select("doc_id").collect()) == sorted(set(want.values()))
+
+
 def test_components_of_chains(spark):
     links = [(f"{i:03d}", f"{i + 1:03d}") for i in range(60)] + [("900", "901"), ("901", "900"), ("902", "902"), (None, "1")]
     got = {r[0]: r[1] for r in components.components(spark.createDataFrame(links, "a string, b string")).collect()}
