@@ -92,13 +92,20 @@ def rank(columns: dict[str, Column], penalty: Column, dismissed: Column) -> Colu
 def affinity(candidates: DataFrame, feedback: DataFrame, as_of: int) -> DataFrame:
     """story, reader, affinity: what a reader's feedback on other stories with common labels says about a story.
 
-    ``candidates``: story, label. ``feedback``: reader, story, action, at, label. Both are long tables of labels: the join is
-    on the label, each (reader, feedback, story) counts once however many labels they share, and the sum is an aggregation.
+    ``candidates``: story, label. ``feedback``: reader, story, action, at, label. Both are long tables of labels. Each (reader,
+    feedback, story) counts once however many labels they share: feedback is summed by reader and set of labels, the sums
+    meet the sets that share a label, and a story's own feedback is subtracted.
     """
-    f = feedback.where(F.col("moment") <= as_of).select("reader", F.col("story").alias("about"), "action", "moment", "label")
-    pairs = f.join(candidates, "label").where("about <> story").groupBy("reader", "story", "about", "action", "moment").agg(F.lit(1).alias("once"))
+    f = feedback.where((F.col("moment") <= as_of) & F.col("label").isNotNull()).groupBy("reader", F.col("story").alias("about"), "action", "moment").agg(F.array_sort(F.collect_set("label")).alias("said"))
     points = chosen(F.col("action"), {"saved": 8.0, "dismissed": -12.0}, 0.0) * decay((F.lit(as_of) - F.col("moment")) / (30.0 * DAY))
-    return pairs.groupBy("reader", "story").agg((50 + F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.sum(points)))).alias("affinity"))
+    f = f.withColumn("points", points)
+    of = candidates.where("label is not null").groupBy("story").agg(F.array_sort(F.collect_set("label")).alias("has"))
+    said = f.groupBy("reader", "said").agg(F.sum("points").alias("points"), F.count("*").alias("n"))
+    sets = said.select("said").distinct().withColumn("label", F.explode("said")).join(of.select("has").distinct().withColumn("label", F.explode("has")), "label").select("said", "has").distinct()
+    total = said.join(sets, "said").groupBy("reader", "has").agg(F.sum("points").alias("points"), F.sum("n").alias("n"))
+    own = f.join(of.withColumnRenamed("story", "about"), "about").where(F.arrays_overlap("said", "has")).groupBy("reader", F.col("about").alias("story")).agg(F.sum("points").alias("own"), F.count("*").alias("n_own"))
+    left = total.join(of, "has").join(own, ["reader", "story"], "left").where(F.col("n") > F.coalesce("n_own", F.lit(0)))
+    return left.select("reader", "story", (50 + F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.col("points") - F.coalesce("own", F.lit(0.0))))).alias("affinity"))
 
 
 def reading_bonus(signals: DataFrame, candidates: DataFrame, as_of: int) -> DataFrame:

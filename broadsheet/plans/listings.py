@@ -72,7 +72,7 @@ F7 = with_views("select story, bool_and(tier in ('T1', 'T1.5')) as gate, bool_or
 
 def j4_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources without an item that anybody dismissed."""
-    gone = actions(spark, sf_dir).where("action = 'dismissed' and story < 100").select("story").distinct()
+    gone = actions(spark, sf_dir).where("action = 'dismissed'").select("story").distinct()
     hit = items(spark, sf_dir).join(gone, "story", "left_semi").select("source")
     return sources(spark, sf_dir).join(hit, "source", "left_anti").select("source", "tier", "entity")
 
