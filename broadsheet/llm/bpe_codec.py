@@ -17,6 +17,7 @@ repeated results, an empty table gives an empty result, other columns are never
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -26,9 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import PIECES, ByteBPE, load, units
+from .common import BoundedCache
 
-#: Entries that a worker's caches hold before they start anew.
-CACHE = 700_000
+#: Pairs (some 150 bytes each) that the pair table of a worker holds before it starts anew.
+PAIRS = 200_000
 
 
 class BacktrackingEncoder:
@@ -48,8 +50,11 @@ class BacktrackingEncoder:
         self.shorter: dict[int, int] = {}
         self.fits: dict[tuple[int, int], bool] = {}
         self.packed = [int(i).to_bytes(4, "little") for i in bpe.ids]
-        self.spaced = _Cache(lambda unit: self._unit(" " + unit))
-        self.plain = _Cache(self._piece)
+        self.renew()
+
+    def renew(self) -> None:
+        """Forget the units seen so far: a worker lives on when its task ends."""
+        self.spaced, self.plain = BoundedCache(lambda unit: self._unit(" " + unit)), BoundedCache(self._piece)
 
     def compatible(self, a: int, b: int) -> bool:
         """Would BPE of both tokens' joint bytes end as exactly (a, b)?
@@ -74,7 +79,7 @@ class BacktrackingEncoder:
                 last, x = x, self.right[x - 256]
             else:
                 last, y = y + 1, self.left[y - 256]
-        if len(self.fits) >= 2 * CACHE:
+        if len(self.fits) >= PAIRS:
             self.fits.clear()
         self.fits[a, b] = found
         return found
@@ -147,20 +152,6 @@ class BacktrackingEncoder:
         return b"".join(out)
 
 
-class _Cache(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        value = self.make(key)
-        if len(key) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[key] = value
-        return value
-
-
 class OffsetDecoder:
     def __init__(self, bpe: ByteBPE):
         self.bytes, self.offsets = bpe.offset_table()
@@ -190,9 +181,11 @@ def encode_column(text: Column, path: str) -> Column:
     """The ids of each text, as a binary of little-endian unsigned 32-bit integers (null text: none)."""
 
     @F.pandas_udf("binary")
-    def ids(texts: pd.Series) -> pd.Series:
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder, _ = _codec(path)
-        return pd.Series([encoder.encode(t or "") for t in texts], dtype=object)
+        for texts in batches:
+            yield pd.Series([encoder.encode(t or "") for t in texts], dtype=object)
+        encoder.renew()
 
     return ids(text)
 
@@ -212,14 +205,16 @@ def digest_column(text: Column, path: str) -> Column:
     """Encode, decode, and return only struct(n_tokens, ids_sha256, decoded_sha256): ids never leave the worker."""
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digest(texts: pd.Series) -> pd.DataFrame:
+    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder, decoder = _codec(path)
-        rows = []
-        for t in texts:
-            packed = encoder.encode(t or "")
-            back = decoder.decode(np.frombuffer(packed, "<u4"))
-            rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        for texts in batches:
+            rows = []
+            for t in texts:
+                packed = encoder.encode(t or "")
+                back = decoder.decode(np.frombuffer(packed, "<u4"))
+                rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        encoder.renew()
 
     return digest(text)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,17 +13,42 @@ from pyspark.sql import DataFrame, SparkSession
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
+#: Bytes that one cache of a Python worker may take.
+CACHE_BYTES = 24_000_000
+
 _own_dir: dict[str, str] = {}
 
 
+class BoundedCache(dict):
+    """What ``make`` says of a string or bytes, kept until about CACHE_BYTES are held; then it starts anew."""
+
+    def __init__(self, make: Callable, most: int = CACHE_BYTES):
+        super().__init__()
+        self.make, self.most, self.held = make, most, 0
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(key) <= 256:
+            # a slot, the key's and the value's objects, and what they hold
+            self.held += 200 + len(key) + (len(value) if isinstance(value, bytes) else 0)
+            if self.held > self.most:
+                self.clear()
+                self.held = 0
+            self[key] = value
+        return value
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where that is unset (a local session, as in tests) a temporary folder of this machine serves.
+    Only where that is unset in a local session, as in tests, a temporary folder of this machine serves; on a
+    cluster that is an error, as executors would write to disks of their own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[[^,\]]*(,[^\]]*)?\])?$", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _own_dir:
         _own_dir["dir"] = "file://" + tempfile.mkdtemp(prefix="broadsheet-")
     return _own_dir["dir"]

@@ -19,17 +19,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, saved
+from .common import dropped, fresh, saved
 
 MIN_SITES, LG_K, BAND = 10, 12, 0.2
+#: Line keys (16 bytes each) up to this number are sent to all tasks, so a line that stands everywhere is met where it stands;
+#: beyond it they are joined by a shuffle, whose large partitions adaptive execution splits.
+BROADCAST_LINES = 200_000
 #: Blanks at a line's ends are of no account: U+0009 to U+000D and U+0020.
 ENDS = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def line_key(line: Column) -> Column:
-    """128 bits for a line, null for one without a word."""
+    """128 bits for a line, null for one without a word: two hashes of it with different seeds, as a salt stands before the second."""
     bare = F.btrim(line, F.lit(ENDS))
-    return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(bare, F.length(bare)).alias("b")))
+    return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit("b"), bare).alias("b")))
 
 
 def line_table(docs: DataFrame, id_col: str, site_col: str, text_col: str) -> DataFrame:
@@ -38,16 +41,20 @@ def line_table(docs: DataFrame, id_col: str, site_col: str, text_col: str) -> Da
     return lines.select(line_key(F.col("line")).alias("k"), "site", "id", "h").where("k is not null").select("k.a", "k.b", F.coalesce(F.concat(F.lit("s"), F.col("site")), F.lit("n")).alias("site"), "id", "h")
 
 
+def _sent(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_LINES else keys
+
+
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """a, b, sites (estimated, exact near the threshold), keeper: the lines of a line table on ``min_sites`` sites or more."""
     # lines of one site need no sketch: least and greatest site tell them, in a plain hash aggregation
     several = lines.groupBy("a", "b").agg(F.min("site").alias("lo"), F.max("site").alias("hi"), F.min("id").alias("keeper")).where("lo <> hi" if min_sites > 1 else "true").select("a", "b", "keeper")
     several = saved(several, "lines")
-    again = lines.join(several.select("a", "b"), ["a", "b"], "left_semi")
+    again = lines.join(_sent(several.select("a", "b")), ["a", "b"], "left_semi")
     sketches = again.groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("estimate"))
     spread = saved(sketches.where(F.col("estimate") >= F.lit(min_sites * (1 - BAND))), "spread")
     near = spread.where(F.col("estimate") <= F.lit(min_sites * (1 + BAND))).select("a", "b")
-    exact = lines.join(near, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count_distinct("site").alias("exact"))
+    exact = lines.join(_sent(near), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count_distinct("site").alias("exact"))
     sites = F.coalesce(F.col("exact"), F.col("estimate"))
     return spread.join(exact, ["a", "b"], "left").withColumn("sites", sites).where(F.col("sites") >= min_sites).select("a", "b", "sites").join(several, ["a", "b"])
 
@@ -63,12 +70,14 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str
     name, gone = fresh(taken, "_line_doc"), fresh(taken, "_line_gone")
     # per document and text: the keys that go (bounded by the lines of the document)
     t, i = F.col(text_col), F.col(id_col)
-    hits = lines_of.join(found, ["a", "b"]).where(~F.col("id").eqNullSafe(F.col("keeper")) | F.col("id").isNull())
-    per_doc = hits.groupBy("id", "h").agg(F.collect_set("a").alias(gone)).select(F.struct("id", "h").alias(name), gone)
+    hits = lines_of.join(_sent(found.select("a", "b", "keeper")), ["a", "b"]).where(~F.col("id").eqNullSafe(F.col("keeper")) | F.col("id").isNull())
+    per_doc = saved(hits.groupBy("id", "h").agg(F.collect_set(F.struct("a", "b")).alias(gone)).select(F.struct("id", "h").alias(name), gone), "hits")
     key = F.struct(i.alias("id"), F.xxhash64(t).alias("h"))
-    joined = docs.join(per_doc, key == F.col(name), "left")
+    # texts travel only if too many of them lose a line
+    few = (per_doc.agg(F.sum(F.size(gone) + 4)).first()[0] or 0) <= BROADCAST_LINES
+    joined = docs.join(F.broadcast(per_doc) if few else per_doc, key == F.col(name), "left")
     lines = F.split(t, "\n", -1)
-    stays = F.filter(lines, lambda x: F.col(gone).isNull() | line_key(x).isNull() | ~F.array_contains(F.col(gone), F.coalesce(line_key(x)["a"], F.lit(0))))
+    stays = F.filter(lines, lambda x: F.col(gone).isNull() | line_key(x).isNull() | ~F.array_contains(F.col(gone), F.coalesce(line_key(x), F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))))
     text = F.when(F.col(gone).isNull(), t).otherwise(F.array_join(stays, "\n"))
     out = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if counts:

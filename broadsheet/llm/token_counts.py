@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import PIECES, ByteBPE, load, units
 
-#: Entries that a worker's caches hold before they start anew, and characters merged at once.
-CACHE, CHUNK = 1_000_000, 4_000_000
+#: Entries (some 150 bytes each) that a worker's caches hold before they start anew, and characters merged at once.
+CACHE, CHUNK = 150_000, 1_000_000
 _NONE = np.int64(1 << 40)
 
 

@@ -9,18 +9,21 @@ File format (a folder):
   two bits for each rank, the number of its bytes less one, four ranks in a byte from the low bits up.
 * ``ranks/``: Parquet with ``rank`` and ``id``. Its size is that of the vocabulary.
 
-Encoder and decoder are numpy table lookups over a whole document; the decoder looks every control byte up
-in a 256-row table of lengths. Spark's writer commits the files, so a lost executor's part is written anew.
+Encoder and decoder are numpy table lookups over a batch of documents at once; the decoder looks every control byte
+up in a 256-row table of lengths. Spark's writer commits the files, so a lost executor's part is written anew.
 
 Texts are tokenized by the public ``tokenizers`` library. As its normalizer and split work within runs of
-non-blanks, each distinct run is encoded once and kept in a bounded cache.
+non-blanks, each distinct run is encoded once and kept in a cache of bounded size; runs are cut once more, at marks
+behind letters, where the split always parts them.
 
 Null texts count as empty; an empty text has the end id alone. Documents are ordered by id, nulls first;
-rows with one id are ordered by their number of tokens, then by their packed ids. Repeated rows are written repeatedly. Other columns are not read.
+rows with one id are ordered by their number of tokens, then by their ids' bytes. Repeated rows are written repeatedly. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,47 +35,70 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import dropped, new_path, saved
+from .byte_bpe import byte_chars
+from .common import BoundedCache, dropped, new_path, saved
 
-CACHE = 600_000
 #: Lengths of the four ranks that a control byte describes.
 LENGTHS = np.stack([(np.arange(256) >> 2 * k & 3) + 1 for k in range(4)], axis=1).astype(np.int64)
 _MASK = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint64)
+#: Ids that are packed or unpacked at once, and bytes of ids that one task sorts and writes.
+BATCH_IDS, PART_BYTES = 1_000_000, 32_000_000
+#: A letter or digit, then an ASCII mark: no alternative of the split pattern runs across.
+_CUT = re.compile(r"(?<=[^\W_])(?=[!-/:-@\[-`{-~])")
+#: Small Latin letters; none of them is changed by normalization as long as no mark stands behind.
+_SMALL = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 
 class RunTokenizer:
-    """The library's ids of whole texts, through a cache of runs of non-blanks."""
+    """The library's ids of whole texts, through caches of runs of non-blanks and of their pieces."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.runs: dict[bytes, bytes] = {}
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        if not _splits_at_blanks(path):
+        spec = _spec(path)
+        if not _splits_at_blanks(spec):
             raise ValueError("this tokenizer does not drop blanks; its texts cannot be cut at them")
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        self.plain = _is_plain(spec)
+        self.added = [t["content"].lower() for t in spec.get("added_tokens", [])]
+        self.chars = {b: c for b, c in enumerate(byte_chars())}
+        self.dtype = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.renew()
+
+    def renew(self) -> None:
+        self.pieces, self.runs = BoundedCache(self._piece), BoundedCache(self._run)
+
+    def _ids(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        if self.plain and _SMALL.fullmatch(piece):  # the normalizer and the split leave it as it is
+            return self._ids([t.id for t in self.tokenizer.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.chars))])
+        return self._ids(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+
+    def _run(self, run: bytes) -> bytes:
+        text = run.decode()
+        low = text.lower()
+        # the one letter whose small form ends in a mark stays with the marks behind it
+        if not self.plain or "\u0130" in text or any(t in low for t in self.added):
+            return self._ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if all(c < "\u0100" for c in text):  # beyond Latin-1, lowering before or after normalizing may differ
+            text = low
+        return b"".join(map(self.pieces.__getitem__, _CUT.sub(" ", text).split(" ")))
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text, in little-endian integers of ``dtype``."""
         # bytes split at the ASCII blanks only; other blanks stay inside a run and are left to the library
-        cut = [t.encode().split() for t in texts]
-        new = list({r for c in cut for r in c} - self.runs.keys())
-        if len(self.runs) + len(new) > CACHE:
-            self.runs.clear()
-            new = list({r for c in cut for r in c})
-        for k in range(0, len(new), 20_000):
-            found = self.tokenizer.encode_batch_fast([r.decode() for r in new[k : k + 20_000]], add_special_tokens=False)
-            self.runs.update(zip(new[k : k + 20_000], (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
-        of = self.runs.__getitem__
-        return [b"".join(map(of, c)) for c in cut]
-
-
-@lru_cache(maxsize=4)
-def _splits_at_blanks(path: str) -> bool:
-    import json
+        return b"".join(map(self.runs.__getitem__, text.encode().split()))
+
 
+def _spec(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+        return json.load(f)
+
+
+def _splits_at_blanks(spec: dict) -> bool:
     pre = spec.get("pre_tokenizer") or {}
     first = (pre.get("pretokenizers") or [{}])[0]
     plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or set(t["content"]) & set(" \t\n\r\v\f")) for t in spec.get("added_tokens", []))
@@ -80,110 +106,131 @@ def _splits_at_blanks(path: str) -> bool:
     return plain and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and "\\s+" not in first["pattern"].get("Regex", "\\s+") and not spec.get("truncation") and not spec.get("padding")
 
 
+def _is_plain(spec: dict) -> bool:
+    """Whether normalizer and split are the published ones: NFC, blanks, lower case; contractions, letters, a digit, marks."""
+    steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    pattern = pre[0].get("pattern", {}).get("Regex") if pre else None
+    return steps == ["NFC", "Replace", "Lowercase"] and pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and [p.get("type") for p in pre[1:]] == ["ByteLevel"] and not pre[1].get("add_prefix_space") and not pre[1].get("use_regex")
+
+
 @lru_cache(maxsize=2)
 def _runs(path: str) -> RunTokenizer:
     return RunTokenizer(path)
 
 
-def _batches(texts: pd.Series, most: int = 4_000_000) -> Iterator[list[str]]:
-    part, chars = [], 0
-    for t in texts:
-        part.append(t or "")
-        chars += len(part[-1])
-        if chars > most:
-            yield part
-            part, chars = [], 0
-    if part:
-        yield part
+def _slices(n_ids: np.ndarray) -> Iterator[slice]:
+    """Rows of a batch in slices of about BATCH_IDS ids, one row at least."""
+    part = np.cumsum(n_ids) // BATCH_IDS
+    head = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    for lo, hi in zip(head.tolist(), [*head[1:].tolist(), len(part)], strict=True):
+        yield slice(lo, hi)
+
 
+def _cut(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    raw, ends = flat.tobytes(), np.cumsum(sizes).tolist()
+    return [raw[lo:hi] for lo, hi in zip([0, *ends[:-1]], ends, strict=True)]
 
-def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control, data) of the ranks."""
+
+def pack(ranks: np.ndarray, n: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """(control, data) of each of some documents, whose ``n`` ranks each lie in a row."""
     r = ranks.astype("<u4")
-    n = 1 + (r > 0xFF).astype(np.int64) + (r > 0xFFFF) + (r > 0xFFFFFF)
-    padded = np.zeros(-(-len(r) // 4) * 4, np.uint8)
-    padded[: len(r)] = n - 1
+    more = (r > 0xFF).astype(np.uint8) + (r > 0xFFFF) + (r > 0xFFFFFF)
+    fours = -(-n // 4)
+    padded = np.zeros(int(fours.sum()) * 4, np.uint8)
+    padded[np.arange(len(r)) + np.repeat(4 * (np.cumsum(fours) - fours) - (np.cumsum(n) - n), n)] = more
     four = padded.reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    data = r.view(np.uint8).reshape(-1, 4)[np.arange(4) < n[:, None]]
-    return control.tobytes(), data.tobytes()
+    data = r.view(np.uint8).reshape(-1, 4)[np.arange(4, dtype=np.uint8) <= more[:, None]]
+    ends = np.append(0, np.cumsum(more, dtype=np.int64) + np.arange(1, len(r) + 1))[np.cumsum(n)]
+    return _cut(control, fours), _cut(data, np.diff(np.append(0, ends)))
 
 
-def unpack(control: bytes, data: bytes, n_tokens: int) -> np.ndarray:
-    """The ranks that ``pack`` was given."""
-    size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n_tokens]
-    if not n_tokens:
+def unpack(control: list[bytes], data: list[bytes], n: np.ndarray) -> np.ndarray:
+    """The ranks that ``pack`` was given, in a row."""
+    size = LENGTHS[np.frombuffer(b"".join(control), np.uint8)].ravel()
+    fours = -(-n // 4)
+    size = size[np.arange(int(n.sum())) + np.repeat(4 * (np.cumsum(fours) - fours) - (np.cumsum(n) - n), n)]
+    if not len(size):
         return np.zeros(0, np.uint32)
     begin = np.cumsum(size) - size
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
+    raw = np.frombuffer(b"".join([*data, b"\0\0\0"]), np.uint8)
     out = raw[begin].astype(np.uint64)
     for k in range(1, 4):
         out |= raw[begin + k].astype(np.uint64) << np.uint64(8 * k)
     return (out & _MASK[size]).astype(np.uint32)
 
 
-def encoded(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_tokens, control, data of each document: its ids with the end id, packed as they are. Written, so that texts are tokenized once."""
+def encoded(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Two tables, written by one pass over the texts: doc_id, n_tokens, ids of each document with the end id, and id, n of each task's ids."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        runs, end = _runs(path), np.array([end_id], "<u4").tobytes()
+        runs, count = _runs(path), np.zeros(0, np.int64)
+        end = runs._ids([end_id])
         for pdf in batches:
-            names = iter(pdf["doc_id"])
-            for part in _batches(pdf["text"]):
-                rows = [(next(names), len(ids) // 4 + 1, *pack(np.frombuffer(ids + end, "<u4"))) for ids in runs.encode_all(part)]
-                yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "control", "data"])
+            found, held, lo = [], 0, 0
+            names, last = pdf["doc_id"], len(pdf) - 1
+            for k, text in enumerate(pdf["text"]):
+                found.append((runs.encode(text) if text else b"") + end)
+                held += len(found[-1])
+                if held > 2 * BATCH_IDS or k == last:
+                    count = _added(count, np.frombuffer(b"".join(found), runs.dtype))
+                    out = pd.DataFrame({"doc_id": names.iloc[lo : k + 1], "n_tokens": [len(x) // len(end) for x in found], "ids": pd.Series(found, dtype=object, index=names.index[lo : k + 1])})
+                    yield out.assign(id=None, n=None)
+                    found, held, lo = [], 0, k + 1
+        runs.renew()  # a worker lives on; what it learnt need not
+        used = np.flatnonzero(count)
+        yield pd.DataFrame({"doc_id": pd.Series([None] * len(used), dtype=object), "n_tokens": None, "ids": None, "id": used, "n": count[used]})
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return saved(own.mapInPandas(encode, f"doc_id {kind}, n_tokens long, control binary, data binary"), "encoded")
+    both = saved(own.mapInPandas(encode, f"doc_id {kind}, n_tokens long, ids binary, id long, n long"), "encoded")
+    return both, both.where("id is not null").select("id", "n")
 
 
-def rank_table(ids: DataFrame) -> np.ndarray:
-    """rank -> id over all encoded documents. Counts are summed in each task, then by Spark; the driver gets one row per id of the vocabulary."""
+def _added(count: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    own = np.bincount(ids, minlength=len(count))
+    own[: len(count)] += count
+    return own
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(0, np.int64)
-        for pdf in batches:
-            found = [unpack(c, d, n) for c, d, n in zip(pdf["control"], pdf["data"], pdf["n_tokens"], strict=True)]
-            own = np.bincount(np.concatenate(found), minlength=len(total))
-            own[: len(total)] += total
-            total = own
-        used = np.flatnonzero(total)
-        yield pd.DataFrame({"id": used, "n": total[used]})
-
-    sums = ids.select("n_tokens", "control", "data").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    rows = sums.toPandas()
+
+def rank_table(counts: DataFrame) -> np.ndarray:
+    """rank -> id over all documents, from (id, n); the driver gets one row per id of the vocabulary."""
+    rows = counts.groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     return rows.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(np.uint32)
 
 
 def write_token_files(docs: DataFrame, to: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write all documents to the folder ``to`` in ascending order of their ids."""
     spark = docs.sparkSession
-    ids = encoded(docs, path, end_id, id_col, text_col)
-    of_rank = rank_table(ids)
+    both, counts = encoded(docs, path, end_id, id_col, text_col)
+    of_rank = rank_table(counts)
     table = pd.DataFrame({"rank": np.arange(len(of_rank)), "id": of_rank.astype(np.int64)})
     spark.createDataFrame(table, "rank long, id long").coalesce(1).write.parquet(f"{to}/ranks")
     shared = spark.sparkContext.broadcast(of_rank)  # at most the vocabulary
+    kind, width = both.schema["doc_id"].dataType.simpleString(), np.dtype(_runs(path).dtype).itemsize
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rank = np.zeros(int(shared.value.max(initial=0)) + 1, np.uint32)
         rank[shared.value] = np.arange(len(shared.value), dtype=np.uint32)
         part_no, at = TaskContext.get().partitionId(), 0
-        for pdf in batches:
-            rows = []
-            for name, n, control, data in zip(pdf["doc_id"], pdf["n_tokens"], pdf["control"], pdf["data"], strict=True):
-                rows.append((name, part_no, at, n, *pack(rank[unpack(control, data, n)])))
-                at += n
-            yield pd.DataFrame(rows, columns=["doc_id", "part", "local_start", "n_tokens", "control", "data"])
-
-    kind = ids.schema["doc_id"].dataType.simpleString()
-    ordered = ids.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "control", "data")
+        for whole in batches:
+            for rows in _slices(whole["n_tokens"].to_numpy(np.int64)):
+                pdf = whole.iloc[rows]
+                n = pdf["n_tokens"].to_numpy(np.int64)
+                control, data = pack(rank[np.frombuffer(b"".join(pdf["ids"]), f"<u{width}")], n)
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], "part": part_no, "local_start": at + np.cumsum(n) - n, "n_tokens": n, "control": control, "data": data})
+                at += int(n.sum())
+
+    ids = both.where("ids is not null").select("doc_id", "n_tokens", "ids")
+    parts = max(1, -(-(ids.agg(F.sum("n_tokens")).first()[0] or 0) * width // PART_BYTES))  # so a part does not grow with the corpus
+    ordered = ids.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids")
     ordered.mapInPandas(write, f"doc_id {kind}, part int, local_start long, n_tokens long, control binary, data binary").write.parquet(f"{to}/ids")
-    dropped(ids)
+    dropped(both)
 
 
 def read_token_files(spark: SparkSession, at: str) -> DataFrame:
-    """doc_id, start, n_tokens, control, data and ``ranks`` (the folder's rank table, as an array of ids) of each document."""
+    """doc_id, start, n_tokens, control, data of each document; ``id_table`` has what the ranks stand for."""
     ids = spark.read.parquet(f"{at}/ids")
     # one row per part (a task's worth of documents), so this window and its broadcast are small
     sizes = ids.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
@@ -191,17 +238,27 @@ def read_token_files(spark: SparkSession, at: str) -> DataFrame:
     return ids.join(before, F.col("part") == F.col("_part")).select("doc_id", (F.col("_before") + F.col("local_start")).alias("start"), "n_tokens", "control", "data")
 
 
+def id_table(spark: SparkSession, at: str) -> np.ndarray:
+    """rank -> id of a folder; at most the vocabulary."""
+    rows = spark.read.parquet(f"{at}/ranks").toPandas()
+    return rows.sort_values("rank")["id"].to_numpy(np.uint32)
+
+
 def token_file_digests(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the files to the shared folder and return doc_id, start, n_tokens and ids_crc32 as read back from them."""
     spark = docs.sparkSession
     to = new_path(spark, "token-files")
     write_token_files(docs, to, path, end_id, id_col, text_col)
-    rows = spark.read.parquet(f"{to}/ranks").toPandas()  # at most the vocabulary
-    table = spark.sparkContext.broadcast(rows.sort_values("rank")["id"].to_numpy(np.uint32))
+    table = spark.sparkContext.broadcast(id_table(spark, to))
 
     @F.pandas_udf("long")
     def crc(control: pd.Series, data: pd.Series, n: pd.Series) -> pd.Series:
-        of_rank = table.value
-        return pd.Series([zlib.crc32(of_rank[unpack(c, d, k)].astype("<u4").tobytes()) for c, d, k in zip(control, data, n, strict=True)], dtype="int64")
+        out = []
+        for rows in _slices(n.to_numpy(np.int64)):
+            own = n.iloc[rows].to_numpy(np.int64)
+            flat = table.value[unpack(list(control.iloc[rows]), list(data.iloc[rows]), own)].astype("<u4").view(np.uint8).data
+            ends = (4 * np.cumsum(own)).tolist()
+            out += [zlib.crc32(flat[lo:hi]) for lo, hi in zip([0, *ends[:-1]], ends, strict=True)]
+        return pd.Series(out, dtype="int64")
 
     return read_token_files(spark, to).select("doc_id", "start", "n_tokens", crc("control", "data", "n_tokens").alias("ids_crc32"))

@@ -1,20 +1,26 @@
 """Operator 4: toxicity by maximum-scoring segments.
 
-Tokens are words (runs of letters, in lower case) cut to their first PREFIX letters. From the labelled rows
-that may be learnt from, each token gets a log-odds between toxic and other documents with a Dirichlet prior
-whose weight is spread by the token's share of all of them; tokens whose log-odds lie more than MIN_Z
-standard errors above zero score positive (at most MAX_FEATURES, the most significant), all others -DRIFT.
-A linear-time scan finds all maximal-scoring segments of a text. Karlin and Altschul's extreme-value law
-turns a segment's score S in a text of n tokens into significance: ``z = lambda * S - ln(K * n)``, where lambda
-solves ``sum p_i exp(lambda * s_i) = 1`` over the clean documents' tokens and K is fitted to the clean
-documents' best segments. A document's evidence is the sum of the z of all segments above zero, else its
-best z; a logistic curve fitted on all rows that may be learnt from makes it the score.
-
-Every whole text is scanned. Null texts count as empty; a text without tokens has no segment and gets the
-score of a text of one clean token. Ids with contradicting labels count as toxic; null labels are left out.
-Without labels of both classes the score is the share of toxic rows, 0 if there are none. Repeated rows get
-repeated results, an empty table gives an empty result. Labels, language, source and id are never inputs of
-a score; the id only says which labelled rows are held out.
+Tokens are words (runs of letters in lower case, cut into pieces of WORD letters; letters of scripts that are written
+without blanks stand alone). A token's score is the log-odds of being in a toxic document against being in any, under a
+hierarchical Dirichlet prior: the share of a token is drawn to that of its longest prefix in PREFIXES with a weight
+of PRIOR documents, a prefix's to that of the next shorter one, and the shortest to the share of all. So a word never
+seen is judged by its stem, and one seen thrice hardly departs from it. Counts are of (document, token) pairs;
+within a text a token scores at its first place only, repeats tell nothing new. DRIFT is taken from every score, so
+that they fall on average, as the law below asks.
+
+A linear-time scan finds all maximal-scoring segments of a text. Karlin and Altschul's extreme-value law turns a
+segment's score S in a text of n tokens into significance, ``z = lambda * S - ln(K * n)``, where lambda solves
+``sum p_i exp(lambda * s_i) = 1`` over the clean documents' scores and K is fitted to their best segments. A
+document's evidence is the sum of the z of all segments above zero, else its best z, on an inverse hyperbolic sine
+scale; a logistic curve fitted on the learnt-from rows makes it the score. These rows are scored as if they had not been
+learnt from: each one's own pair is taken out of every count it is scored by.
+
+The model is fitted on at most SAMPLE labelled documents, those of the least hashed ids, and holds at most MAX_NODES
+tokens and prefixes, those that depart most from their prefix; both are documented bounds of the model. Every whole text is
+scanned. Null texts count as empty; a text without tokens has no segment and gets the score of a text of one clean token.
+Ids with contradicting labels count as toxic; null labels are left out. Without labels of both classes the score is the
+share of toxic rows, 0 if there are none. Repeated rows get repeated results, an empty table gives an empty result.
+Labels, language, source and id are never inputs of a score; the id only says which labelled rows are held out.
 """
 
 from __future__ import annotations
@@ -31,44 +37,56 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, saved
+from .common import BoundedCache, fresh, saved
 
-PREFIX, PRIOR, MIN_Z, DRIFT, TOP = 6, 500.0, 4.0, 0.1, 8.0
-MIN_DOCS, MAX_FEATURES = 5, 50_000
+PREFIXES, WORD, PRIOR, DRIFT, MIN_DOCS = (3, 5, 7), 24, 30.0, 0.1, 3
+#: Bounds of the model: labelled documents it is fitted on, and tokens and prefixes it holds.
+SAMPLE, MAX_NODES = 200_000, 100_000
+#: A token or prefix whose score departs from its prefix's by less is left to that one.
+LEAST_CHANGE = 0.05
 #: Labelled ids up to this number are sent to all tasks (16 bytes each); beyond it the tables are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
-CACHE = 600_000
-LETTERS = re.compile(r"[^\W\d_]+")
+BROADCAST_IDS = 200_000
+#: Counters that a task holds before it hands them on.
+HELD = 200_000
+_ALONE = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿"
+LETTERS = re.compile(rf"[{_ALONE}]|[^\W\d_{_ALONE}]{{1,{WORD}}}")
+#: The score of a row that is not, is toxic, or is clean among those learnt from.
+PLAIN, TOXIC, CLEAN = 0, 1, 2
 
 
 @dataclass
 class Model:
-    scores: dict[str, float]
-    lam: float
+    nodes: dict[str, int]  # prefixes as they are, whole tokens with a blank behind
+    scores: np.ndarray  # of each node: plain, without a toxic pair, without a clean pair
+    lam: float = 1.0
     ln_k: float = 0.0
     a: float = 0.0
     b: float = 0.0
 
 
-def tokens(chunk: str) -> list[str]:
-    return [w[:PREFIX] for w in LETTERS.findall(chunk)]
+def words_of(text: str | None) -> list[str]:
+    return LETTERS.findall(text.lower()) if text else []
 
 
-class _ChunkScores(dict):
-    """Score and number of tokens of each run of non-blanks, kept up to CACHE entries."""
+def nodes_of(word: str) -> list[str]:
+    """The word's prefixes and itself, from the shortest on."""
+    return [*[word[:k] for k in PREFIXES if k < len(word)], word + " "]
 
-    def __init__(self, scores: dict[str, float]):
-        super().__init__()
-        self.scores = scores
 
-    def __missing__(self, chunk: str) -> tuple[float, int]:
-        found = tokens(chunk)
-        value = (sum([self.scores.get(w, -DRIFT) for w in found]), len(found))
-        if len(self) >= CACHE:
-            self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = value
-        return value
+def scorer(model: Model, kind: int = PLAIN) -> BoundedCache:
+    """The score of each token: that of its longest node that the model holds, 0 if it holds none."""
+    nodes, scores = model.nodes, model.scores[:, kind].tolist()
+
+    lengths = PREFIXES[::-1]
+
+    def score(word: str) -> float:
+        at = nodes.get(word + " ")
+        for k in lengths if at is None else ():
+            if k < len(word) and (at := nodes.get(word[:k])) is not None:
+                break
+        return 0.0 if at is None else scores[at]
+
+    return BoundedCache(score)
 
 
 def maximal_segments(scores: list[float], places: list[int], before: np.ndarray) -> list[tuple[int, int, float]]:
@@ -78,7 +96,7 @@ def maximal_segments(scores: list[float], places: list[int], before: np.ndarray)
     candidate segments is kept, each with the sums at its two ends; a new one is joined to the last
     candidate that begins lower, as long as that raises the score. Each is looked at a bounded number of times.
     """
-    found: list[list[float]] = []  # [sum before, sum behind, first, end]
+    found: list[list[float]] = []  # [sum before, sum behind, first, end, last candidate that begins lower]
     for p in places:
         new = [before[p], before[p + 1], p, p + 1]
         while True:
@@ -93,46 +111,51 @@ def maximal_segments(scores: list[float], places: list[int], before: np.ndarray)
     return [(int(f), int(e), r - l) for l, r, f, e, _ in found]
 
 
-def scan(text: str | None, chunk_scores: _ChunkScores) -> tuple[int, list[tuple[int, int, float]]]:
-    """(tokens, segments with word positions) of one text."""
-    chunks = text.lower().split() if text else []
-    if not chunks:
+def token_scores(words: list[str], score_of: BoundedCache) -> np.ndarray:
+    """A token's score at its first place, 0 at the others, less DRIFT everywhere."""
+    n = len(words)
+    out = np.full(n, -DRIFT)
+    first = dict(zip(reversed(words), range(n - 1, -1, -1), strict=True))
+    out[np.fromiter(first.values(), np.int64, len(first))] += np.fromiter(map(score_of.__getitem__, first), float, len(first))
+    return out
+
+
+def scan(text: str | None, score_of: BoundedCache) -> tuple[int, list[tuple[int, int, float]]]:
+    """(tokens, segments with token positions) of one text."""
+    words = words_of(text)
+    if not words:
         return 0, []
-    pairs = list(map(chunk_scores.__getitem__, chunks))
-    s = np.fromiter([p[0] for p in pairs], float, len(pairs))
-    n = sum([p[1] for p in pairs])
+    s = token_scores(words, score_of)
     places = np.flatnonzero(s > 0)
     if not len(places):
-        return n, []
-    return n, maximal_segments(s, places.tolist(), np.concatenate([[0.0], np.cumsum(s)]))
+        return len(words), []
+    return len(words), maximal_segments(s, places.tolist(), np.concatenate([[0.0], np.cumsum(s)]))
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    """token, toxic and other documents that have it, and its occurrences in the others."""
+    """node, toxic and other (document, token) pairs that fall under it. Counted in each task, then summed by Spark."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kinds: list[Counter] = [Counter(), Counter(), Counter()]
+        kinds: tuple[Counter, Counter] = (Counter(), Counter())
 
         def flush() -> pd.DataFrame:
-            names = list(kinds[1].keys() | kinds[0].keys() | kinds[2].keys())
-            out = pd.DataFrame({"token": names, "toxic": [kinds[0][w] for w in names], "other": [kinds[1][w] for w in names], "n_other": [kinds[2][w] for w in names]}).astype({"token": object})
+            names = list(kinds[0].keys() | kinds[1].keys())
+            out = pd.DataFrame({"node": pd.Series(names, dtype=object), "other": [kinds[0][w] for w in names], "toxic": [kinds[1][w] for w in names]})
             for k in kinds:
                 k.clear()
             return out
 
         for pdf in batches:
             for text, toxic in zip(pdf["text"], pdf["_toxic"], strict=True):
-                chunks = Counter(tokens((text or "").lower()))
-                if toxic:
-                    kinds[0].update(chunks.keys())
-                else:
-                    kinds[1].update(chunks.keys())
-                    kinds[2].update(chunks)
-            if sum(map(len, kinds)) > 2_000_000:
-                yield flush()
+                own = kinds[1 if toxic else 0]
+                words = set(words_of(text))
+                own.update({n for w in words for n in nodes_of(w)})
+                own[""] += len(words)
+                if len(kinds[0]) + len(kinds[1]) > HELD:
+                    yield flush()
         yield flush()
 
-    return rows.mapInPandas(count, "token string, toxic long, other long, n_other long").groupBy("token").agg(*[F.sum(c).alias(c) for c in ("toxic", "other", "n_other")])
+    return rows.mapInPandas(count, "node string, other long, toxic long").groupBy("node").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
 
 
 def learnable(labels: DataFrame, label_id: str = "doc_id", label: str = "toxic", folds: int = 5) -> DataFrame:
@@ -144,33 +167,45 @@ def held_out(id_: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def learn(rows: DataFrame, train: DataFrame) -> Model | None:
-    """Token scores and lambda from ``rows`` (text, _toxic). None without both classes."""
+def learn(rows: DataFrame) -> Model | None:
+    """Token scores from ``rows`` (text, _toxic). None without tokens of both classes."""
     counts = saved(_counts(rows), "toxicity")
-    size = train.agg(F.count_if(F.col("_toxic") == 1), F.count_if(F.col("_toxic") != 1)).first()
-    if not size[0] or not size[1]:
+    total = counts.where("node = ''").select("toxic", "other").first()
+    if total is None or not total[0] or not total[1]:
         return None
-    total = counts.agg(F.sum(F.col("toxic") + F.col("other")), F.sum("n_other")).first()
-    prior = F.lit(PRIOR) * (F.col("toxic") + F.col("other")) / F.lit(float(total[0] or 1))
-    t, o = F.col("toxic") + prior, F.col("other") + prior
-    # presence of the token in a document of either class
-    odds = F.log(t / (F.lit(size[0] + PRIOR) - t)) - F.log(o / (F.lit(size[1] + PRIOR) - o))
-    scored = counts.where(F.col("toxic") + F.col("other") >= MIN_DOCS).withColumns({"odds": odds, "z": odds / F.sqrt(1 / t + 1 / o)})
-    top = scored.where(F.col("z") > MIN_Z).orderBy(F.desc("z"), "token").limit(MAX_FEATURES).toPandas()
-    scores = {w: float(min(s, TOP)) for w, s in zip(top["token"], top["odds"], strict=True)}
-    n = max(float(total[1] or 0), 1.0)
-    p = np.maximum(top["n_other"].to_numpy(float), 0.5) / n
-    return Model(scores, extreme_lambda(p, np.array(list(scores.values()))))
+    base = total[0] / (total[0] + total[1])
+    counts = counts.where((F.col("node") != "") & (F.col("toxic") + F.col("other") >= MIN_DOCS))
+    size = F.length(F.rtrim("node"))
+    now = counts.withColumn("pairs", F.struct("toxic", "other"))
+    for k in PREFIXES:  # whatever falls under a node falls under its prefixes too, so they are there
+        own = counts.where(~F.col("node").endswith(" ") & (F.length("node") == k)).select(F.col("node").alias("up"), F.struct("toxic", "other").alias(f"under{k}"))
+        now = now.join(own, (F.substring("node", 1, k) == F.col("up")) & (size > k), "left").drop("up")
+
+    def odds(r: Column) -> Column:
+        return F.log(r / (1 - r)) - math.log(base / (1 - base))
+
+    scores, changes = [], []
+    for toxic_less, other_less in ((0, 0), (1, 0), (0, 1)):  # PLAIN, TOXIC, CLEAN
+        rate, above = F.lit(base), None
+        for c in [*(F.col(f"under{k}") for k in PREFIXES), F.col("pairs")]:
+            t, o = F.greatest(c["toxic"] - toxic_less, F.lit(0)), F.greatest(c["other"] - other_less, F.lit(0))
+            above = rate
+            rate = (F.coalesce(t, F.lit(0)) + PRIOR * above) / (F.coalesce(t + o, F.lit(0)) + PRIOR)  # without such a prefix: as above
+        scores.append(odds(rate))
+        changes.append(F.abs(odds(rate) - odds(above)))
+    out = now.select("node", F.array(*scores).alias("scores"), F.greatest(*changes).alias("change"))
+    top = out.where(F.col("change") >= LEAST_CHANGE).orderBy(F.desc("change"), "node").limit(MAX_NODES).select("node", *[F.col("scores")[k].alias(f"s{k}") for k in range(3)]).toArrow().to_pandas()
+    return Model({n: k for k, n in enumerate(top["node"])}, top[["s0", "s1", "s2"]].to_numpy(float))
 
 
 def extreme_lambda(p: np.ndarray, s: np.ndarray) -> float:
-    """The positive root of sum p exp(lambda s) + (1 - sum p) exp(-lambda DRIFT) = 1; 1 if scores do not fall on average."""
-    rest = 1 - p.sum()
+    """The positive root of sum p exp(lambda s) = 1; 1 if scores do not fall on average or never rise."""
+    p = p / max(p.sum(), 1e-300)
 
     def excess(x: float) -> float:
-        return float((p * np.exp(x * s)).sum() + rest * math.exp(-x * DRIFT) - 1)
+        return float((p * np.exp(x * s)).sum() - 1)
 
-    if not len(s) or float((p * s).sum()) - rest * DRIFT >= 0:
+    if not len(s) or float((p * s).sum()) >= 0 or s.max() <= 0:
         return 1.0
     low, high = 1e-6, 1.0
     while excess(high) < 0 and high < 64:
@@ -181,27 +216,35 @@ def extreme_lambda(p: np.ndarray, s: np.ndarray) -> float:
     return high
 
 
-def segments_column(text: Column, model: Broadcast) -> Column:
-    """struct(n tokens, segment scores) of each text."""
+def clean_scores(rows: DataFrame, model: Broadcast) -> pd.DataFrame:
+    """s, n: the tokens' scores in clean rows in steps of 1/50, and how many there are. At most some thousand rows."""
 
-    @F.pandas_udf("n long, segments array<double>")
-    def segments(texts: pd.Series) -> pd.DataFrame:
-        cache = _cached(model)
-        rows = [scan(t, cache) for t in texts]
-        return pd.DataFrame({"n": [n for n, _ in rows], "segments": pd.Series([[x[2] for x in found] for _, found in rows], dtype=object)})
+    def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score_of, total = scorer(model.value, CLEAN), Counter()
+        for pdf in batches:
+            for text in pdf["text"]:
+                words = words_of(text)
+                if words:
+                    at, n = np.unique(np.rint(token_scores(words, score_of) * 50).astype(np.int64), return_counts=True)
+                    total.update(dict(zip(at.tolist(), n.tolist(), strict=True)))
+        yield pd.DataFrame({"bin": list(total.keys()), "n": list(total.values())}, dtype="int64")
 
-    # so marked, it is not run once for the filter and once more for the column
-    return segments.asNondeterministic()(text)
+    out = rows.where("_toxic <> 1").select("text").mapInPandas(bins, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").toPandas()
+    return pd.DataFrame({"s": out["bin"] / 50, "n": out["n"]})
 
 
-_caches: dict[int, _ChunkScores] = {}
+def segments_column(text: Column, model: Broadcast, kind: Column | None = None) -> Column:
+    """struct(n tokens, segment scores) of each text, scored as rows of ``kind`` (PLAIN if none is given)."""
 
+    @F.pandas_udf("n long, segments array<double>")
+    def segments(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        of = {k: scorer(model.value, k) for k in (PLAIN, TOXIC, CLEAN)}  # gone with the task
+        for texts, kinds in batches:
+            rows = [scan(t, of[k]) for t, k in zip(texts, kinds, strict=True)]
+            yield pd.DataFrame({"n": [n for n, _ in rows], "segments": pd.Series([[x[2] for x in found] for _, found in rows], dtype=object)})
 
-def _cached(model: Broadcast) -> _ChunkScores:
-    """One cache per model in a worker; an earlier model's goes."""
-    if model.value.scores is not getattr(_caches.get(0), "scores", None):
-        _caches[0] = _ChunkScores(model.value.scores)
-    return _caches[0]
+    # so marked, it is not run once for the filter and once more for the column
+    return segments.asNondeterministic()(text, F.lit(PLAIN) if kind is None else kind)
 
 
 def best_z(lam: float, ln_k: float, n: str = "n", segments: str = "segments") -> Column:
@@ -234,21 +277,27 @@ def logistic(x: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[float, fl
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "toxic", folds: int = 5) -> Model | float:
     """The model of the labelled documents that may be learnt from; a constant score if these lack a class."""
-    train = saved(learnable(labels, label_id, label, folds), "train")
+    train = learnable(labels, label_id, label, folds).orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(SAMPLE)
+    train = saved(train, "train")
     n_train, n_toxic = train.agg(F.count("*"), F.coalesce(F.sum("_toxic"), F.lit(0))).first()
     constant = n_toxic / n_train if n_train else 0.0
     side = F.broadcast(train) if n_train <= BROADCAST_IDS else train
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).join(side, F.col("_doc") == F.col("_id")).select("text", "_toxic")
-    model = learn(rows, train)
+    rows = saved(rows, "learnt-from")  # at most the sample's texts and their copies: the corpus is read once to find them
+    model = learn(rows)
     if model is None:
         return constant
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES tokens
-    known = saved(rows.select("_toxic", segments_column(F.col("text"), shared).alias("_s")).select("_toxic", "_s.*"), "segments")
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_NODES tokens and prefixes
+    clean = clean_scores(rows, shared)
+    model.lam = extreme_lambda(clean["n"].to_numpy(float), clean["s"].to_numpy(float))
+    kind = F.when(F.col("_toxic") == 1, TOXIC).otherwise(CLEAN)
+    known = saved(rows.select("_toxic", segments_column(F.col("text"), shared, kind).alias("_s")).select("_toxic", "_s.*"), "segments")
     # method of moments on the clean documents' best segments
     best = F.lit(model.lam) * F.coalesce(F.array_max("segments"), F.lit(0.0)) - F.log(F.greatest("n", F.lit(1)).cast("double"))
     model.ln_k = float(known.where("_toxic <> 1 and n > 0").agg(F.coalesce(F.avg(best), F.lit(0.0))).first()[0]) - float(np.euler_gamma)
-    # all rows that may be learnt from, as counts by evidence: at most 1801 rows reach the driver
+    # all rows that may be learnt from, as counts by evidence: some hundred rows reach the driver
     bins = known.select(F.round(evidence(model) * 20).cast("int").alias("bin"), "_toxic").groupBy("bin").agg(F.count_if(F.col("_toxic") == 1).alias("pos"), F.count_if(F.col("_toxic") != 1).alias("neg")).orderBy("bin").toPandas()
+    shared.unpersist()
     if not len(bins):
         return constant
     model.a, model.b = logistic(bins["bin"].to_numpy(float) / 20, bins["pos"].to_numpy(float), bins["neg"].to_numpy(float))
@@ -256,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def evidence(model: Model, n: str = "n", segments: str = "segments") -> Column:
-    return F.least(F.greatest(best_z(model.lam, model.ln_k, n, segments), F.lit(-30.0)), F.lit(60.0))
+    return F.asinh(best_z(model.lam, model.ln_k, n, segments))
 
 
 def with_score(docs: DataFrame, model: Model | float, name: str, text_col: str = "text") -> DataFrame:
@@ -265,13 +314,13 @@ def with_score(docs: DataFrame, model: Model | float, name: str, text_col: str =
         return docs.withColumn(name, F.lit(model))
     found = fresh(docs.columns, "_segments")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = docs.withColumn(found, segments_column(F.col(text_col), shared))
+    out = docs.withColumn(found, segments_column(F.col(f"`{text_col}`"), shared))
     x = evidence(model, f"{found}.n", f"{found}.segments")
     return out.withColumn(name, 1 / (1 + F.exp(-(F.lit(model.a) + F.lit(model.b) * x)))).drop(found)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "toxic", folds: int = 5) -> DataFrame:
-    """doc_id, held_out, score, predicted of each document. The labelled texts are read twice to learn, all of them once to score."""
+    """doc_id, held_out, score, predicted of each document. All texts are read once to find the labelled ones and once to be scored."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     scored = with_score(own, fit(own, labels, "doc_id", "text", label_id, label, folds), "score")
     return scored.select("doc_id", held_out(F.col("doc_id"), folds).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
@@ -283,17 +332,19 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return with_score(docs, fit(docs, labels, id_col, text_col), name, text_col).where(F.col(name) < 0.5).drop(name)
 
 
-def toxic_segments(docs: DataFrame, model: Broadcast, id_col: str = "doc_id", text_col: str = "text", min_z: float = 0.0) -> DataFrame:
-    """doc_id, first, end (in runs of non-blanks), score, z of every passage more significant than ``min_z``."""
+def toxic_segments(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", min_z: float = 0.0) -> DataFrame:
+    """doc_id, first, end (in tokens), score, z of every passage more significant than ``min_z``, by a model of ``fit``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<struct<first: long, end: long, score: double, z: double>>")
-    def passages(texts: pd.Series) -> pd.Series:
-        m, cache, rows = model.value, _cached(model), []
-        for t in texts:
-            n, found = scan(t, cache)
-            z = [m.lam * s - m.ln_k - math.log(max(n, 1)) for _, _, s in found]
-            rows.append([{"first": f, "end": e, "score": s, "z": x} for (f, e, s), x in zip(found, z, strict=True) if x > min_z])
-        return pd.Series(rows, dtype=object)
+    def passages(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m, score_of = shared.value, scorer(shared.value)
+        for texts in batches:
+            rows = []
+            for t in texts:
+                n, found = scan(t, score_of)
+                z = [m.lam * s - m.ln_k - math.log(max(n, 1)) for _, _, s in found]
+                rows.append([{"first": f, "end": e, "score": s, "z": x} for (f, e, s), x in zip(found, z, strict=True) if x > min_z])
+            yield pd.Series(rows, dtype=object)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.explode(passages(F.col(text_col))).alias("_p")).select("doc_id", "_p.*")
-
