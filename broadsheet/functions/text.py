@@ -90,16 +90,20 @@ def canonical_url(url: Column) -> Column:
 
 def template_key(title: Column) -> Column:
     """Runs of digits to #, other runs outside letters to one hyphen; null without four digits in a row or three letters."""
-    made = F.regexp_replace(F.regexp_replace(ascii_lower(title), "[0-9]+", "#"), "[^\\p{L}#]+", "-")
+    made = F.regexp_replace(F.regexp_replace(F.lower(title), "[0-9]+", "#"), "[^\\p{L}#]+", "-")
     letters = F.length(F.regexp_replace(title, "[^\\p{L}]", ""))
     return F.when(title.rlike("[0-9]{4}") & (letters >= 3), F.regexp_replace(made, "^-|-$", ""))
 
 
 def shingles(text: Column, width: int = 5) -> Column:
-    """The set of ``width``-character windows of the text's letters and digits."""
-    plain = F.regexp_replace(ascii_lower(text), "[^\\p{L}\\p{N}]", "")
-    at = F.when(F.length(plain) >= width, F.sequence(F.lit(1), F.length(plain) - width + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.substring(plain, i, F.lit(width))))
+    """The set of ``width``-character windows of the text's letters and digits. The characters are parted once, so a window costs the same wherever it stands."""
+    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]", "")
+
+    def of(chars: Column) -> Column:
+        at = F.when(F.size(chars) >= width, F.sequence(F.lit(0), F.size(chars) - width)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(at, lambda i: F.concat(*[chars[i + k] for k in range(width)])))
+
+    return F.transform(F.array(F.split(plain, "")), of)[0]
 
 
 def decay(half_lives: Column) -> Column:

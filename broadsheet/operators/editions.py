@@ -43,18 +43,23 @@ def quota_edition(candidates: DataFrame, size: int, per_publisher: int = PER_PUB
 
 
 def reader_states(actions: DataFrame, as_of: int) -> DataFrame:
-    """reader, story, seen, opened, saved, dismissed (times or null) after all actions up to ``as_of``.
+    """reader, story, seen, opened, saved, dismissed (times or null), reason after all actions up to ``as_of``.
 
     The latest of saving, dismissing and releasing wins: dismissing clears the save, saving clears the dismissal, releasing
-    clears both. All of it follows from the latest times, so it is one aggregation, combined before its shuffle.
+    clears both. Dismissing again keeps the first time and takes the new reason. One aggregation, combined before its shuffle;
+    of a reader and story only the dismissals are held in a row.
     """
     last = lambda kind: F.max(F.when(F.col("action") == kind, F.struct("moment", "action_id")))
     sums = actions.where(F.col("moment") <= as_of).groupBy("reader", "story").agg(
         F.max(F.when(F.col("action").isin("seen", "opened"), F.col("moment"))).alias("seen"), F.max(F.when(F.col("action") == "opened", F.col("moment"))).alias("opened"),
-        last("saved").alias("save"), last("dismissed").alias("dismiss"), last("unsaved").alias("free"),
+        last("saved").alias("save"), last("unsaved").alias("free"), F.collect_list(F.when(F.col("action") == "dismissed", F.struct("moment", "action_id", "reason"))).alias("gone"),
     )
     never = F.struct(F.lit(-1).cast("long").alias("moment"), F.lit(-1).cast("long").alias("action_id"))
-    save, dismiss, free = (F.coalesce(F.col(c), never) for c in ("save", "dismiss", "free"))
-    return sums.select(
-        "reader", "story", "seen", "opened", F.when((save > dismiss) & (save > free), F.col("save.moment")).alias("saved"), F.when((dismiss > save) & (dismiss > free), F.col("dismiss.moment")).alias("dismissed"),
+    save, free = F.coalesce("save", never), F.coalesce("free", never)
+    of = sums.withColumn("clear", F.greatest(save, free))
+    of = of.withColumn("gone", F.array_sort(F.filter("gone", lambda x: (x["moment"] > F.col("clear.moment")) | ((x["moment"] == F.col("clear.moment")) & (x["action_id"] > F.col("clear.action_id"))))))
+    still = F.size("gone") > 0
+    return of.select(
+        "reader", "story", "seen", "opened", F.when(~still & (save > free), F.col("save.moment")).alias("saved"), F.when(still, F.col("gone")[0]["moment"]).alias("dismissed"),
+        F.when(still, F.element_at("gone", -1)["reason"]).alias("reason"),
     )

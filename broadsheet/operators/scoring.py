@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import decay
 from ..sources.views import DAY, HOUR
@@ -89,39 +88,5 @@ def rank(columns: dict[str, Column], penalty: Column, dismissed: Column) -> Colu
     return total - penalty - F.when(dismissed, 200).otherwise(0)
 
 
-def affinity(candidates: DataFrame, feedback: DataFrame, as_of: int) -> DataFrame:
-    """story, reader, affinity: what a reader's feedback on other stories with common labels says about a story.
-
-    ``candidates``: story, label. ``feedback``: reader, story, action, at, label. Both are long tables of labels. Each (reader,
-    feedback, story) counts once however many labels they share: feedback is summed by reader and set of labels, the sums
-    meet the sets that share a label, and a story's own feedback is subtracted.
-    """
-    f = feedback.where((F.col("moment") <= as_of) & F.col("label").isNotNull()).groupBy("reader", F.col("story").alias("about"), "action", "moment").agg(F.array_sort(F.collect_set("label")).alias("said"))
-    points = chosen(F.col("action"), {"saved": 8.0, "dismissed": -12.0}, 0.0) * decay((F.lit(as_of) - F.col("moment")) / (30.0 * DAY))
-    f = f.withColumn("points", points)
-    of = candidates.where("label is not null").groupBy("story").agg(F.array_sort(F.collect_set("label")).alias("has"))
-    said = f.groupBy("reader", "said").agg(F.sum("points").alias("points"), F.count("*").alias("n"))
-    sets = said.select("said").distinct().withColumn("label", F.explode("said")).join(of.select("has").distinct().withColumn("label", F.explode("has")), "label").select("said", "has").distinct()
-    total = said.join(sets, "said").groupBy("reader", "has").agg(F.sum("points").alias("points"), F.sum("n").alias("n"))
-    own = f.join(of.withColumnRenamed("story", "about"), "about").where(F.arrays_overlap("said", "has")).groupBy("reader", F.col("about").alias("story")).agg(F.sum("points").alias("own"), F.count("*").alias("n_own"))
-    left = total.join(of, "has").join(own, ["reader", "story"], "left").where(F.col("n") > F.coalesce("n_own", F.lit(0)))
-    return left.select("reader", "story", (50 + F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.col("points") - F.coalesce("own", F.lit(0.0))))).alias("affinity"))
-
-
-def reading_bonus(signals: DataFrame, candidates: DataFrame, as_of: int) -> DataFrame:
-    """reader, story, bonus: strength of a story's best label among the reader's 150 latest signals of 30 days.
-
-    A label counts if at least two stories other than the scored one support it; the story's own part is subtracted.
-    """
-    recent = signals.where((F.col("moment") <= as_of) & (F.col("moment") > as_of - 30 * DAY))
-    nth = F.row_number().over(Window.partitionBy("reader").orderBy(F.desc("moment"), "story"))
-    top = recent.withColumn("nth", nth).where("nth <= 150").withColumn("strength", 2 * decay((F.lit(as_of) - F.col("moment")) / (14.0 * DAY)))
-    each = top.join(candidates, "story").groupBy("reader", "label", "story").agg(F.sum("strength").alias("own"))
-    total = each.groupBy("reader", "label").agg(F.count("*").alias("support"), F.sum("own").alias("all"))
-    of = total.join(candidates, "label").join(each, ["reader", "label", "story"], "left")
-    left = of.select("reader", "story", (F.col("support") - F.when(F.col("own").isNull(), 0).otherwise(1)).alias("others"), (F.col("all") - F.coalesce("own", F.lit(0.0))).alias("strength"))
-    return left.where("others >= 2").groupBy("reader", "story").agg(F.least(F.lit(20.0), F.max("strength")).alias("bonus"))
-
-
 def popularity(publishers: Column, first: Column, as_of: int) -> Column:
     return F.least(F.lit(3), publishers - 1) * F.pow(F.lit(2.0), -(F.lit(as_of) - first) / F.lit(float(DAY)))

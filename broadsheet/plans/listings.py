@@ -45,9 +45,10 @@ def f2_list_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.join(fresh, "story", "left_semi").join(first, "story", "left_semi").select("reader", "story", "saved")
 
 
-_STATES = f"""a as (select * from actions where moment <= {AS_OF}), l as (select reader, story, max(moment) filter (where action in ('seen', 'opened')) as seen, max(moment) filter (where action = 'opened') as opened,
-  arg_max(action, (moment, action_id)) filter (where action in ('saved', 'dismissed', 'unsaved')) as last, max(moment) filter (where action in ('saved', 'dismissed', 'unsaved')) as last_at from a group by reader, story),
-states as (select reader, story, seen, opened, case when last = 'saved' then last_at end as saved, case when last = 'dismissed' then last_at end as dismissed from l)"""
+_STATES = f"""a as (select *, moment * 1000000000 + action_id as mark from actions where moment <= {AS_OF}), l as (select reader, story, max(moment) filter (where action in ('seen', 'opened')) as seen,
+  max(moment) filter (where action = 'opened') as opened, coalesce(max(mark) filter (where action = 'saved'), -1) as save, coalesce(max(mark) filter (where action in ('saved', 'unsaved')), -1) as clear from a group by reader, story),
+g as (select l.reader, l.story, min(moment) as dismissed, arg_max(coalesce(reason, ''), mark) as reason from l join a using (reader, story) where action = 'dismissed' and mark > clear group by all),
+states as (select l.reader, l.story, seen, opened, case when dismissed is null and save >= 0 and save = clear then save // 1000000000 end as saved, dismissed, nullif(reason, '') as reason from l left join g using (reader, story))"""
 F2 = with_views(
     f"""+, {_STATES} select reader, story, saved from states where saved is not null
   and story in (select story from items where published <= {AS_OF} and published > {AS_OF} - {12 * DAY}) and story in (select story from items join sources using (source) where tier = 'T1')""",
@@ -71,13 +72,12 @@ F7 = with_views("select story, bool_and(tier in ('T1', 'T1.5')) as gate, bool_or
 
 
 def j4_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources without an item that anybody dismissed."""
-    gone = actions(spark, sf_dir).where("action = 'dismissed'").select("story").distinct()
-    hit = items(spark, sf_dir).join(gone, "story", "left_semi").select("source")
-    return sources(spark, sf_dir).join(hit, "source", "left_anti").select("source", "tier", "entity")
+    """Stories that nobody dismissed in the three days before the cut-off, with their items."""
+    gone = actions(spark, sf_dir).where((F.col("action") == "dismissed") & F.col("moment").between(AS_OF - 3 * DAY, AS_OF)).select("story")
+    return items(spark, sf_dir).join(gone, "story", "left_anti").groupBy("story").agg(F.count("*").alias("n_items"))
 
 
-J4 = with_views("select source, tier, entity from sources s where not exists (select 1 from items i join actions a on a.story = i.story where i.source = s.source and a.action = 'dismissed' and a.story < 100)", "items", "sources", "actions")
+J4 = with_views(f"select story, count(*) as n_items from items i where not exists (select 1 from actions a where a.story = i.story and a.action = 'dismissed' and a.moment between {AS_OF - 3 * DAY} and {AS_OF}) group by story", "items", "actions")
 
 
 def j10_time_band(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,13 +205,6 @@ W4 = with_views(_SCORE + """ select * from (select (latest + 28800) // 86400 as
   case when row_number() over (partition by (latest + 28800) // 86400 order by score desc, story) <= 5 then 'essential' else 'more' end as section from r where latest is not null) where position <= 10""", "items", "sources")
 
 
-def q1_edition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily editions of twenty items under quotas."""
-    e = _evidence(spark, sf_dir).where((F.col("published") <= AS_OF))
-    c = e.select(F.floor((F.col("published") + 8 * HOUR) / DAY).cast("long").alias("edition"), "item", (F.col("length") % 97).cast("double").alias("rank"), "published", F.col("domain").alias("publisher"), F.col("entity").alias("kind"), F.col("lang").alias("topic"))
-    return editions.quota_edition(c, 20)
-
-
 def o5_paging(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The third page of twenty of the newest items."""
     return items(spark, sf_dir).orderBy(F.desc_nulls_last("published"), "item").offset(40).limit(20).select("item", "published")
@@ -255,6 +248,6 @@ S4 = with_views(f"+, {_STATES} select reader, count(*) as n_rows, sum(strlen(con
 
 ALL = [
     (o3_score_topk, O3), (k1_evidence_score, K1), (f2_list_filter, F2), (u1_reader_states, U1), (f7_source_gate, F7), (j4_unseen, J4), (j10_time_band, J10), (g4_best_item, G4), (g11_first_per_source, G11),
-    (g13_cooccurrence, G13), (g14_source_coverage, G14), (g16_metrics, G16), (p3_calibration, P3), (w1_newest_windows, W1), (w2_oldest_windows, W2), (w4_sections, W4), (q1_edition, None), (o5_paging, O5),
+    (g13_cooccurrence, G13), (g14_source_coverage, G14), (g16_metrics, G16), (p3_calibration, P3), (w1_newest_windows, W1), (w2_oldest_windows, W2), (w4_sections, W4), (o5_paging, O5),
     (a1_due_sources, A1), (k11_popularity, K11), (s4_export, S4),
 ]

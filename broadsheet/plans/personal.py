@@ -5,19 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import editions, scoring
+from ..operators import scoring
 from ..sources.views import AS_OF, DAY, actions, items, sources, with_views
 
 
-def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """story, label: a story's labels are its sources' types and its languages."""
-    i = items(spark, sf_dir).join(sources(spark, sf_dir), "source")
-    return i.select("story", F.explode(F.array(F.concat_ws("/", F.col("entity"), F.col("tier")), "lang")).alias("label")).distinct()
-
-
-_LABELS = "labels_of as (select distinct story, unnest([entity || '/' || tier, lang]) as label from items join sources using (source) where story < 200)"
-
-
 def k5_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = items(spark, sf_dir).join(sources(spark, sf_dir), "source")
     kind = scoring.chosen(F.col("entity"), {"lab": "research", "project": "release", "author": "analysis"}, "news")
@@ -31,49 +22,6 @@ select item, round(case when h / half >= 100 then 0 else 100 * power(0.5, greate
 )
 
 
-def k6_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = _labels(spark, sf_dir)
-    said = actions(spark, sf_dir).where("action in ('saved', 'dismissed')").join(labels, "story")
-    a = scoring.affinity(labels, said, AS_OF)
-    return a.groupBy("reader").agg(F.count("*").alias("n_stories"), F.round(F.min("affinity"), 4).alias("least"), F.round(F.max("affinity"), 4).alias("most"))
-
-
-K6 = with_views(
-    f"""+, {_LABELS}, p as (select distinct a.reader, c.story, a.story as about, a.action, a.moment from actions a join labels_of l on l.story = a.story join labels_of c on c.label = l.label and c.story <> a.story where a.action in ('saved', 'dismissed') and a.moment <= {AS_OF}),
-s as (select reader, story, 50 + greatest(-40, least(40, sum(case action when 'saved' then 8 else -12 end * power(0.5, ({AS_OF} - moment) / 2592000.0)))) as affinity from p group by reader, story)
-select reader, count(*) as n_stories, round(min(affinity), 4) as least, round(max(affinity), 4) as most from s group by reader""",
-    "items", "sources", "actions",
-)
-
-
-def k7_reading_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = actions(spark, sf_dir).where("action = 'opened'").groupBy("reader", "story").agg(F.max("moment").alias("moment"))
-    b = scoring.reading_bonus(read, _labels(spark, sf_dir), AS_OF)
-    return b.groupBy("reader").agg(F.count("*").alias("n_stories"), F.round(F.sum("bonus"), 3).alias("total"))
-
-
-K7 = with_views(
-    f"""+, {_LABELS}, r as (select reader, story, max(moment) as moment from actions where action = 'opened' group by all), n as (select *, row_number() over (partition by reader order by moment desc, story) as nth from r where moment <= {AS_OF} and moment > {AS_OF - 30 * DAY}),
-e as (select reader, label, n.story, 2 * power(0.5, ({AS_OF} - moment) / 1209600.0) as own from n join labels_of l on l.story = n.story where nth <= 150),
-c as (select e.reader, l.story, e.label, count(*) as others, sum(e.own) as strength from labels_of l join e on e.label = l.label and e.story <> l.story group by all),
-b as (select reader, story, least(20, max(strength)) as bonus from c where others >= 2 group by all)
-select reader, count(*) as n_stories, round(sum(bonus), 3) as total from b group by reader""",
-    "items", "sources", "actions",
-)
-
-
-def k9_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best stories of every reader among those with a state of theirs."""
-    from pyspark.sql.window import Window
-
-    s = scoring.evidence_score(items(spark, sf_dir).join(sources(spark, sf_dir), "source"), AS_OF)
-    j = editions.reader_states(actions(spark, sf_dir), AS_OF).join(s, "story")
-    parts = {"significance": F.col("score"), "value": F.col("quality"), "interest": F.lit(35.0), "recency": F.col("freshness"), "quality": F.col("quality"), "affinity": F.when(F.col("saved").isNotNull(), 58.0).otherwise(50.0)}
-    total = scoring.rank(parts, scoring.novelty_penalty(F.col("opened"), F.col("seen"), F.lit(False), AS_OF), F.col("dismissed").isNotNull())
-    nth = F.row_number().over(Window.partitionBy("reader").orderBy(F.desc("rank"), "story"))
-    return j.withColumn("rank", F.round(total, 4)).withColumn("position", nth.cast("long")).where("position <= 10").select("reader", "story", "rank", "position")
-
-
 def t2_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Actions of each reader in buckets of six hours, and those beyond the limit of ten."""
     a = actions(spark, sf_dir).groupBy("reader", (F.floor(F.col("moment") / 21_600) * 21_600).cast("long").alias("bucket")).agg(F.count("*").alias("n"))
@@ -108,4 +56,4 @@ select reader, used, max(moment + {DAY}) filter (where used >= 2 and nth = used
     "actions",
 )
 
-ALL = [(k5_recency, K5), (k6_affinity, K6), (k7_reading_bonus, K7), (k9_rank, None), (t2_rate_limit, T2), (t3_exposures, T3), (g17_rolling_use, G17)]
+ALL = [(k5_recency, K5), (t2_rate_limit, T2), (t3_exposures, T3), (g17_rolling_use, G17)]

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import listings, personal, titles
+from . import editorial, listings, personal, titles
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (titles, listings, personal)
+PARTS = (titles, listings, personal, editorial)
 
 
 def queries() -> dict[str, Query]:

@@ -6,60 +6,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import scoring
-from ..sources.views import AS_OF, items, table, with_views
-
-#: Literal titles, as the given tables' invented words hold none of the patterns.
-TITLES = [
-    (1, "release", "abcdef0123456789: fix"), (2, "release", "my-build-linux_0123456789abcdef"), (3, "release", "nightly-20240101"), (4, "release", "ciflow/trunk/123456"), (5, "release", "b4321"), (6, "release", "Canary: new"),
-    (7, "news", "b4321"), (8, "release", "Version 2.0"), (9, "news", "GPT-6.0 arrives"), (10, "news", "The llama 3.1 models"), (11, "news", "ChatGPT 5 and Gemini 2"), (12, "news", "xgpt4 is none"), (13, "news", "Qwen v2.05"),
-    (14, "news", ""), (15, "news", None), (16, "release", "last-green"), (17, "news", "Deal 12345 of the day, now 3000 off!"), (18, "news", "Mistral–7 B"), (19, "release", "handoff_12345"), (20, None, "nightly"),
-]
-LABELS = [(1, " Agent "), (2, "RAG"), (3, "rust"), (4, "AI infra"), (5, "something else"), (6, ""), (7, None), (8, "推理"), (9, "hardware"), (10, "Industry")]
-
-
-def _quoted(x) -> str:
-    return "null" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
-
-
-def _values(rows) -> str:
-    return "(values " + ", ".join("(" + ", ".join(map(_quoted, r)) + ")" for r in rows) + ")"
-
+from ..sources.views import AS_OF, articles, items, pick, quoted, table, with_views
 
 def f5_development_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(TITLES, "id long, kind string, title string")
-    return rows.select("id", T.is_build(F.col("kind"), F.col("title")).alias("is_build"))
+    return articles(spark, sf_dir).select("item", T.is_build(F.col("type"), F.col("title")).alias("is_build"))
 
 
-F5 = f"""select id::bigint as id, coalesce(kind = 'release' and (regexp_matches(head, '{T.BUILD_HEADS[0]}') or regexp_matches(head, '{T.BUILD_HEADS[1]}') or regexp_matches(head, '{T.BUILD_HEADS[2]}')
+F5 = with_views(
+    f"""select item, coalesce(type = 'release' and (regexp_matches(head, '{T.BUILD_HEADS[0]}') or regexp_matches(head, '{T.BUILD_HEADS[1]}') or regexp_matches(head, '{T.BUILD_HEADS[2]}')
   or regexp_matches(head, '{T.BUILD_HEADS[3]}') or regexp_matches(head, '{T.BUILD_HEADS[4]}') or regexp_matches(lower(trim(title)), '{T.BUILD_TITLE}')), false) as is_build
-from (select *, lower(trim(split_part(title, ':', 1))) as head from {_values(TITLES)} t(id, kind, title))"""
+from (select *, lower(trim(split_part(title, ':', 1))) as head from articles)""",
+    "items", "sources", "articles",
+)
+#: Labels as publishers write them.
+LABELS = [" Agent ", "RAG", "rust", "AI infra", "something else", "推理", "hardware", "Industry", ""]
 
 
 def h14_topic_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(LABELS, "id long, label string").select("id", T.topic_alias(F.col("label")).alias("topic"))
+    return items(spark, sf_dir).select("item", T.topic_alias(pick(F.col("item"), LABELS)).alias("topic"))
 
 
-H14 = f"""select l.id::bigint as id, coalesce(a.topic, trim(l.label)) as topic from {_values(LABELS)} l(id, label)
-left join {_values(list(T.ALIASES.items()))} a(name, topic) on lower(trim(l.label)) = a.name"""
+H14 = with_views(
+    f"""select item, coalesce(a.topic, trim(l.label)) as topic from (select item, {quoted(LABELS)}[item % {len(LABELS)} + 1] as label from items) l
+left join (values {", ".join(f"('{k}', '{v}')" for k, v in T.ALIASES.items())}) a(name, topic) on lower(trim(l.label)) = a.name""",
+    "items",
+)
 
 
 def h18_model_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(TITLES, "id long, kind string, title string").select("id", T.model_key(F.col("title")).alias("model"))
+    return articles(spark, sf_dir).select("item", T.model_key(F.col("title")).alias("model"))
 
 
 _M = "(?:^|[^a-z0-9])(" + "|".join(T.FAMILIES) + ")[- ]?v?([0-9]+)(?:[.]([0-9]+))?"
-H18 = f"""select id::bigint as id, case when b <> '' then case a when 'chatgpt' then 'gpt' else a end || b || case when regexp_matches(c, '[1-9]') then '.' || c else '' end end as model
-from (select id, regexp_extract(t, '{_M}', 1) as a, regexp_extract(t, '{_M}', 2) as b, regexp_extract(t, '{_M}', 3) as c from (select id, translate(lower(title), '–—', '--') as t from {_values(TITLES)} v(id, kind, title)))"""
+H18 = with_views(
+    f"""select item, case when b <> '' then case a when 'chatgpt' then 'gpt' else a end || b || case when regexp_matches(c, '[1-9]') then '.' || c else '' end end as model
+from (select item, regexp_extract(t, '{_M}', 1) as a, regexp_extract(t, '{_M}', 2) as b, regexp_extract(t, '{_M}', 3) as c from (select item, translate(lower(title), '–—', '--') as t from articles))""",
+    "items", "sources", "articles",
+)
 
 
 def h19_template_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(TITLES, "id long, kind string, title string").select("id", T.template_key(F.col("title")).alias("template"))
+    return articles(spark, sf_dir).select("item", T.template_key(F.col("title")).alias("template"))
 
 
-H19 = f"""select id::bigint as id, case when regexp_matches(title, '[0-9][0-9][0-9][0-9]') and length(regexp_replace(title, '[^\\p{{L}}]', '', 'g')) >= 3
-  then regexp_replace(regexp_replace(regexp_replace(lower(title), '[0-9]+', '#', 'g'), '[^\\p{{L}}#]+', '-', 'g'), '^-|-$', '', 'g') end as template
-from {_values(TITLES)} v(id, kind, title)"""
+H19 = with_views(
+    """select item, case when regexp_matches(title, '[0-9][0-9][0-9][0-9]') and length(regexp_replace(title, '[^\\p{L}]', '', 'g')) >= 3
+  then regexp_replace(regexp_replace(regexp_replace(lower(title), '[0-9]+', '#', 'g'), '[^\\p{L}#]+', '-', 'g'), '^-|-$', '', 'g') end as template from articles""",
+    "items", "sources", "articles",
+)
 
 
 def h6_canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,14 +84,12 @@ H4 = "select doc_id, sha256(case when length(t) <= 280 then t else regexp_replac
 
 
 def h24_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items(spark, sf_dir).select("item", F.size(T.shingles(F.col("title"))).cast("long").alias("n_shingles"))
+    """Different five-character shingles of every whole text."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.size(T.shingles(F.col("text"))).cast("long").alias("n_shingles"))
 
 
-H24 = with_views(
-    """+, p as (select item, regexp_replace(lower(title), '[^\\p{L}\\p{N}]', '', 'g') as t from items)
-select p.item, count(distinct substr(t, i, 5)) as n_shingles from p left join (select item, unnest(range(1, length(t) - 3)) as i from p) r on p.item = r.item group by p.item""",
-    "items",
-)
+H24 = """with p as (select doc_id as item, coalesce(regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g'), '') as t from documents)
+select item, len(list_distinct(list_transform(range(1, greatest(length(t) - 3, 1)), lambda i: substr(t, i, 5)))) as n_shingles from p"""
 
 
 def h28_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,25 +108,7 @@ def h29_local_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 H29 = with_views("select cast(floor((published + 28800) / 86400) as bigint) as day, cast(floor((published + 3600) / 86400) as bigint) as edition, count(*) as n_items from items group by all", "items")
 
 
-def k3_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every publisher type with every kind, with and without each adjustment."""
-    names = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
-    flags = spark.range(32).select(*[(F.floor(F.col("id") / 2**k) % 2 == 1).alias(c) for k, c in enumerate(("launch", "flagship", "people", "major", "minor"))])
-    grid = names([*scoring.ROLE_OF, "other"], "entity").join(names(["release", "research", "analysis", "news", "tutorial", "discussion"], "kind"), F.lit(True)).join(flags, F.lit(True))
-    score = scoring.significance(*[F.col(c) for c in ("entity", "kind", "launch", "flagship", "people", "major", "minor")])
-    return grid.select("entity", "kind", "launch", "flagship", "people", "major", "minor", score.cast("long").alias("score"))
-
-
-_BASE = ", ".join(f"('{r}', '{k}', {p[k] if k in p else p['']})" for r, p in scoring.ROLE_POINTS.items() for k in ("release", "research", "analysis", "news", "tutorial", "discussion"))
-K3 = f"""with r(entity, role) as (values {", ".join(f"('{e}', '{r}')" for e, r in {**scoring.ROLE_OF, "other": "unknown"}.items())}), b(role, kind, points) as (values {_BASE}),
-f as (select i & 1 = 1 as launch, (i >> 1) & 1 = 1 as flagship, (i >> 2) & 1 = 1 as people, (i >> 3) & 1 = 1 as major, (i >> 4) & 1 = 1 as minor from range(32) t(i))
-select entity, kind, launch, flagship, people, major, minor, greatest(0, least(100, points
-  + case when role = 'first_party' and launch then case kind when 'release' then 20 when 'news' then 15 when 'research' then 5 else 0 end when role in ('editorial', 'unknown') and launch and flagship and kind in ('news', 'release') then 5 else 0 end
-  + case when flagship and role not in ('community', 'index') then 5 else 0 end - case when people then 10 else 0 end
-  + case when kind <> 'release' or role = 'first_party' then 0 when minor then -15 when major then 10 else 0 end))::bigint as score
-from r join b using (role) cross join f"""
-
 ALL = [
     (f5_development_build, F5), (h14_topic_alias, H14), (h18_model_key, H18), (h19_template_key, H19), (h6_canonical_url, H6), (h7_publisher_domain, H7), (h4_excerpt, H4),
-    (h24_shingles, H24), (h28_decay, H28), (h29_local_day, H29), (k3_significance, K3),
+    (h24_shingles, H24), (h28_decay, H28), (h29_local_day, H29),
 ]

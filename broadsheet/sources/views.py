@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: 2024-01-01, and the cut-off of the registered queries: 2024-01-20 00:00.
-EPOCH, AS_OF = 1_704_067_200, 1_705_708_800
+from ..functions.policy import FACETS
+
+#: The cut-off of the registered queries: 2024-01-20 00:00. Items are published over the thirty days before it and one day after.
+AS_OF = 1_705_708_800
 HOUR, DAY = 3600, 86_400
 
 
@@ -28,7 +30,7 @@ def pick(index: Column, names: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in names]), (index % len(names)).cast("int") + 1)
 
 
-TIERS = ["T1", "T1.5", "T2"]
+TIERS = ["T1", "T1.5", "T1", "T1.5", "T2", "T1", "T1.5"]
 ENTITIES = ["company", "lab", "project", "publication", "author", "podcast", "community"]
 LIFECYCLES = ["stable", "stable", "observing", "paused", "stable"]
 
@@ -49,29 +51,75 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         F.col("doc_id").alias("item"), F.floor(F.col("doc_id") / 5).cast("long").alias("story"), "source", "lang",
         F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 120).alias("title"), F.length("text").cast("long").alias("length"),
-        (F.lit(EPOCH) + F.col("doc_id") * 420).alias("published"),
+        (F.lit(AS_OF - 30 * DAY) + F.pmod(F.col("doc_id") * 48_271, F.lit(31 * DAY))).alias("published"),
     )
 
 
+#: What stands before an item's own words, so that the article rules have something to tell apart in the given tables' invented prose.
+HEADS = [
+    "", "How we built a faster pipeline: ", "Introducing GPT-6.0 ", "Claude Opus 4.5 is now available ", "Question: which GPU to buy ", "Webinar, register now: ", "Technical report on agent memory ", "v2.0.1 released ",
+    "nightly-20240101 ", "abcdef0123456789: fix ", "Getting started with the python sdk ", "Analysis of chip market revenue ", "Critical vulnerability discovered and patched in ", "Jane Doe joins the lab ",
+    "Deal 12345 of the day, 3000 off ", "Breaking: ", "b4321: ", "The year in review: ", "Acquisition and funding of ", "Qwen v2.05-beta1 ", "推理引擎 发布 ", "Mistral–7 B ",
+]
+LEADS = ["", "We ran a benchmark with an ablation of the pipeline. ", "Latency and throughput of the routing; see the dataset. ", "Agent memory and retrieval. ", "A GPU of 24 GB vram and memory. ", "Legislation and copyright. ", "", "Usability of the interface. ", "vLLM with paged attention. "]
+TYPES = ["news", "release", "research", "podcast", "discussion", "news", "repository", "release", "news", "paper", "model", "news", "release"]
+CATEGORIES = ["", "Research", "", "Engineering", "", "", "safety", ""]
+PATHS = ["/p/", "/research/", "/engineering/", "/analysis/", "/a/", "/papers/"]
+
+
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with their publishers and what the article rules read: title, type, url, body (the whole text), flair, categories."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    i, n = items(spark, sf_dir).drop("title").join(sources(spark, sf_dir).drop("n"), "source"), F.col("item")
+    i = i.join(d, n == F.col("doc_id")).drop("doc_id")
+    first = F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 60)
+    category = pick(n, CATEGORIES)
+    return i.select(
+        "*", F.concat(pick(n, HEADS), first).alias("title"), pick(n, TYPES).alias("type"), F.concat(F.lit("https://"), "domain", pick(n, PATHS), n.cast("string")).alias("url"),
+        F.concat(pick(n, LEADS), "text").alias("body"), F.when(n % 6 == 0, "Help wanted").alias("flair"), F.when(category == "", F.array().cast("array<string>")).otherwise(F.array(category)).alias("categories"),
+    ).drop("text")
+
+
 ACTIONS = {"view": "seen", "click": "opened", "purchase": "saved", "error": "dismissed", "signup": "unsaved"}
+#: Why a reader dismissed; the empty one is unspecified.
+REASONS = ["topic", "source", "old", "low_value", ""]
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """reader, label, weight, enabled: which of the labels a reader asked for. A handful of rows a reader."""
+    labels = F.array(*[F.struct(F.lit(k).alias("i"), F.lit(x).alias("label")) for k, x in enumerate(FACETS)])
+    r = table(spark, sf_dir, "events").select(F.col("user_id").alias("reader")).distinct().withColumn("l", F.explode(labels))
+    reader, i = F.col("reader"), F.col("l.i")
+    return r.where((reader + i) % 3 == 0).select("reader", "l.label", ((reader * 7 + i * 13) % 101).alias("weight"), ((reader + i) % 4 != 0).alias("enabled"))
 
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """action_id, reader, story, action, moment, weight: what readers did, from the event stream."""
     e = table(spark, sf_dir, "events")
+    n_stories = table(spark, sf_dir, "documents").agg(F.floor(F.max("doc_id") / 5) + 1).scalar()  # the events go over all stories there are
     kind = F.create_map(*[F.lit(x) for kv in ACTIONS.items() for x in kv])[F.col("event_type")]
-    return e.select(F.col("event_id").alias("action_id"), F.col("user_id").alias("reader"), (F.col("event_id") * 7919 % 200).alias("story"), kind.alias("action"), seconds("ts").alias("moment"), F.col("value").alias("weight"))
+    return e.select(F.col("event_id").alias("action_id"), F.col("user_id").alias("reader"), (F.col("event_id") * 7919 % n_stories).cast("long").alias("story"), kind.alias("action"), seconds("ts").alias("moment"), F.col("value").alias("weight"), F.nullif(pick(F.col("event_id"), REASONS), F.lit("")).alias("reason"))
+
+
+def quoted(names: list[str]) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in names) + "]"
 
 
 #: The views as SQL, for the queries that state the expected results.
 SQL = {
-    "sources": """select source, n, ['T1','T1.5','T2'][n % 3 + 1] as tier, ['company','lab','project','publication','author','podcast','community'][n % 7 + 1] as entity,
+    "sources": f"""select source, n, {quoted(TIERS)}[n % {len(TIERS)} + 1] as tier, ['company','lab','project','publication','author','podcast','community'][n % 7 + 1] as entity,
   ['stable','stable','observing','paused','stable'][n % 5 + 1] as lifecycle, n % 4 = 0 as official, 'site' || (n % 13) || '.example' as domain
   from (select distinct source, coalesce(try_cast(regexp_extract(source, '([0-9]+)', 1) as bigint), 0) as n from documents where source is not null)""",
-    "items": f"select doc_id as item, doc_id // 5 as story, source, lang, left(split_part(text, chr(10), 1), 120) as title, length(text) as length, {EPOCH} + doc_id * 420 as published from documents",
-    "actions": """select event_id as action_id, user_id as reader, event_id * 7919 % 200 as story,
+    "items": f"select doc_id as item, doc_id // 5 as story, source, lang, left(split_part(text, chr(10), 1), 120) as title, length(text) as length, {AS_OF - 30 * DAY} + doc_id * 48271 % {31 * DAY} as published from documents",
+    "actions": """select event_id as action_id, user_id as reader, event_id * 7919 % (select max(doc_id) // 5 + 1 from documents) as story,
   case event_type when 'view' then 'seen' when 'click' then 'opened' when 'purchase' then 'saved' when 'error' then 'dismissed' when 'signup' then 'unsaved' end as action,
-  epoch_us(ts) // 1000000 as moment, value as weight from events""",
+  epoch_us(ts) // 1000000 as moment, value as weight, nullif(['topic','source','old','low_value',''][event_id % 5 + 1], '') as reason from events""",
+    "articles": f"""select * exclude (c), case when c = '' then []::varchar[] else [c] end as categories from (select i.* exclude (title), s.* exclude (source, n),
+  {quoted(HEADS)}[i.item % {len(HEADS)} + 1] || left(split_part(text, chr(10), 1), 60) as title, {quoted(TYPES)}[i.item % {len(TYPES)} + 1] as type, 'https://' || domain || {quoted(PATHS)}[i.item % {len(PATHS)} + 1] || i.item as url,
+  {quoted(LEADS)}[i.item % {len(LEADS)} + 1] || text as body, case when i.item % 6 = 0 then 'Help wanted' end as flair, {quoted(CATEGORIES)}[i.item % {len(CATEGORIES)} + 1] as c
+  from items i join sources s on s.source = i.source join documents d on d.doc_id = i.item)""",
+    "profiles": f"""select reader, {quoted(list(FACETS))}[i + 1] as label, (reader * 7 + i * 13) % 101 as weight, (reader + i) % 4 <> 0 as enabled
+  from (select distinct user_id as reader from events), range({len(FACETS)}) t(i) where (reader + i) % 3 = 0""",
 }
 
 
