@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import PIECES, ByteBPE, load, units
-from .common import BoundedCache
+from .common import BoundedCache, task_over
 
 #: Pairs (some 150 bytes each) that the pair table of a worker holds before it starts anew.
 PAIRS = 200_000
@@ -50,10 +50,6 @@ class BacktrackingEncoder:
         self.shorter: dict[int, int] = {}
         self.fits: dict[tuple[int, int], bool] = {}
         self.packed = [int(i).to_bytes(4, "little") for i in bpe.ids]
-        self.renew()
-
-    def renew(self) -> None:
-        """Forget the units seen so far: a worker lives on when its task ends."""
         self.spaced, self.plain = BoundedCache(lambda unit: self._unit(" " + unit)), BoundedCache(self._piece)
 
     def compatible(self, a: int, b: int) -> bool:
@@ -185,7 +181,7 @@ def encode_column(text: Column, path: str) -> Column:
         encoder, _ = _codec(path)
         for texts in batches:
             yield pd.Series([encoder.encode(t or "") for t in texts], dtype=object)
-        encoder.renew()
+        task_over(_codec, load)
 
     return ids(text)
 
@@ -214,7 +210,7 @@ def digest_column(text: Column, path: str) -> Column:
                 back = decoder.decode(np.frombuffer(packed, "<u4"))
                 rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-        encoder.renew()
+        task_over(_codec, load)
 
     return digest(text)
 

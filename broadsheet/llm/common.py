@@ -2,42 +2,66 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: The characters that end a word in most contracts: U+0020 and U+0009 to U+000D.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-#: Bytes that one cache of a Python worker may take.
-CACHE_BYTES = 24_000_000
+#: Bytes that one cache of a Python worker may take, and rows of text that are sent to one at once.
+CACHE_BYTES, TEXT_ROWS = 48_000_000, 1_000
 
 _own_dir: dict[str, str] = {}
 
 
 class BoundedCache(dict):
-    """What ``make`` says of a string or bytes, kept until about CACHE_BYTES are held; then it starts anew."""
+    """What ``make`` says of a string or bytes, within about ``most`` bytes.
+
+    It has two generations: when the younger has taken half, it becomes the elder and the elder goes; what is asked
+    for again comes over from there. So what is frequent stays.
+    """
 
     def __init__(self, make: Callable, most: int = CACHE_BYTES):
         super().__init__()
-        self.make, self.most, self.held = make, most, 0
+        self.make, self.most, self.held, self.elder = make, most // 2, 0, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.elder.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= 256:
             # a slot, the key's and the value's objects, and what they hold
             self.held += 200 + len(key) + (len(value) if isinstance(value, bytes) else 0)
             if self.held > self.most:
+                self.elder, self.held = dict(self), 0
                 self.clear()
-                self.held = 0
             self[key] = value
         return value
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose texts go to Python workers in batches of at most TEXT_ROWS rows: a text may be long, and a batch stands in memory several times."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= TEXT_ROWS:
+        conf.set(name, str(TEXT_ROWS))
+    return df
+
+
+def task_over(*built) -> None:
+    """Give back what a task's end leaves unused: a worker lives on and its next task may be another operator's. ``built``: functions with an lru_cache."""
+    for f in built:
+        f.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe_codec, decontaminate, lines, repeats, rules, sharding, simhash, token_counts, token_files, toxicity
+from .common import text_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents")
+    return text_batches(_table(spark, sf_dir, "documents"))
 
 
 def op1_kk_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,26 +36,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .byte_bpe import byte_chars
-from .common import BoundedCache, dropped, new_path, saved
+from .common import CACHE_BYTES, BoundedCache, dropped, new_path, saved, task_over
 
 #: Lengths of the four ranks that a control byte describes.
 LENGTHS = np.stack([(np.arange(256) >> 2 * k & 3) + 1 for k in range(4)], axis=1).astype(np.int64)
 _MASK = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint64)
 #: Ids that are packed or unpacked at once, and bytes of ids that one task sorts and writes.
 BATCH_IDS, PART_BYTES = 1_000_000, 32_000_000
-#: A letter or digit, then an ASCII mark: no alternative of the split pattern runs across.
-_CUT = re.compile(r"(?<=[^\W_])(?=[!-/:-@\[-`{-~])")
+_BEYOND = re.compile("[^\\x00-\xff]")
 #: Small Latin letters; none of them is changed by normalization as long as no mark stands behind.
 _SMALL = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: What a byte is: 1 an ASCII mark, 2 an ASCII letter or digit, 3 the first byte of a letter of Latin-1 (C3), 4 the second.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[b for b in range(33, 127) if not chr(b).isalnum()]] = 1
+_KIND[[b for b in range(48, 123) if chr(b).isalnum()]] = 2
+_KIND[0xC3] = 3
+_KIND[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = 4  # but the signs of multiplication and division
+
+
+def parted(raw: bytes) -> list[bytes]:
+    """A UTF-8 text cut at ASCII blanks, and where a mark follows a letter or digit: no alternative of the split pattern runs across."""
+    kind = _KIND[np.frombuffer(raw, np.uint8)]
+    after = kind[:-1] == 2
+    after[1:] |= (kind[:-2] == 3) & (kind[1:-1] == 4)
+    at = np.flatnonzero(after & (kind[1:] == 1)) + 1
+    return (np.insert(np.frombuffer(raw, np.uint8), at, 32).tobytes() if len(at) else raw).split()
 
 
 class RunTokenizer:
-    """The library's ids of whole texts, through caches of runs of non-blanks and of their pieces."""
+    """The library's ids of whole texts, through a cache of their pieces."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         spec = _spec(path)
         if not _splits_at_blanks(spec):
@@ -63,34 +78,30 @@ class RunTokenizer:
         self.plain = _is_plain(spec)
         self.added = [t["content"].lower() for t in spec.get("added_tokens", [])]
         self.chars = {b: c for b, c in enumerate(byte_chars())}
-        self.dtype = "<u2" if self.size <= 1 << 16 else "<u4"
-        self.renew()
-
-    def renew(self) -> None:
-        self.pieces, self.runs = BoundedCache(self._piece), BoundedCache(self._run)
+        self.dtype, self.code = ("<u2", "H") if self.size <= 1 << 16 else ("<u4", "I")
+        self.pieces = BoundedCache(self._piece, 3 * CACHE_BYTES)
 
     def _ids(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        if self.plain and _SMALL.fullmatch(piece):  # the normalizer and the split leave it as it is
-            return self._ids([t.id for t in self.tokenizer.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.chars))])
-        return self._ids(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+    def _whole(self, text: str) -> bytes:
+        return self._ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _run(self, run: bytes) -> bytes:
-        text = run.decode()
-        low = text.lower()
-        # the one letter whose small form ends in a mark stays with the marks behind it
-        if not self.plain or "\u0130" in text or any(t in low for t in self.added):
-            return self._ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if all(c < "\u0100" for c in text):  # beyond Latin-1, lowering before or after normalizing may differ
-            text = low
-        return b"".join(map(self.pieces.__getitem__, _CUT.sub(" ", text).split(" ")))
+    def _piece(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        if self.plain and _SMALL.fullmatch(text):  # the normalizer and the split leave it as it is
+            return self._ids([t.id for t in self.model.tokenize(text if text.isascii() else piece.decode("latin-1").translate(self.chars))])
+        return self._whole(text)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, in little-endian integers of ``dtype``."""
-        # bytes split at the ASCII blanks only; other blanks stay inside a run and are left to the library
-        return b"".join(map(self.runs.__getitem__, text.encode().split()))
+        low = text.lower()
+        # the one letter whose small form ends in a mark stays with the marks behind it; added tokens may hold marks
+        if not self.plain or "\u0130" in text or any(t in low for t in self.added):
+            # bytes split at the ASCII blanks only; other blanks stay inside a run and are left to the library
+            return b"".join([self._whole(r.decode()) for r in text.encode().split()])
+        # beyond Latin-1, lowering before or after normalizing may differ
+        return b"".join(map(self.pieces.__getitem__, parted((text if _BEYOND.search(text) else low).encode())))
 
 
 def _spec(path: str) -> dict:
@@ -178,7 +189,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str)
                     out = pd.DataFrame({"doc_id": names.iloc[lo : k + 1], "n_tokens": [len(x) // len(end) for x in found], "ids": pd.Series(found, dtype=object, index=names.index[lo : k + 1])})
                     yield out.assign(id=None, n=None)
                     found, held, lo = [], 0, k + 1
-        runs.renew()  # a worker lives on; what it learnt need not
+        task_over(_runs)
         used = np.flatnonzero(count)
         yield pd.DataFrame({"doc_id": pd.Series([None] * len(used), dtype=object), "n_tokens": None, "ids": None, "id": used, "n": count[used]})
 

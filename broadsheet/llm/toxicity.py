@@ -37,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, fresh, saved
+from .common import BoundedCache, fresh, saved, task_over, text_batches
 
 PREFIXES, WORD, PRIOR, DRIFT, MIN_DOCS = (3, 5, 7), 24, 30.0, 0.1, 3
 #: Bounds of the model: labelled documents it is fitted on, and tokens and prefixes it holds.
@@ -242,6 +242,8 @@ def segments_column(text: Column, model: Broadcast, kind: Column | None = None)
         for texts, kinds in batches:
             rows = [scan(t, of[k]) for t, k in zip(texts, kinds, strict=True)]
             yield pd.DataFrame({"n": [n for n, _ in rows], "segments": pd.Series([[x[2] for x in found] for _, found in rows], dtype=object)})
+        of.clear()
+        task_over()
 
     # so marked, it is not run once for the filter and once more for the column
     return segments.asNondeterministic()(text, F.lit(PLAIN) if kind is None else kind)
@@ -277,6 +279,7 @@ def logistic(x: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[float, fl
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "toxic", folds: int = 5) -> Model | float:
     """The model of the labelled documents that may be learnt from; a constant score if these lack a class."""
+    text_batches(docs)
     train = learnable(labels, label_id, label, folds).orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(SAMPLE)
     train = saved(train, "train")
     n_train, n_toxic = train.agg(F.count("*"), F.coalesce(F.sum("_toxic"), F.lit(0))).first()
