@@ -487,6 +487,40 @@ def test_longest_matches_against_brute_force(monkeypatch):
         assert sorted(decontaminate.Benchmark(items, w).longest(docs)) == sorted(want)
 
 
+def test_pipeline_stage_by_stage(spark, sf_dir, tmp_path):
+    """Every stage on all that the one before kept, against brute force; odd, null, repeated and extra columns go through."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("_score", F.lit("clash"))
+    odd = spark.createDataFrame([(10_000 + k, t, "en", f"src{k % 3}" if k % 5 else None, 1, "x") for k, t in enumerate(ODD)] + [(10_004, ODD[4], "en", "src1", 1, "x")], docs.schema)
+    docs.unionByName(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    bench = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = [tuple(r) for r in now.select("doc_id", "text", "source").collect()]
+        out = stage(spark, now, str(tmp_path))
+        if k < 4:
+            assert out.columns == now.columns
+            out.write.parquet(f"{tmp_path}/{k}-{name}")
+            now = spark.read.parquet(f"{tmp_path}/{k}-{name}")
+            after = [tuple(r) for r in now.select("doc_id", "text", "source").collect()]
+        if name == "toxicity":
+            scores = {r.doc_id: r.predicted for r in toxicity.toxicity(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()}
+            assert sorted(after, key=repr) == sorted((r for r in before if not scores[r[0]]), key=repr)
+        elif name == "line_dedup":
+            sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+            assert sorted((i, sha(t)) for i, t, _ in after) == sorted((i, x) for i, _, _, x in brute_lines(before, lines.MIN_SITES))
+        elif name == "simhash":
+            assert sorted(r[0] for r in after) == sorted(set(brute_copies([r[:2] for r in before]).values()))
+        elif name == "decontaminate":
+            assert sorted(r[0] for r in after) == sorted(r[0] for r in brute_hits([r[:2] for r in before], bench) if not r[5])
+        else:
+            hf = Tokenizer.from_file(BYTE)
+            assert rows_of(out, "doc_id", "n_tokens") == sorted(((i, len(hf.encode(t or "", add_special_tokens=False).ids)) for i, t, _ in before), key=repr)
+
+
 def test_every_operator_has_its_query():
     names = list(queries.queries())
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names if n.startswith("op")] == list(range(1, 11))
