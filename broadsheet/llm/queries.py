@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, decontaminate, lines, repeats, rules, sharding, simhash, token_counts, token_files, toxicity
+from . import alignment, bpe_codec, cap_filters, decontaminate, lines, prefix_trie, repeats, rules, sharding, simhash, token_counts, token_files, toxicity
 from .common import text_batches
 
 
@@ -60,13 +60,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op11_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_duplicates(_table(spark, sf_dir, "embeddings"), cap_filters.LIMIT)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_kk_shards, op2_bpe_codec, op3_quality_rules, op4_toxicity, op5_simhash, op6_token_files, op7_line_dedup, op8_bwt_repeats, op9_decontaminate, op10_token_counts,
+        op11_cap_filters, op12_alignment, op13_prefix_trie,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL states an operator's whole result. The others are tested in tests/llm."""
-    return {"op7_line_dedup": lines.SQL.format(n=lines.MIN_SITES)}
+    return {"op7_line_dedup": lines.SQL.format(n=lines.MIN_SITES), "op13_prefix_trie": prefix_trie.SQL.format(every=100, turns=6)}
