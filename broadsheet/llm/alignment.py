@@ -212,7 +212,7 @@ def alignment(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
     both = aligned(docs, a_path, b_path, id_col, text_col)
     pairs = both.where("pair_a is not null").select("batch", F.posexplode(F.arrays_zip("pair_a", "pair_b", "pair_n")).alias("number", "pair"))
     pairs = pairs.select("batch", "number", F.col("pair.pair_a").alias("a"), F.col("pair.pair_b").alias("b"), F.col("pair.pair_n").alias("n"))
-    told = pairs.join(pair_counts(pairs), ["a", "b"]).select("batch", "number", "count", "best")
+    told = pairs.join(pair_counts(pairs), ["a", "b"]).select(F.col("batch").alias("of"), "number", "count", "best")
     rows = both.where("pair_a is null").drop("pair_a", "pair_b", "pair_n")
     kept = ["doc_id", "n_a", "n_b", "n_groups", "n_links"]
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept) + ", n_best long, count_sum long, groups_sha256 string"
@@ -228,4 +228,4 @@ def alignment(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
         out = own.select(kept).append_column("n_best", pa.array([x[0] for x in sums], pa.int64())).append_column("count_sum", pa.array([x[1] for x in sums], pa.int64()))
         return out.append_column("groups_sha256", own.column("groups_sha256"))
 
-    return rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(score, schema)
+    return rows.groupBy("batch").cogroup(told.groupBy("of")).applyInArrow(score, schema)
