@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import editorial, listings, personal, titles
+from . import coverage, editorial, listings, personal, titles
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (titles, listings, personal, editorial)
+PARTS = (titles, listings, personal, editorial, coverage)
 
 
 def queries() -> dict[str, Query]:

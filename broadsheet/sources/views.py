@@ -80,6 +80,37 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("text")
 
 
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item, kind, title (the whole first line), url, body (the whole text), published, of each document; a narrow view."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    return d.select(
+        n.alias("item"), pick(F.floor(n / 7), TYPES).alias("kind"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.concat(F.lit("https://"), F.coalesce("lang", F.lit("none")), F.lit(".example/p")).alias("url"),
+        F.col("text").alias("body"), (F.lit(AS_OF - 30 * DAY) + F.pmod(n * 48_271, F.lit(31 * DAY))).alias("published"),
+    )
+
+
+PARTS = ["alpha", "beta", "gamma", "delta", "sdk", "cli", "store"]
+TONGUES = ["python", "node", "go", "rust", "java", "ts", "py"]
+
+
+def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item, title, url, published, notes of an invented release a document: five forms of titles and tags, in the repository of its source."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    part, tongue = pick(F.floor(n / 5), PARTS), pick(F.floor(n / 5), TONGUES)
+    version = F.concat_ws(".", F.lit("1"), (n % 3).cast("string"), F.lit("0"))
+    forms = [
+        (F.concat(F.lit("@kit/"), part, F.lit("@"), version), F.concat(F.lit("%40kit%2F"), part, F.lit("@"), version)),
+        (F.concat(F.lit("memory-kit-"), part, F.lit("=="), version), F.concat(part, F.lit("=="), version)),
+        (F.concat(tongue, F.lit("-v"), version), F.concat(tongue, F.lit("-v"), version)),
+        (F.concat(F.lit("Memory Kit "), F.initcap(tongue), F.lit(" SDK (v"), version, F.lit(")")), F.concat(tongue, F.lit("-v"), version)),
+        (F.concat(F.lit("Memory Kit "), F.initcap(part), F.lit(" Plugin (v"), version, F.lit(")")), F.concat(part, F.lit("-plugin-v"), version)),
+    ]
+    of = lambda k: F.element_at(F.array(*[f[k] for f in forms]), (n % 5).cast("int") + 1)
+    address = F.concat(F.lit("https://github.com/acme-"), F.coalesce("source", F.lit("none")), F.lit("/memory-kit/releases/tag/"), of(1))
+    notes = F.concat(F.lit("Fixes #"), (F.floor(n / 35) % 3).cast("string"), F.lit(" and others.\n"), F.coalesce("text", F.lit("")))
+    return d.select(n.alias("item"), of(0).alias("title"), address.alias("url"), (F.lit(AS_OF - 30 * DAY) + F.pmod(n * 48_271, F.lit(31 * DAY))).alias("published"), notes.alias("notes"))
+
+
 ACTIONS = {"view": "seen", "click": "opened", "purchase": "saved", "error": "dismissed", "signup": "unsaved"}
 #: Why a reader dismissed; the empty one is unspecified.
 REASONS = ["topic", "source", "old", "low_value", ""]
