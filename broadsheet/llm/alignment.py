@@ -28,6 +28,7 @@ from functools import lru_cache
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import sentencepiece
 import tiktoken
 from pyspark.sql import DataFrame
@@ -39,17 +40,16 @@ from .common import saved, task_over
 #: Characters of text that are encoded together, and tokens of one side that DuckDB joins at once.
 CHARS, SLICE = 2_000_000, 1_000_000
 
+#: B tokens that begin within an A token can only lie in one that no B token equals.
 LINKS = """
     select a.doc, a.id as a, b.id as b from a asof join b on a.s >= b.s
     union all
-    select a.doc, a.id, inner_b.id from (select * from b anti join a on b.s = a.s) inner_b join a on inner_b.s > a.s and inner_b.s < a.e
-"""
-PAIRS = f"select doc, a, b, count(*)::integer as n from ({LINKS}) group by all order by doc, a, b"
-#: Of each token of one side, how many common ends lie before it.
-GROUPS = """
-    select coalesce(sum(shared) over (order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as part, shared
-    from (select {own}.pos, ({other}.e is not null)::integer as shared from {own} left join {other} on {own}.e = {other}.e) order by pos
+    select wide.doc, wide.id, inner_b.id from (select * from b anti join a on b.s = a.s) inner_b
+    join (select * from a anti join b on a.s = b.s and a.e = b.e) wide on inner_b.s > wide.s and inner_b.s < wide.e
 """
+PAIRS = f"select doc, a, b, count(*)::integer as n from ({LINKS}) group by all"
+#: Of each token of one side, how many common ends stand up to its own end, and whether its end is one. The window runs over the rows as they come, in order.
+GROUPS = "select pos, sum(shared::integer) over (rows unbounded preceding) as upto, shared from (select pos, e in (select e from {other}) as shared from {own})"
 
 
 class Aligner:
@@ -83,14 +83,21 @@ class Aligner:
 
     def interval_table(self, ids: np.ndarray, size: np.ndarray, own: np.ndarray) -> pa.Table:
         ends = np.cumsum(size[ids])
-        return pa.table({"doc": own, "pos": np.arange(len(ids)), "id": ids, "s": ends - size[ids], "e": ends})
+        columns = {"doc": own, "pos": np.arange(len(ids)), "id": ids, "s": ends - size[ids], "e": ends}
+        return pa.table({c: pa.array(v.astype(np.int32)) for c, v in columns.items()})
 
     def joined(self, a: pa.Table, b: pa.Table) -> tuple:
-        """Of tokens that begin and end together: doc, a, b, n of each linked pair, and part and shared of each token of A and of B."""
+        """Of tokens that begin and end together: doc, a, b, n of each linked pair, and of each token of A and of B its group and whether it ends there."""
         self.db.register("a", a)
         self.db.register("b", b)
-        pairs = self.db.sql(PAIRS).fetchnumpy()
-        parts = [self.db.sql(GROUPS.format(own=own, other=other)).fetchnumpy() for own, other in ("ab", "ba")]
+        pairs = {c: np.asarray(v, np.int64) for c, v in self.db.sql(PAIRS).fetchnumpy().items()}
+        parts = []
+        for own, other in ("ab", "ba"):
+            rows = self.db.sql(GROUPS.format(own=own, other=other)).fetchnumpy()
+            if (np.diff(rows["pos"]) != 1).any():
+                raise RuntimeError("tokens came back out of order")
+            shared = np.asarray(rows["shared"], bool)
+            parts.append((np.asarray(rows["upto"], np.int64) - shared, shared))
         self.db.unregister("a")
         self.db.unregister("b")
         return pairs, *parts
@@ -129,16 +136,15 @@ class Aligner:
             now, todo = todo[:n], todo[n:]
             own_a, own_b = (np.repeat([x[0] for x in now], [len(x[k]) for x in now]) for k in (1, 2))
             a, b = (np.concatenate([x[k] for x in now]) for k in (1, 2))
-            pairs, by_a, by_b = self.joined(self.interval_table(a, self.a_size, own_a), self.interval_table(b, self.b_size, own_b))
-            found.append((np.asarray(pairs["doc"], np.int64), np.asarray(pairs["a"], np.int64) << 32 | np.asarray(pairs["b"], np.int64), np.asarray(pairs["n"], np.int64)))
-            part_a, part_b = np.asarray(by_a["part"], np.int64), np.asarray(by_b["part"], np.int64)
-            np.add.at(n_groups, own_a[np.asarray(by_a["shared"], bool)], 1)
-            words, at, at_a, at_b = self.groups_text(a, b, part_a, part_b), 0, 0, 0
+            pairs, (part_a, ends_a), (part_b, _) = self.joined(self.interval_table(a, self.a_size, own_a), self.interval_table(b, self.b_size, own_b))
+            found.append((pairs["doc"], pairs["a"] << 32 | pairs["b"], pairs["n"]))
+            n_groups += np.bincount(own_a[ends_a], minlength=len(texts))
+            words, at = self.groups_text(a, b, part_a, part_b), 0
             for d, xa, xb in now:
                 text = "".join(words[at : at + len(xa) + len(xb)])[:-1]
                 digest[d].update(((";" if begun[d] else "") + text).encode())
                 begun[d] = True
-                at, at_a, at_b = at + len(xa) + len(xb), at_a + len(xa), at_b + len(xb)
+                at += len(xa) + len(xb)
         doc, key, n = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in range(3))
         # a text that was joined in several stretches may hold a pair in more than one
         order = np.lexsort((key, doc))
@@ -221,11 +227,15 @@ def alignment(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
         number = pairs.column("number").to_numpy()
         count, best = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
         count[number], best[number] = pairs.column("count").to_numpy(), pairs.column("best").to_numpy(zero_copy_only=False)
-        sums = []
-        for steps, times in zip(own.column("steps").to_pylist(), own.column("times").to_pylist(), strict=True):
-            at, n = np.cumsum(np.array(steps, np.int64)), np.array(times, np.int64)
-            sums.append((int(best[at] @ n), int(count[at] @ n)))
-        out = own.select(kept).append_column("n_best", pa.array([x[0] for x in sums], pa.int64())).append_column("count_sum", pa.array([x[1] for x in sums], pa.int64()))
+        # all documents' pair numbers lie in one array: sums of steps that begin anew with each document
+        steps, times = (own.column(c).combine_chunks() for c in ("steps", "times"))
+        n = pa.compute.list_value_length(steps).to_numpy()
+        at, of = np.cumsum(steps.flatten().to_numpy().astype(np.int64)), times.flatten().to_numpy().astype(np.int64)
+        begin = np.cumsum(n) - n
+        at = at - np.repeat(np.append(0, at)[begin], n)
+        total = lambda x: np.diff(np.append(0, np.cumsum(x[at] * of))[np.append(begin, len(at))])
+        sums = [total(best), total(count)]
+        out = own.select(kept).append_column("n_best", pa.array(sums[0], pa.int64())).append_column("count_sum", pa.array(sums[1], pa.int64()))
         return out.append_column("groups_sha256", own.column("groups_sha256"))
 
     return rows.groupBy("batch").cogroup(told.groupBy("of")).applyInArrow(score, schema)
