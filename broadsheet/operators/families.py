@@ -54,67 +54,95 @@ def of_map(known: dict[str, str], key: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in known.items() for x in kv])[key]
 
 
+def bound(fields: dict[str, Column], made) -> Column:
+    """``made`` of a struct of ``fields``, each of which is evaluated once."""
+    return F.transform(F.array(F.struct(*[c.alias(name) for name, c in fields.items()])), made)[0]
+
+
 def _line(fits: Column, kind: str, line: Column, target: Column, version: Column, shares: bool, strict: bool) -> Column:
     """One kind of release: its line, target and version; ``shares``: members must not contradict in changes, ``strict``: each must name one of the common changes."""
     return F.when(fits, F.struct(F.lit(kind).alias("kind"), line.alias("line"), target.alias("target"), version.alias("version"), F.lit(shares).alias("shares"), F.lit(strict).alias("strict")))
 
 
-def release_identity(url: Column, title: Column) -> Column:
-    """kind, line, target, version, shares and strict of a release page's address and title; null if they do not agree on one.
-
-    Addresses are ``https://github.com/<owner>/<repository>/releases/tag/<tag>``.
-    """
-    page = r"https://github\.com/([^/]+)/([^/]+)/releases/tag/([^/?#]+)/?"
-    repository, tag, title = part(url, page, 2), part(url, page, 3), trimmed(title)
-    repo = F.lower(F.concat(part(url, page, 1), F.lit("/"), repository))
-    named = whole(repository, NAME)
-
+def _scope(r: Column) -> Column:
+    """``@scope/package@version``, the tag the same with @ and / escaped or not: one line a scope and version."""
     scoped = rf"@({SCOPED_NAME})/({SCOPED_NAME})@({STRICT})"
-    plain_tag = F.regexp_replace(F.regexp_replace(tag, "%40", "@"), "%2[fF]", "/")
-    fits = named & whole(title, scoped) & whole(tag, r"(?:[A-Za-z0-9@._+-]|%40|%2[fF])+") & (plain_tag == title)
-    of_scope = _line(fits, "scope", F.concat(repo, F.lit(":npm-scope:"), part(title, scoped, 1), F.lit(":"), part(title, scoped, 3)), F.concat(F.lit("npm:"), part(title, scoped, 2)), part(title, scoped, 3), False, False)
+    tag = F.regexp_replace(F.regexp_replace(r["tag"], "%40", "@"), "%2[fF]", "/")
+    fits = r["named"] & whole(r["title"], scoped) & whole(r["tag"], r"(?:[A-Za-z0-9@._+-]|%40|%2[fF])+") & (tag == r["title"])
+    line = F.concat(r["repo"], F.lit(":npm-scope:"), part(r["title"], scoped, 1), F.lit(":"), part(r["title"], scoped, 3))
+    return _line(fits, "scope", line, F.concat(F.lit("npm:"), part(r["title"], scoped, 2)), part(r["title"], scoped, 3), False, False)
 
+
+def _package(r: Column) -> Column:
+    """``name==version``: the repository itself, or a component of it that the tag names."""
     pinned = rf"({NAME})==({STRICT})"
-    package, version = part(title, pinned, 1), part(title, pinned, 2)
-    open_tag = F.regexp_replace(tag, "%3[dD]", "=")
-    component = part(open_tag, rf"({NAME})==(.*)", 1)
-    as_core = (open_tag == version) & (F.lower(package) == F.lower(repository))
-    as_part = (part(open_tag, rf"({NAME})==(.*)", 2) == version) & (F.lower(package) == F.lower(F.concat(repository, F.lit("-"), component)))
-    fits = named & package.isNotNull() & ~open_tag.contains("%") & F.when(open_tag.contains("=="), as_part).otherwise(as_core)
-    of_package = _line(fits, "package", F.concat(repo, F.lit(":package")), F.coalesce(F.concat(F.lit("component:"), F.lower(component)), F.lit("core")), version, True, True)
+    fields = {"package": F.lower(part(r["title"], pinned, 1)), "version": part(r["title"], pinned, 2), "tag": F.regexp_replace(r["tag"], "%3[dD]", "="), "repository": F.lower(r["repository"]), "repo": r["repo"], "named": r["named"]}
+
+    def made(p: Column) -> Column:
+        component = F.lower(part(p["tag"], rf"({NAME})==(.*)", 1))
+        as_part = (part(p["tag"], rf"({NAME})==(.*)", 2) == p["version"]) & (p["package"] == F.concat(p["repository"], F.lit("-"), component))
+        fits = p["named"] & p["package"].isNotNull() & ~p["tag"].contains("%") & F.when(p["tag"].contains("=="), as_part).otherwise((p["tag"] == p["version"]) & (p["package"] == p["repository"]))
+        return _line(fits, "package", F.concat(p["repo"], F.lit(":package")), F.coalesce(F.concat(F.lit("component:"), component), F.lit("core")), p["version"], True, True)
 
+    return bound(fields, made)
+
+
+def _language(r: Column) -> Column:
+    """Title and tag ``language-version``: a line for stable ones and one for previews."""
     spoken = rf"([^-]*)-v?({STRICT})"
-    language = of_map(LANGUAGES, part(tag, spoken, 1))
-    channel = F.when(F.split_part(part(tag, spoken, 2), F.lit("+"), F.lit(1)).contains("-"), "preview").otherwise("stable")
-    of_language = _line(named & (title == tag) & language.isNotNull(), "language", F.concat(repo, F.lit(":language:"), channel), language, part(tag, spoken, 2), False, False)
+    language, version = of_map(LANGUAGES, part(r["tag"], spoken, 1)), part(r["tag"], spoken, 2)
+    channel = F.when(F.split_part(version, F.lit("+"), F.lit(1)).contains("-"), "preview").otherwise("stable")
+    return _line(r["named"] & (r["title"] == r["tag"]) & language.isNotNull(), "language", F.concat(r["repo"], F.lit(":language:"), channel), language, version, False, False)
+
 
+def _client_or_plugin(r: Column) -> Column:
+    """``Product Target Family (vX)`` with a tag that names the target: clients are one line, each family of plugins another."""
     versioned = rf"(?:(.*)-)?v({LOOSE})"
-    tag_head, version = F.coalesce(part(tag, versioned, 1), F.lit("")), part(tag, versioned, 2)
-    head = trimmed(F.when(title.endswith(F.concat(F.lit("(v"), version, F.lit(")"))), F.substring(title, F.lit(1), F.length(title) - F.length(version) - 3)))
-    words = F.filter(F.split(head, r"(?U)\s+"), lambda w: w != "")
-    family = F.lower(F.element_at(words, -1))
-    names = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
-    host = (family == "provider") & (F.size(names) > 0) & (F.lower(F.try_element_at(names, F.lit(-1))) == "sdk")
-    names = F.when(family == "provider", F.slice(names, 1, F.greatest(F.size(names) - 1, F.lit(0)))).otherwise(names)
-    client = family.isin("cli", "sdk", "provider")
-    # the shortest beginning that spells the repository, but for one word at least that names the target
-    at = F.sequence(F.lit(1), F.greatest(F.size(names) - 1, F.lit(1)))
-    spelt = F.filter(at, lambda n: (n < F.size(names)) & (plain(F.array_join(F.slice(names, 1, n), " ")) == plain(repository)))
-    begin = F.coalesce(F.try_element_at(spelt, F.lit(1)), F.lit(0))
-    target = F.array_join(F.slice(names, begin + 1, F.greatest(F.size(names), F.lit(1))), " ")
-    tongue = lambda c: F.coalesce(of_map(CLIENT_LANGUAGES, c), c)
-    head_plain = plain(tag_head)
-    after, before = F.substring(head_plain, F.length(family) + 1, F.length(head_plain)), F.substring(head_plain, F.lit(1), F.length(head_plain) - F.length(family))
-    stripped = F.when(head_plain.startswith(family), after).when(head_plain.endswith(family), before).otherwise(head_plain)
-    as_client = ((family == "sdk") & (tag_head == "")) | ((family == "cli") & (tag_head == "cli")) | (tongue(plain(stripped)) == tongue(plain(target)))
-    as_plugin = (head_plain == plain(target)) | (head_plain == plain(F.concat(target, family)))
-    agrees = F.when(client, as_client).otherwise(as_plugin)
-    fits = version.isNotNull() & ~version.contains("-v") & family.isin(FAMILIES) & ((family != "provider") | host) & ((begin > 0) | (family == "provider")) & (target != "") & agrees
-    line = F.concat(repo, F.lit(":"), F.when(client, "client").otherwise(family))
-    key = F.when(client, F.concat(tongue(plain(target)), F.lit(":"), family)).otherwise(plain(target))
-    of_client = _line(F.coalesce(fits & client, F.lit(False)), "client", line, key, F.concat(F.lit("v"), version), True, True)
-    of_plugin = _line(F.coalesce(fits & ~client, F.lit(False)), "plugin", line, key, F.concat(F.lit("v"), version), True, False)
-    return F.when(title.startswith("@"), of_scope).when(title.contains("=="), of_package).otherwise(F.coalesce(of_language, of_client, of_plugin))
+    one = {"head": F.coalesce(part(r["tag"], versioned, 1), F.lit("")), "version": part(r["tag"], versioned, 2), "title": r["title"], "repo": r["repo"], "repository": plain(r["repository"])}
+
+    def with_words(v: Column) -> Column:
+        own = F.when(v["title"].endswith(F.concat(F.lit("(v"), v["version"], F.lit(")"))), F.substring(v["title"], F.lit(1), F.length(v["title"]) - F.length(v["version"]) - 3))
+        words = F.filter(F.split(own, r"(?U)\s+"), lambda w: w != "")
+        return bound({"family": F.lower(F.try_element_at(words, F.lit(-1))), "names": F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), "v": v}, with_names)
+
+    def with_names(w: Column) -> Column:
+        host = (w["family"] == "provider") & (F.lower(F.try_element_at(w["names"], F.lit(-1))) == "sdk")
+        names = F.when(w["family"] == "provider", F.slice(w["names"], 1, F.greatest(F.size(w["names"]) - 1, F.lit(0)))).otherwise(w["names"])
+        return bound({"family": w["family"], "names": names, "host": F.coalesce(host, F.lit(False)), "v": w["v"]}, with_target)
+
+    def with_target(w: Column) -> Column:
+        # the shortest beginning that spells the repository, but for one word at least that names the target
+        spelt = lambda n: (n < F.size(w["names"])) & (plain(F.array_join(F.slice(w["names"], 1, n), " ")) == w["v"]["repository"])
+        begin = F.coalesce(F.try_element_at(F.filter(F.sequence(F.lit(1), F.greatest(F.size(w["names"]), F.lit(1))), spelt), F.lit(1)), F.lit(0))
+        target = F.array_join(F.slice(w["names"], begin + 1, F.greatest(F.size(w["names"]), F.lit(1))), " ")
+        return bound({"family": w["family"], "host": w["host"], "begin": begin, "target": target, "v": w["v"]}, agreed)
+
+    def agreed(w: Column) -> Column:
+        family, target, head = w["family"], plain(w["target"]), plain(w["v"]["head"])
+        tongue = lambda c: F.coalesce(of_map(CLIENT_LANGUAGES, c), c)
+        after, before = F.substring(head, F.length(family) + 1, F.length(head)), F.substring(head, F.lit(1), F.length(head) - F.length(family))
+        bare = F.when(head.startswith(family), after).when(head.endswith(family), before).otherwise(head)
+        as_client = ((family == "sdk") & (w["v"]["head"] == "")) | ((family == "cli") & (w["v"]["head"] == "cli")) | (tongue(bare) == tongue(target))
+        client = family.isin("cli", "sdk", "provider")
+        fits = w["v"]["version"].isNotNull() & ~w["v"]["version"].contains("-v") & family.isin(FAMILIES) & ((family != "provider") | w["host"]) & ((w["begin"] > 0) | (family == "provider")) & (w["target"] != "")
+        fits = F.coalesce(fits & F.when(client, as_client).otherwise((head == target) | (head == F.concat(target, family))), F.lit(False))
+        version, line = F.concat(F.lit("v"), w["v"]["version"]), lambda name: F.concat(w["v"]["repo"], F.lit(":"), name)
+        of_client = _line(fits & client, "client", line(F.lit("client")), F.concat(tongue(target), F.lit(":"), family), version, True, True)
+        return F.coalesce(of_client, _line(fits & ~client, "plugin", line(family), target, version, True, False))
+
+    return bound(one, with_words)
+
+
+def release_identity(url: Column, title: Column) -> Column:
+    """kind, line, target, version, shares and strict of a release page's address and title; null if they do not agree on one.
+
+    Addresses are ``https://github.com/<owner>/<repository>/releases/tag/<tag>``.
+    """
+    page = r"https://github\.com/([^/]+)/([^/]+)/releases/tag/([^/?#]+)/?"
+    repository = part(url, page, 2)
+    fields = {"repository": repository, "tag": part(url, page, 3), "title": trimmed(title), "repo": F.lower(F.concat(part(url, page, 1), F.lit("/"), repository)), "named": whole(repository, NAME)}
+    by_form = lambda r: F.when(r["title"].startswith("@"), _scope(r)).when(r["title"].contains("=="), _package(r)).otherwise(F.coalesce(_language(r), _client_or_plugin(r)))
+    return bound(fields, by_form)
 
 
 def change_references(url: Column, text: Column) -> Column:

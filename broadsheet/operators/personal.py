@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.policy import OTHER, PAPER, PODCAST
-from ..functions.text import decay
+from ..functions.text import decay, topic_alias
 from ..sources.views import DAY
 from . import scoring
 
 
 def _preferences(profiles: DataFrame) -> DataFrame:
     """reader, weights (of enabled labels), barred (labels switched off or of no weight): a reader's few rows as one."""
+    single = profiles.groupBy("reader", "label", "enabled").agg(F.max("weight").alias("weight"))  # a label may stand twice
     entries = F.collect_list(F.when(F.col("enabled"), F.struct("label", "weight")))
-    return profiles.groupBy("reader").agg(F.map_from_entries(F.array_distinct(entries)).alias("weights"), F.collect_set(F.when(~F.col("enabled") | (F.col("weight") == 0), F.col("label"))).alias("barred"))
+    return single.groupBy("reader").agg(F.map_from_entries(entries).alias("weights"), F.collect_set(F.when(~F.col("enabled") | (F.col("weight") == 0), F.col("label"))).alias("barred"))
 
 
 def with_interest(requested: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -30,6 +31,15 @@ def with_interest(requested: DataFrame, profiles: DataFrame) -> DataFrame:
     return r.withColumn("interest", F.coalesce(F.array_max(weights), F.lit(35))).withColumn("barred", F.coalesce("barred", F.array().cast("array<string>"))).drop("weights")
 
 
+def relevance(requested: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``requested`` (reader, story, facets, topic) with relevance: the greatest weight of an enabled label that a facet or the topic is another name of, else 0."""
+    name = lambda label: F.lower(topic_alias(label))
+    wanted = profiles.where("enabled").groupBy("reader", name(F.col("label")).alias("label")).agg(F.max("weight").alias("weight"))
+    wanted = wanted.groupBy("reader").agg(F.map_from_entries(F.collect_list(F.struct("label", "weight"))).alias("weights"))
+    weights = F.transform(F.concat("facets", F.array("topic")), lambda f: F.try_element_at("weights", F.coalesce(name(f), F.lit(""))))
+    return requested.join(wanted, "reader", "left").withColumn("relevance", F.coalesce(F.array_max(weights), F.lit(0))).drop("weights")
+
+
 def affinity(requested: DataFrame, profiles: DataFrame, as_of: int) -> DataFrame:
     """``requested`` with interest, affinity and bonus.
 

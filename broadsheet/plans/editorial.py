@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import policy as P
-from ..functions.text import BUILD_HEADS, BUILD_TITLE
+from ..functions.text import ALIASES, BUILD_HEADS, BUILD_TITLE
 from ..operators import editions, scoring, stories
 from ..operators import personal as personal_ops
 from ..sources.views import AS_OF, DAY, HOUR, actions, articles, profiles, with_views
@@ -66,7 +66,7 @@ K3 = _with_policy(_ASSESSED + " select item, role, significance::bigint as signi
 
 _FEATURES = _ASSESSED + f""", f0 as (select story, min(published) as freshness, arg_max(struct_pack(k := kind, v := value), (value, -published, -item)) as best, max(significance) as significance, bool_or(selectable) as selectable,
   arg_max(role, (significance, -published, -item)) as role, max(value) filter (where selectable) as selectable_value, least(3, greatest(count(distinct domain) - 1, 0)) as extra, max(title) as title, max(type) as type, max(lang) as topic,
-  left(string_agg(url || ' ' || coalesce(left(body, 6000), ''), ' ' order by published desc, item desc), 12000) as material, list_sort(list(distinct domain)) as publishers,
+  left(string_agg(url || ' ' || coalesce(left(body, 6000), ''), ' ' order by published desc, item desc), 12000) as material, list_sort(list(distinct domain) filter (where domain is not null)) as publishers,
   bool_and(community) as is_community, bool_or(lifecycle = 'stable') as confirmed, max(case tier when 'T1' then 85 when 'T1.5' then 70 else 55 end + case when official then 10 else 0 end) as quality,
   least(100, greatest(count(distinct domain) - 1, 0) * 25) as coverage from assessed group by story),
 features as (select *, best.k as kind, best.v as value, least(100, significance + 10 * extra) as importance, {P.sql_facets('title', 'material', 'type', 'topic')} as facets,
@@ -141,10 +141,25 @@ def k12_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("reader", "story", F.col("interest").cast("long").alias("interest"))
 
 
+def k12_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greatest weight of a label a reader asked for among a story's facets and its topic, all by their common names; 0 without any."""
+    f = stories.features(articles(spark, sf_dir)).select("story", "facets", "topic")
+    asked = editions.reader_states(actions(spark, sf_dir), AS_OF).select("reader", "story").join(f, "story")
+    return personal_ops.relevance(asked, profiles(spark, sf_dir)).select("reader", "story", F.col("relevance").cast("long").alias("relevance"))
+
+
 _INTEREST = "coalesce((select max(p.weight) from profiles p where p.reader = a.reader and p.enabled and list_contains(a.facets, p.label)), 35)"
 K12 = _with_policy(_FEATURES + f", {_STATES} select a.reader, a.story, {_INTEREST}::bigint as interest from states s join features using (story), (select s.reader, s.story, facets) a", "actions", "profiles")
 
 
+_ALIAS = "lower(case lower(trim({0})) " + " ".join(f"when '{k}' then '{v}'" for k, v in ALIASES.items()) + " else trim({0}) end)"
+K12_RELEVANCE = _with_policy(
+    _FEATURES + f""", {_STATES}, labels_of as materialized (select story, unnest(list_append(facets, topic)) as label from features), wanted as (select reader, {_ALIAS.format("label")} as label, weight from profiles where enabled)
+select s.reader, s.story, coalesce(max(w.weight), 0)::bigint as relevance from states s join features using (story) left join labels_of n on n.story = s.story left join wanted w on w.reader = s.reader and w.label = {_ALIAS.format("n.label")} group by all""",
+    "actions", "profiles",
+)
+
+
 def k9_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best stories of every reader among those with a state of theirs."""
     r = personal_ops.ranked(_requested(spark, sf_dir), profiles(spark, sf_dir), AS_OF)
@@ -176,12 +191,16 @@ K10 = _with_policy(
 
 
 def k13_hype(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an early rule took off stories with a shrill title, little material and no source of the first tier."""
-    g = articles(spark, sf_dir).groupBy("story").agg(F.max("title").alias("title"), F.max(F.length("body")).alias("most"), F.bool_or(F.col("tier") == "T1").alias("first"))
-    return g.select("story", F.when(F.lower("title").rlike(P.HYPE) & (F.coalesce("most", F.lit(0)) < 1000) & ~F.coalesce("first", F.lit(False)), 14).otherwise(0).cast("long").alias("penalty"))
+    """What an early rule took off stories with a shrill title, short summaries and no source of the first tier."""
+    g = articles(spark, sf_dir).groupBy("story").agg(F.max("title").alias("title"), F.max(F.length("summary")).alias("most"), F.bool_or(F.col("tier") == "T1").alias("first"))
+    return g.select("story", F.when(F.lower("title").rlike(P.HYPE) & (F.coalesce("most", F.lit(0)) < 240) & ~F.coalesce("first", F.lit(False)), 14).otherwise(0).cast("long").alias("penalty"))
 
 
-K13 = with_views(f"select story, case when {P.m('lower(max(title))', P.HYPE)} and coalesce(max(length(body)), 0) < 1000 and not coalesce(bool_or(tier = 'T1'), false) then 14 else 0 end::bigint as penalty from articles group by story", "items", "sources", "articles")
+K13 = with_views(
+    f"""select story, max(case when shrill and short and not exists (select 1 from articles b where b.story = a.story and b.tier = 'T1') then 14 else 0 end)::bigint as penalty
+from (select story, {P.m('lower(max(title))', P.HYPE)} as shrill, coalesce(max(length(summary)), 0) < 240 as short from articles group by story) a group by story""",
+    "articles",
+)
 
 
 def q1_edition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,5 +212,5 @@ def q1_edition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL = [
     (h15_facets, H15), (h16_technical_basis, H16), (k2_policy, K2), (k3_significance, K3), (k4_features, K4), (f11_catch_up, F11), (k6_affinity, K6), (k7_reading_bonus, K7), (k12_interest, K12), (k9_rank, K9),
-    (k10_superseded, K10), (k13_hype, K13), (q1_edition, None),
+    (k12_relevance, K12_RELEVANCE), (k10_superseded, K10), (k13_hype, K13), (q1_edition, None),
 ]

@@ -35,14 +35,19 @@ ENTITIES = ["company", "lab", "project", "publication", "author", "podcast", "co
 LIFECYCLES = ["stable", "stable", "observing", "paused", "stable"]
 
 
+def _source_columns(*names: str) -> list[Column]:
+    """What a source's name says of it, as columns of any table with ``source``; all null without a source."""
+    n = F.when(F.col("source").isNotNull(), F.coalesce(F.try_element_at(F.regexp_extract_all("source", F.lit("([0-9]+)"), F.lit(1)), F.lit(1)).cast("long"), F.lit(0)))
+    all_of = {
+        "n": n, "tier": pick(n, TIERS), "entity": pick(n, ENTITIES), "lifecycle": pick(n, LIFECYCLES), "official": n % 4 == 0, "domain": F.concat(F.lit("site"), (n % 13).cast("string"), F.lit(".example")),
+    }
+    return [all_of[c].alias(c) for c in names]
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source, n, tier, entity, lifecycle, official, domain. One row per source: a dimension."""
-    n = F.coalesce(F.try_element_at(F.regexp_extract_all("source", F.lit("([0-9]+)"), F.lit(1)), F.lit(1)).cast("long"), F.lit(0))
-    names = table(spark, sf_dir, "documents").where("source is not null").select("source").distinct().withColumn("n", n)
-    return names.select(
-        "source", "n", pick(F.col("n"), TIERS).alias("tier"), pick(F.col("n"), ENTITIES).alias("entity"), pick(F.col("n"), LIFECYCLES).alias("lifecycle"),
-        (F.col("n") % 4 == 0).alias("official"), F.concat(F.lit("site"), (F.col("n") % 13).cast("string"), F.lit(".example")).alias("domain"),
-    )
+    names = table(spark, sf_dir, "documents").where("source is not null").select("source").distinct()
+    return names.select("source", *_source_columns("n", "tier", "entity", "lifecycle", "official", "domain"))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,16 +73,19 @@ PATHS = ["/p/", "/research/", "/engineering/", "/analysis/", "/a/", "/papers/"]
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items with their publishers and what the article rules read: title, type, url, body (the whole text), flair, categories."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    i, n = items(spark, sf_dir).drop("title").join(sources(spark, sf_dir).drop("n"), "source"), F.col("item")
-    i = i.join(d, n == F.col("doc_id")).drop("doc_id")
-    first = F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 60)
+    """Items with their publishers and what the article rules read: title (the whole first line), type, url, body (the whole text), summary, flair, categories.
+
+    A narrow view of one table: documents without a source are kept, and repeated ids stay as often as they are.
+    """
+    n = F.col("item")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.floor(F.col("doc_id") / 5).cast("long").alias("story"), "source", "lang", "text", *_source_columns("tier", "entity", "lifecycle", "official", "domain"))
     category = pick(n, CATEGORIES)
-    return i.select(
-        "*", F.concat(pick(n, HEADS), first).alias("title"), pick(n, TYPES).alias("type"), F.concat(F.lit("https://"), "domain", pick(n, PATHS), n.cast("string")).alias("url"),
-        F.concat(pick(n, LEADS), "text").alias("body"), F.when(n % 6 == 0, "Help wanted").alias("flair"), F.when(category == "", F.array().cast("array<string>")).otherwise(F.array(category)).alias("categories"),
-    ).drop("text")
+    return d.select(
+        "item", "story", "source", "lang", F.length("text").cast("long").alias("length"), (F.lit(AS_OF - 30 * DAY) + F.pmod(n * 48_271, F.lit(31 * DAY))).alias("published"), "tier", "entity", "lifecycle", "official", "domain",
+        F.concat(pick(n, HEADS), F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"), pick(n, TYPES).alias("type"), F.concat(F.lit("https://"), F.coalesce("domain", F.lit("unknown.example")), pick(n, PATHS), n.cast("string")).alias("url"),
+        F.concat(pick(n, LEADS), "text").alias("body"), F.substring("text", F.lit(1), (F.col("story") % 4 * 100 + n % 5 * 10).cast("int")).alias("summary"),
+        F.when(n % 6 == 0, "Help wanted").alias("flair"), F.when(category == "", F.array().cast("array<string>")).otherwise(F.array(category)).alias("categories"),
+    )
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,10 +153,11 @@ SQL = {
     "actions": """select event_id as action_id, user_id as reader, event_id * 7919 % (select max(doc_id) // 5 + 1 from documents) as story,
   case event_type when 'view' then 'seen' when 'click' then 'opened' when 'purchase' then 'saved' when 'error' then 'dismissed' when 'signup' then 'unsaved' end as action,
   epoch_us(ts) // 1000000 as moment, value as weight, nullif(['topic','source','old','low_value',''][event_id % 5 + 1], '') as reason from events""",
-    "articles": f"""select * exclude (c), case when c = '' then []::varchar[] else [c] end as categories from (select i.* exclude (title), s.* exclude (source, n),
-  {quoted(HEADS)}[i.item % {len(HEADS)} + 1] || left(split_part(text, chr(10), 1), 60) as title, {quoted(TYPES)}[i.item % {len(TYPES)} + 1] as type, 'https://' || domain || {quoted(PATHS)}[i.item % {len(PATHS)} + 1] || i.item as url,
-  {quoted(LEADS)}[i.item % {len(LEADS)} + 1] || text as body, case when i.item % 6 = 0 then 'Help wanted' end as flair, {quoted(CATEGORIES)}[i.item % {len(CATEGORIES)} + 1] as c
-  from items i join sources s on s.source = i.source join documents d on d.doc_id = i.item)""",
+    "articles": f"""select * exclude (c), case when c = '' then []::varchar[] else [c] end as categories from (select item, item // 5 as story, source, lang, length(text) as length, {AS_OF - 30 * DAY} + item * 48271 % {31 * DAY} as published,
+  {quoted(TIERS)}[n % {len(TIERS)} + 1] as tier, {quoted(ENTITIES)}[n % 7 + 1] as entity, {quoted(LIFECYCLES)}[n % 5 + 1] as lifecycle, n % 4 = 0 as official, 'site' || (n % 13) || '.example' as domain,
+  {quoted(HEADS)}[item % {len(HEADS)} + 1] || split_part(text, chr(10), 1) as title, {quoted(TYPES)}[item % {len(TYPES)} + 1] as type, 'https://' || coalesce('site' || (n % 13) || '.example', 'unknown.example') || {quoted(PATHS)}[item % {len(PATHS)} + 1] || item as url,
+  {quoted(LEADS)}[item % {len(LEADS)} + 1] || text as body, left(text, (item // 5 % 4 * 100 + item % 5 * 10)::int) as summary, case when item % 6 = 0 then 'Help wanted' end as flair, {quoted(CATEGORIES)}[item % {len(CATEGORIES)} + 1] as c
+  from (select doc_id as item, source, lang, text, case when source is not null then coalesce(try_cast(regexp_extract(source, '([0-9]+)', 1) as bigint), 0) end as n from documents))""",
     "profiles": f"""select reader, {quoted(list(FACETS))}[i + 1] as label, (reader * 7 + i * 13) % 101 as weight, (reader + i) % 4 <> 0 as enabled
   from (select distinct user_id as reader from events), range({len(FACETS)}) t(i) where (reader + i) % 3 = 0""",
 }
