@@ -41,11 +41,11 @@ E3 = f"""with r as (
 ), fit as (select *, {_FIGURES.format("tokens")} as figures, {_FIGURES.format("url_tokens")} as url_figures from told
   where len(tokens) >= 8 and len(list_filter(tokens, lambda x: not list_contains({quoted(COMMON_WORDS)}, x) and not regexp_matches(x, '[0-9]'))) >= 4
 ), pairs as (
-  select a.item, b.item as other, b.published as at, len(list_intersect(a.tokens, b.tokens)) as common, len(a.tokens) + len(b.tokens) as total,
+  select a.item, b.item as other, b.published as since, len(list_intersect(a.tokens, b.tokens)) as common, len(a.tokens) + len(b.tokens) as total,
     len(list_intersect(a.grams, b.grams))::double / (len(a.grams) + len(b.grams) - len(list_intersect(a.grams, b.grams))) as likeness
   from fit a join fit b on a.kind = b.kind and a.figures = b.figures and a.url_figures = b.url_figures and b.published between a.published - {SPAN} and a.published and (b.published < a.published or b.published = a.published and b.item < a.item)
 )
-select item, arg_min(other, row(-likeness, at, other)) as match, round(max(likeness), 6) as likeness from pairs where common >= 8 and 100 * common >= 88 * (total - common) and likeness >= 0.65 group by item"""
+select item, arg_min(other, row(-likeness, since, other)) as match, round(max(likeness), 6) as likeness from pairs where common >= 8 and 100 * common >= 88 * (total - common) and likeness >= 0.65 group by item"""
 
 
 def _released(spark: SparkSession, sf_dir: str) -> DataFrame:
