@@ -6,7 +6,8 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CACHE_BYTES, TEXT_ROWS = 48_000_000, 1_000
 
 _own_dir: dict[str, str] = {}
+#: Tables saved within ``passing``; the last list is the innermost's.
+_made: list[list[DataFrame]] = []
 
 
 class BoundedCache(dict):
@@ -89,9 +92,23 @@ def saved(df: DataFrame, kind: str = "table") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._broadsheet_path = path  # type: ignore[attr-defined]
+    if _made:
+        _made[-1].append(out)
     return out
 
 
+@contextmanager
+def passing(*kept: str) -> Iterator[None]:
+    """Tables saved inside go at the end, all but those of the named kinds: what is computed there must be saved or collected there, too."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for df in _made.pop():
+            if not any(f"/broadsheet-{kind}-" in df._broadsheet_path for kind in kept):
+                dropped(df)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by ``saved`` that nothing reads any more."""
     path = getattr(df, "_broadsheet_path", None)

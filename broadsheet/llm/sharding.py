@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import saved
+from .common import fresh, saved
 
 #: Groups or partial partitions that one task differences at once, and rows numbered by one window.
 FAN_IN, CHUNK_ROWS = 8_192, 100_000
@@ -148,9 +148,16 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id",
 
 
 def write_shards(docs: DataFrame, to: str, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the documents as one folder per shard. Ids must be unique and not null."""
-    placed = shard_documents(docs, n_shards, id_col, text_col).select(F.col("doc_id").alias("_shard_id"), F.col("shard").alias("_shard"))
-    docs.join(placed, F.col(id_col) == F.col("_shard_id")).drop("_shard_id").write.partitionBy("_shard").parquet(to)
+    """Write the documents as one folder per shard, each row once and with all its columns, and the shard as ``_shard`` (or that name with more underscores).
+
+    A row's shard follows from its text, as equal texts share one; so ids may be null or repeated.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    group, name = fresh(docs.columns, "_group"), fresh(docs.columns, "_shard")
+    keyed = docs.withColumn(group, F.xxhash64(text, F.octet_length(text)))
+    groups = saved(keyed.groupBy(group).agg(F.sum(F.octet_length(text).cast("long") + 1).alias("bytes")).withColumnRenamed(group, "group"), "sizes")
+    placed = group_shards(groups, groups.count(), n_shards).select(F.col("group").alias(group), F.col("shard").alias(name))
+    keyed.join(placed, group).drop(group).write.partitionBy(name).parquet(to)
 
 
 def spread(sums: list[int]) -> float:

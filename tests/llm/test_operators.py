@@ -339,6 +339,73 @@ def test_one_of_each_against_jaccard(spark, edited, docs, many, monkeypatch):
         assert sorted(r[0] for r in simhash.one_of_each(table).select("doc_id").collect()) == sorted(set(want.values()))
 
 
+def test_edited_copies_of_one_text_meet_by_sketch_only(spark, monkeypatch):
+    """A thousand texts that all share most of their shingles, few of them similar: their whole sets hardly ever meet."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(5000)}" for _ in range(250)]
+    rows = []
+    for i in range(1000):
+        words = list(base)
+        for at in rng.sample(range(5, 245), 4):
+            words[at] = f"x{i}.{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000, rows[7][1].replace(base[0], "other", 1)), (1001, rows[8][1])]
+    met, confirm = [], near_copies.confirmed
+
+    def counted(pairs, sets):
+        met.append(pairs.count())
+        return confirm(pairs, sets)
+
+    monkeypatch.setattr(near_copies, "confirmed", counted)
+    monkeypatch.setattr(near_copies, "BLOCK", 300)
+    got = {r[0]: r[1] for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(met) < 10 * len(rows)
+    assert got == brute_copies(rows)
+
+
+def test_odd_sketches_never_overstate():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 20, 300, 5000):
+        a = rng.integers(0, 1 << 62, n, dtype=np.uint64)
+        b = np.unique(np.append(a[: n // 2], rng.integers(0, 1 << 62, n // 3 + 1, dtype=np.uint64)))
+        x, y = near_copies.odd_sketch(np.unique(a)).view(np.uint64)[None], near_copies.odd_sketch(b).view(np.uint64)[None]
+        few = min(x.shape[1], y.shape[1])
+        far = int(np.bitwise_count(near_copies.folded(x, few) ^ near_copies.folded(y, few)).sum())
+        assert far <= len(set(a.tolist()) ^ set(b.tolist()))
+        assert (near_copies.folded(near_copies.odd_sketch(b).view(np.uint64)[None], 2) == near_copies.folded(y, 2)).all()
+
+
+def test_written_shards_hold_each_row_once(spark, odd, tmp_path):
+    table = odd.unionByName(odd.where("doc_id = 3")).withColumn("_shard", F.lit("own")).withColumn("_group", F.lit(1))
+    sharding.write_shards(table, str(tmp_path / "shards"), 3)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert rows_of(back.select(*table.columns), *table.columns) == rows_of(table, *table.columns)
+    assert back.groupBy("text").agg(F.count_distinct("_shard_").alias("n")).where("n > 1").count() == 0
+
+
+def test_stages_on_empty_tables(spark, empty):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([], "item_id string, text string")
+    for out in (simhash.one_of_each(empty), lines.without_boilerplate(empty), toxicity.without_toxic(empty, labels), decontaminate.decontaminate(empty, items)):
+        assert out.columns == empty.columns and out.count() == 0
+
+
+def test_pipeline_run_leaves_no_tables_behind(spark, sf_dir, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    empty_dir = tmp_path / "empty"
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(f"{empty_dir}/{t}.parquet")
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
+    try:
+        out = pipeline.run(spark, sf_dir)
+        assert 0 < out.count() <= spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+        assert [p.name.split("-")[1] for p in (tmp_path / "shared").iterdir() if p.is_dir()] == ["after_decontaminate"]
+        assert pipeline.run(spark, str(empty_dir)).count() == 0
+    finally:
+        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+
+
 def test_components_of_chains(spark):
     links = [(f"{i:03d}", f"{i + 1:03d}") for i in range(60)] + [("900", "901"), ("901", "900"), ("902", "902"), (None, "1")]
     got = {r[0]: r[1] for r in components.components(spark.createDataFrame(links, "a string, b string")).collect()}
@@ -523,7 +590,7 @@ def test_pipeline_stage_by_stage(spark, sf_dir, tmp_path):
 
 def test_every_operator_has_its_query():
     names = list(queries.queries())
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names if n.startswith("op")] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names if n.startswith("op")] == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(names)
     assert json.dumps(sorted(names))
     assert pd.Series(names).is_unique
