@@ -12,32 +12,13 @@ rank order: its input is bounded, and the result is the same.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEW = 20_000
-_folder: dict[str, str] = {}
-
+from .folders import written
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see; a local session without one gets a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _folder.setdefault("at", "file://" + tempfile.mkdtemp(prefix="broadsheet-groups-"))
-
-
-def written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/groups-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+FEW = 20_000
 
 
 def decided(claims: DataFrame) -> DataFrame:

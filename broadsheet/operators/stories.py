@@ -48,6 +48,7 @@ def features(articles: DataFrame, key: str = "story") -> DataFrame:
         F.bool_or("selectable").alias("selectable"), F.max(F.when(F.col("selectable"), F.col("value"))).alias("selectable_value"), publishers.alias("further"), F.max("title").alias("title"), F.max("type").alias("type"), F.max("lang").alias("topic"),
         F.substring(F.array_join(F.transform(newest, lambda x: x["t"]), " "), 1, MATERIAL).alias("material"), F.array_sort(F.collect_set("domain")).alias("publishers"), F.bool_and(F.coalesce(F.col("entity") == "community", F.lit(False))).alias("is_community"),
         F.bool_or(F.col("lifecycle") == "stable").alias("confirmed"), F.max(points).alias("quality"),
+        F.bool_and(F.coalesce(F.col("tier").isin("T1", "T1.5"), F.lit(False))).alias("first_rate"),
     )
     g = g.withColumns({"importance": F.least(F.lit(100), F.col("significance") + 10 * F.least(F.lit(3), "further")), "coverage": F.least(F.lit(100), F.col("further") * 25), "facets": P.facets("title", "material", "type", "topic")})
     brief = F.col("selectable") & ((F.col("importance") >= 60) | ((F.col("importance") >= 45) & (F.coalesce("selectable_value", F.lit(0)) >= 60)))

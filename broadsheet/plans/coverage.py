@@ -1,17 +1,21 @@
-"""Queries over reports of one thing: copies, near-duplicate titles, release families, and the groups leaders take."""
+"""Queries over reports of one thing: copies, near-duplicate titles, release families, groups; their material, page texts and item versions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.html import article_text, plain_text, reading_text
 from ..functions.titles import COMMON_WORDS
 from ..operators.arbiter import assigned_groups
 from ..operators.copies import WINDOW, copy_cohorts
 from ..operators.families import WINDOW as FAMILY_WINDOW
 from ..operators.families import change_references, families, release_identity
+from ..operators.folders import new_folder
+from ..operators.material import allocated
 from ..operators.near_titles import SPAN, near_titles
-from ..sources.views import AS_OF, DAY, quoted, releases, reports
+from ..operators.upserts import ItemStore
+from ..sources.views import AS_OF, DAY, articles, quoted, releases, reports, table
 
 
 def _listed(rows: DataFrame) -> DataFrame:
@@ -71,4 +75,38 @@ def c11_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.groupBy("leader", F.substring("option", 1, 1).cast("int").alias("tier")).agg(F.count("*").alias("n_members"), F.min("member").alias("first"), F.max("member").alias("last"))
 
 
-ALL = [(c3_copy_cohorts, None), (e3_near_titles, E3), (c7_release_families, None), (c11_groups, None)]
+def m1_material(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of each article goes into the summary of its story: its body, and its short form as structured material."""
+    a = articles(spark, sf_dir)
+    rows = a.select("story", "item", "published", F.length("body").alias("body_length"), F.length("summary").alias("structured_length"))
+    return allocated(rows).withColumn("place", F.col("place").cast("long"))
+
+
+def h1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each page shows: its length in one line, and its paragraphs with their hash."""
+    p = table(spark, sf_dir, "pages").select("page_id", plain_text(F.col("html")).alias("plain"), reading_text(F.col("html")).alias("reading"))
+    paragraphs = F.when(F.col("reading") == "", 0).otherwise(F.size(F.split("reading", "\n\n")))
+    return p.select("page_id", F.length("plain").cast("long").alias("n_chars"), paragraphs.cast("long").alias("n_paragraphs"), F.md5(F.col("reading").cast("binary")).alias("reading_md5"))
+
+
+def h11_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article text of each page that has one."""
+    p = table(spark, sf_dir, "pages").select("page_id", article_text(F.col("html")).alias("body")).where("body is not null")
+    return p.select("page_id", F.length("body").cast("long").alias("n_chars"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
+def t9_item_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as fetched rows, in three batches, merged into items with versions: equal first lines of a source are one address, equal texts one id."""
+    d = table(spark, sf_dir, "documents")
+    first = F.md5(F.split_part("text", F.lit("\n"), F.lit(1)).cast("binary"))
+    rows = d.select(
+        F.col("doc_id").alias("seq"), "source", F.md5(F.col("text").cast("binary")).alias("external_id"), F.concat(F.lit("https://news.example/"), first).alias("url"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
+        (F.lit(AS_OF - 30 * DAY) + F.pmod(F.col("doc_id") * 48_271, F.lit(31 * DAY))).alias("published"), F.md5(F.col("text").cast("binary")).alias("hash"), F.substring("text", 1, 80).alias("summary"),
+    )
+    store = ItemStore(spark, new_folder(spark, "items"))
+    for batch in range(3):
+        store.upsert(rows.where(F.col("seq") % 3 == batch), batch)
+    return store.items().select("source", "external_id", "url", "version", "created_batch", "created_seq")
+
+
+ALL = [(c3_copy_cohorts, None), (e3_near_titles, E3), (c7_release_families, None), (c11_groups, None), (m1_material, None), (h1_page_text, None), (h11_articles, None), (t9_item_versions, None)]

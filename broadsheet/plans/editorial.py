@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import policy as P
-from ..functions.text import ALIASES, BUILD_HEADS, BUILD_TITLE
+from ..functions.text import ALIASES, BUILD_HEADS, BUILD_TITLE, model_key
 from ..operators import editions, scoring, stories
 from ..operators import personal as personal_ops
 from ..sources.views import AS_OF, DAY, HOUR, actions, articles, profiles, with_views
@@ -203,14 +203,33 @@ from (select story, {P.m('lower(max(title))', P.HYPE)} as shrill, coalesce(max(l
 )
 
 
-def q1_edition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily editions of twenty stories under quotas, the most important first."""
+def _edition_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stories that qualify for an edition, with the local day they were published on."""
     f = stories.features(articles(spark, sf_dir)).where("brief").where(F.col("freshness") <= AS_OF)
-    c = f.select(F.floor((F.col("freshness") + 8 * HOUR) / DAY).cast("long").alias("edition"), F.col("story").alias("item"), F.col("importance").cast("double").alias("rank"), F.col("freshness").alias("published"), F.col("publishers")[0].alias("publisher"), F.col("role").alias("kind"), F.col("facets")[0].alias("topic"))
-    return editions.quota_edition(c, 20)
+    return f.select(
+        F.floor((F.col("freshness") + 8 * HOUR) / DAY).cast("long").alias("day"), F.col("story").alias("item"), F.col("importance").cast("double").alias("rank"), F.col("freshness").alias("published"), F.col("freshness").alias("at"),
+        "publishers", "role", F.col("is_community").alias("community"), F.col("facets")[0].alias("topic"), model_key(F.col("title")).alias("story_key"), "value", "first_rate",
+    )
+
+
+def q1_edition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily editions of twenty stories: the main list of each local day, and what of the six days before is worth catching up on and was in no main list."""
+    c = _edition_candidates(spark, sf_dir).where("first_rate")
+    main = c.withColumn("edition", F.col("day")).withColumn("fresh", F.lit(True))
+    shown = editions.daily_editions(main.drop("day", "value", "first_rate"), 20).select("item")
+    late = c.where(stories.worth_catching_up(F.col("rank"), F.col("value"))).join(shown, "item", "left_anti")
+    last = F.lit((AS_OF + 8 * HOUR) // DAY)
+    late = late.withColumn("edition", F.explode(F.sequence(F.col("day") + 1, F.greatest(F.col("day") + 1, F.least(F.col("day") + 6, last))))).where(F.col("edition") <= last).withColumn("fresh", F.lit(False))
+    return editions.daily_editions(main.unionByName(late).drop("day", "value", "first_rate"), 20)
+
+
+def q2_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly editions of thirty stories by topic, three of a publisher at most."""
+    c = _edition_candidates(spark, sf_dir).withColumn("edition", F.floor(F.col("day") / 7).cast("long")).withColumn("fresh", F.lit(True))
+    return editions.weekly_editions(c.drop("day", "value", "first_rate"), 30)
 
 
 ALL = [
     (h15_facets, H15), (h16_technical_basis, H16), (k2_policy, K2), (k3_significance, K3), (k4_features, K4), (f11_catch_up, F11), (k6_affinity, K6), (k7_reading_bonus, K7), (k12_interest, K12), (k9_rank, K9),
-    (k12_relevance, K12_RELEVANCE), (k10_superseded, K10), (k13_hype, K13), (q1_edition, None),
+    (k12_relevance, K12_RELEVANCE), (k10_superseded, K10), (k13_hype, K13), (q1_edition, None), (q2_weekly, None),
 ]

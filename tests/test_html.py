@@ -15,7 +15,7 @@ GOLDEN = [
     ("1 < 2 && 3 > 2 &unknown; &#x41;&#66;&#0067; &#xD800; &#1114112;", "1 < 2 && 3 > 2 &unknown; ABC &#xD800; &#1114112;", None),
     ("<p>one</p><p>two<br>three</p>", "one two three", "one\n\ntwo\n\nthree"),
     ("x<script>if (a<b) '</script>' \"</p>\"</script>y", None, None),
-    ("<nav>a<nav>b</nav>c</nav>d", "c d", "c d"),
+    ("<nav>a<nav>b</nav>c</nav>d", "cd", "cd"),
     ("<p title='a > b'>in</p><!-- > <p> -->out<!-- open", "in out", None),
     ("before <a href=\"x>y\">link</a> after <b unclosed", "before link after", "before link after"),
     ("<DIV>Up\x00per\x07</DIV>　wide space", "Upper wide space", None),
