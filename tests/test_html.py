@@ -112,7 +112,7 @@ def test_articles(spark):
     pages = [
         (f"<body><nav>n</nav><ARTICLE class=x><p>{body}</p></ARTICLE></body>", body.strip()),
         (f"<articles>{body}</articles><main>\n<p>{body}one</p></main>", f"{body}one"),
-        (f"<div><div class='wide entry-content'><div>{body}</div>two<script>'</div>'</script></div>three</div>", f"{body.strip()}\n\ntwo"),
+        (f"<div><div class='wide entry-content'><div>{body}</div>two<script>'</div>'</script></div>three</div>", f"{body.strip()} two"),
         (f"<div data-class='article'>{body}</div>", None),
         (f"<article>{body} please enable JavaScript</article>", None),
         ("<article>short</article>", None),
