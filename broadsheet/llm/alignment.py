@@ -40,16 +40,26 @@ from .common import saved, task_over
 #: Characters of text that are encoded together, and tokens of one side that DuckDB joins at once.
 CHARS, SLICE = 2_000_000, 1_000_000
 
-#: B tokens that begin within an A token can only lie in one that no B token equals.
+#: ``begins`` and ``ends`` say whether the other side has a token that begins or ends there, too, ``equal`` whether it has this very interval.
+#: An A token that no B token equals is the only kind another B token may begin within.
 LINKS = """
     select a.doc, a.id as a, b.id as b from a asof join b on a.s >= b.s
     union all
-    select wide.doc, wide.id, inner_b.id from (select * from b anti join a on b.s = a.s) inner_b
-    join (select * from a anti join b on a.s = b.s and a.e = b.e) wide on inner_b.s > wide.s and inner_b.s < wide.e
+    select wide.doc, wide.id, inner_b.id from (select * from b where not begins) inner_b
+    join (select * from a where not equal) wide on inner_b.s > wide.s and inner_b.s < wide.e
 """
 PAIRS = f"select doc, a, b, count(*)::integer as n from ({LINKS}) group by all"
-#: Of each token of one side, how many common ends stand up to its own end, and whether its end is one. The window runs over the rows as they come, in order.
-GROUPS = "select pos, sum(shared::integer) over (rows unbounded preceding) as upto, shared from (select pos, e in (select e from {other}) as shared from {own})"
+#: Of each token of one side, how many common ends stand up to its own. The window runs over the rows as they come, in order.
+GROUPS = "select pos, sum(ends::integer) over (rows unbounded preceding) as upto from {own}"
+
+
+def common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of two ascending arrays' elements stand in the other, too."""
+    at = np.minimum(np.searchsorted(b, a), max(len(b) - 1, 0))
+    in_a = b[at] == a if len(b) else np.zeros(len(a), bool)
+    in_b = np.zeros(len(b), bool)
+    in_b[at[in_a]] = True
+    return in_a, in_b
 
 
 class Aligner:
@@ -81,23 +91,33 @@ class Aligner:
             return none, none
         return np.array(a, np.int64), np.array(b, np.int64)
 
-    def interval_table(self, ids: np.ndarray, size: np.ndarray, own: np.ndarray) -> pa.Table:
-        ends = np.cumsum(size[ids])
-        columns = {"doc": own, "pos": np.arange(len(ids)), "id": ids, "s": ends - size[ids], "e": ends}
-        return pa.table({c: pa.array(v.astype(np.int32)) for c, v in columns.items()})
+    def interval_tables(self, a: np.ndarray, b: np.ndarray, own_a: np.ndarray, own_b: np.ndarray) -> tuple[pa.Table, pa.Table]:
+        """The intervals of the tokens of both sides, which begin and end together."""
+        ends = [np.cumsum(size[ids]) for ids, size in ((a, self.a_size), (b, self.b_size))]
+        shared = common(*ends)
+        begins = [np.append(True, x[:-1]) for x in shared]  # a token begins where the one before it ends
+        whole = [np.flatnonzero(x & y) for x, y in zip(begins, shared, strict=True)]
+        # both begin and end on common places: equal if they end together and are as long
+        same = common(*(e[w] for e, w in zip(ends, whole, strict=True)))
+        tables = []
+        for ids, own, size, e, x, y, w, k in zip((a, b), (own_a, own_b), (self.a_size, self.b_size), ends, begins, shared, whole, same, strict=True):
+            equal = np.zeros(len(ids), bool)
+            equal[w[k]] = True
+            columns = {"doc": own, "pos": np.arange(len(ids)), "id": ids, "s": e - size[ids], "e": e}
+            tables.append(pa.table({c: pa.array(v.astype(np.int32)) for c, v in columns.items()} | {"begins": pa.array(x), "ends": pa.array(y), "equal": pa.array(equal)}))
+        return tables[0], tables[1]
 
     def joined(self, a: pa.Table, b: pa.Table) -> tuple:
-        """Of tokens that begin and end together: doc, a, b, n of each linked pair, and of each token of A and of B its group and whether it ends there."""
+        """doc, a, b, n of each linked pair, and the group of each token of A and of B."""
         self.db.register("a", a)
         self.db.register("b", b)
         pairs = {c: np.asarray(v, np.int64) for c, v in self.db.sql(PAIRS).fetchnumpy().items()}
         parts = []
-        for own, other in ("ab", "ba"):
-            rows = self.db.sql(GROUPS.format(own=own, other=other)).fetchnumpy()
+        for own, table in (("a", a), ("b", b)):
+            rows = self.db.sql(GROUPS.format(own=own)).fetchnumpy()
             if (np.diff(rows["pos"]) != 1).any():
                 raise RuntimeError("tokens came back out of order")
-            shared = np.asarray(rows["shared"], bool)
-            parts.append((np.asarray(rows["upto"], np.int64) - shared, shared))
+            parts.append(np.asarray(rows["upto"], np.int64) - table["ends"].to_numpy(zero_copy_only=False))
         self.db.unregister("a")
         self.db.unregister("b")
         return pairs, *parts
@@ -136,9 +156,10 @@ class Aligner:
             now, todo = todo[:n], todo[n:]
             own_a, own_b = (np.repeat([x[0] for x in now], [len(x[k]) for x in now]) for k in (1, 2))
             a, b = (np.concatenate([x[k] for x in now]) for k in (1, 2))
-            pairs, (part_a, ends_a), (part_b, _) = self.joined(self.interval_table(a, self.a_size, own_a), self.interval_table(b, self.b_size, own_b))
+            table_a, table_b = self.interval_tables(a, b, own_a, own_b)
+            pairs, part_a, part_b = self.joined(table_a, table_b)
             found.append((pairs["doc"], pairs["a"] << 32 | pairs["b"], pairs["n"]))
-            n_groups += np.bincount(own_a[ends_a], minlength=len(texts))
+            n_groups += np.bincount(own_a[table_a["ends"].to_numpy(zero_copy_only=False)], minlength=len(texts))
             words, at = self.groups_text(a, b, part_a, part_b), 0
             for d, xa, xb in now:
                 text = "".join(words[at : at + len(xa) + len(xb)])[:-1]
