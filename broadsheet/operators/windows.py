@@ -31,13 +31,21 @@ def anchored_windows(rows: DataFrame, key: str, at: str, span: int, tie: str, ne
         now, anchor, number = None, 0, -1
         for pdf in batches:
             keys, times = pdf[key].to_numpy(), pdf[at].to_numpy(np.int64)
+            sign = -1 if newest else 1
             anchors, numbers = np.empty(len(pdf), np.int64), np.empty(len(pdf), np.int64)
-            for i in range(len(pdf)):
-                if now is None or keys[i] != now:
-                    now, anchor, number = keys[i], times[i], 0
-                elif abs(times[i] - anchor) > span:
-                    anchor, number = times[i], number + 1
-                anchors[i], numbers[i] = anchor, number
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(pdf)] if len(pdf) else []
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if now is None or keys[begin] != now:
+                    now, anchor, number = keys[begin], times[begin], 0
+                ordered = sign * times[begin:end]  # ascending; a step for each window, not for each row
+                i = 0
+                while i < len(ordered):
+                    j = int(np.searchsorted(ordered, sign * anchor + span, "right"))
+                    if j <= i:
+                        anchor, number = times[begin + i], number + 1
+                        continue
+                    anchors[begin + i : begin + j], numbers[begin + i : begin + j] = anchor, number
+                    i = j
             yield pdf.assign(anchor=anchors, window_no=numbers)
 
     schema = StructType([*known.schema.fields, StructField("anchor", LongType()), StructField("window_no", LongType())])
