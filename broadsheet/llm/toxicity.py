@@ -111,21 +111,23 @@ def maximal_segments(scores: list[float], places: list[int], before: np.ndarray)
     return [(int(f), int(e), r - l) for l, r, f, e, _ in found]
 
 
-def token_scores(words: list[str], score_of: BoundedCache) -> np.ndarray:
-    """A token's score at its first place, 0 at the others, less DRIFT everywhere."""
+def token_scores(words: list[str], score_of: BoundedCache, every: bool = False) -> np.ndarray:
+    """A token's score at its first place, 0 at the others, less DRIFT everywhere; at each place if ``every``."""
     n = len(words)
+    if every:
+        return np.fromiter(map(score_of.__getitem__, words), float, n) - DRIFT
     out = np.full(n, -DRIFT)
     first = dict(zip(reversed(words), range(n - 1, -1, -1), strict=True))
     out[np.fromiter(first.values(), np.int64, len(first))] += np.fromiter(map(score_of.__getitem__, first), float, len(first))
     return out
 
 
-def scan(text: str | None, score_of: BoundedCache) -> tuple[int, list[tuple[int, int, float]]]:
-    """(tokens, segments with token positions) of one text."""
+def scan(text: str | None, score_of: BoundedCache, every: bool = False) -> tuple[int, list[tuple[int, int, float]]]:
+    """(tokens, segments with token positions) of one text. As evidence of a document a word counts once; as a passage it counts wherever it stands (``every``)."""
     words = words_of(text)
     if not words:
         return 0, []
-    s = token_scores(words, score_of)
+    s = token_scores(words, score_of, every)
     places = np.flatnonzero(s > 0)
     if not len(places):
         return len(words), []
@@ -336,7 +338,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def toxic_segments(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", min_z: float = 0.0) -> DataFrame:
-    """doc_id, first, end (in tokens), score, z of every passage more significant than ``min_z``, by a model of ``fit``."""
+    """doc_id, first, end (in tokens), score, z of every passage more significant than ``min_z``, by a model of ``fit``; repeated passages are all found."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<struct<first: long, end: long, score: double, z: double>>")
@@ -345,7 +347,7 @@ def toxic_segments(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
         for texts in batches:
             rows = []
             for t in texts:
-                n, found = scan(t, score_of)
+                n, found = scan(t, score_of, every=True)
                 z = [m.lam * s - m.ln_k - math.log(max(n, 1)) for _, _, s in found]
                 rows.append([{"first": f, "end": e, "score": s, "z": x} for (f, e, s), x in zip(found, z, strict=True) if x > min_z])
             yield pd.Series(rows, dtype=object)
