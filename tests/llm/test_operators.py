@@ -212,9 +212,9 @@ def test_toxic_segments(spark):
 def test_repeated_passages_are_all_found(spark):
     rows = [(i, "good words stand here " * 3 + ("vile foul rotten " if i % 3 == 0 else "") + "and good words behind", int(i % 3 == 0)) for i in range(300)]
     docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
-    twice = "good words stand here " * 3 + "vile foul rotten " + "good words stand here " * 5 + "vile foul rotten " + "and good words behind"
+    twice = "good words stand here " * 3 + "vile foul rotten " + "good words stand here " * 200 + "vile foul rotten " + "and good words behind"
     found = toxicity.toxic_segments(spark.createDataFrame([(1, twice), (2, None), (3, "")], "doc_id long, text string"), toxicity.fit(docs, labels)).toPandas()
-    assert sorted(zip(found["doc_id"], found["first"], found["end"], strict=True)) == [(1, 12, 15), (1, 35, 38)]
+    assert sorted(zip(found["doc_id"], found["first"], found["end"], strict=True)) == [(1, 12, 15), (1, 815, 818)]
 
 
 def test_toxicity_of_odd_texts(spark, odd, docs):
