@@ -15,7 +15,8 @@ from ..operators.folders import new_folder
 from ..operators.material import allocated
 from ..operators.near_titles import SPAN, near_titles
 from ..operators.upserts import ItemStore
-from ..sources.views import AS_OF, DAY, articles, quoted, releases, reports, table
+from ..sources.views import AS_OF, DAY, articles, quoted, releases, reports, seconds, table
+from ..streaming.jobs import job_history
 
 
 def _listed(rows: DataFrame) -> DataFrame:
@@ -109,4 +110,15 @@ def t9_item_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.items().select("source", "external_id", "url", "version", "created_batch", "created_seq")
 
 
-ALL = [(c3_copy_cohorts, None), (e3_near_titles, E3), (c7_release_families, None), (c11_groups, None), (m1_material, None), (h1_page_text, None), (h11_articles, None), (t9_item_versions, None)]
+def t6_job_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each job: the readers' events as a queue's, a job for each reader and local day."""
+    e = table(spark, sf_dir, "events")
+    at = seconds("ts")
+    kinds = F.create_map(*[F.lit(x) for kv in {"view": "claim", "click": "submit", "purchase": "done", "error": "failed", "signup": "deferred"}.items() for x in kv])
+    rows = e.select((F.col("user_id") * 100_000 + F.floor(at / DAY)).cast("long").alias("job"), F.col("event_id").alias("seq"), at.alias("at"), kinds[F.col("event_type")].alias("kind"), (F.col("event_id") % 2).alias("version"), F.lit("a").alias("lease"))
+    h = job_history(rows, AS_OF)
+    last = F.max_by(F.struct("status", "attempts"), F.struct("at", F.coalesce("seq", F.lit(0).cast("long"))))
+    return h.groupBy("job").agg(F.count("*").alias("n_transitions"), F.count_if(F.col("seq").isNull()).alias("n_recovered"), last.alias("l")).select("job", "n_transitions", "n_recovered", "l.status", F.col("l.attempts").cast("long").alias("attempts"))
+
+
+ALL = [(c3_copy_cohorts, None), (e3_near_titles, E3), (c7_release_families, None), (c11_groups, None), (m1_material, None), (h1_page_text, None), (h11_articles, None), (t9_item_versions, None), (t6_job_history, None)]
