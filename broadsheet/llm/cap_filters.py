@@ -14,7 +14,7 @@ Equal vectors are one vector with its number of copies throughout. A filter with
 blocks of that size, and each pair of blocks is a group of its own, so no group is larger than two blocks, however
 many vectors are near each other. No pair leaves its group: a pair counts in the least filter that both share, so each
 group adds up its vectors' partners and sends one row a vector: that sum, and one link to the least vector of its part of
-the group. Of vectors with more links to name than BLOCK squared, all are compared, as their number of partners is asked for.
+the group. Near each other or not, all vectors of a filter are compared, as the number of partners is asked for.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and neither do vectors of
 different length. Each row is a vector of its own, also with a repeated or null id; a null id is never a component's name: if a
