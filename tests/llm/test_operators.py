@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from broadsheet.llm import bpe_codec, components, decontaminate, lines, near_copies, queries, repeats, rules, sharding, simhash, token_counts, token_files, toxicity
+from broadsheet.llm import bpe_codec, common, components, decontaminate, lines, near_copies, queries, repeats, rules, sharding, simhash, token_counts, token_files, toxicity
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = [
@@ -398,20 +398,16 @@ def test_stages_on_empty_tables(spark, empty):
         assert out.columns == empty.columns and out.count() == 0
 
 
-def test_pipeline_run_leaves_no_tables_behind(spark, sf_dir, tmp_path):
+def test_pipeline_run_leaves_no_tables_behind(spark, sf_dir, tmp_path, monkeypatch):
     pipeline = pytest.importorskip("corpus_pipeline")
-    empty_dir = tmp_path / "empty"
     for t in ("documents", "labels", "benchmark"):
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(f"{empty_dir}/{t}.parquet")
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
-    try:
-        out = pipeline.run(spark, sf_dir)
-        assert 0 < out.count() <= spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/empty/{t}.parquet")
+    monkeypatch.setitem(common._own_dir, "dir", f"file://{tmp_path}/shared")
+    out = pipeline.run(spark, sf_dir)
+    assert 0 < out.count() <= spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    if not spark.conf.get("spark.checkpoint.dir", None):
         assert [p.name.split("-")[1] for p in (tmp_path / "shared").iterdir() if p.is_dir()] == ["after_decontaminate"]
-        assert pipeline.run(spark, str(empty_dir)).count() == 0
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+    assert pipeline.run(spark, f"{tmp_path}/empty").count() == 0
 
 
 def test_components_of_chains(spark):
