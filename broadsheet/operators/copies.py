@@ -2,8 +2,8 @@
 
 A title is only where to look. Reports of one title with the same sequence of numbers and the same counts of negations meet,
 and a cohort takes a report only if it is a copy of every member (complete link), so no report in between joins two
-stories. Titles, numbers and negations are told apart by column expressions over the texts where they are read; only
-texts that have a partner are sent anywhere, and a group holds at most MOST of them, as titles of more are no copies by rule.
+stories. Titles, numbers and negations are told apart by column expressions; first titles alone say whose texts are looked at,
+and each of these is taken apart once. A group holds at most MOST texts, as titles of more are no copies by rule.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.titles import letters, negations, numbers, trimmed
+from .folders import written
 
 HOUR = 3600
 WINDOW, MOST, MEMBERS, GRAM = 36 * HOUR, 64, 24, 5
@@ -20,8 +21,8 @@ WINDOW, MOST, MEMBERS, GRAM = 36 * HOUR, 64, 24, 5
 
 def copy_key(title: Column) -> Column:
     """What copies have in common in their title, null if it is too short or long to tell."""
-    plain = letters(title)
-    return F.when(F.length(plain).between(24, 240), F.concat(F.lit("article-copy:"), plain, F.lit(":"), F.array_join(numbers(title), ",")))
+    key = lambda plain: F.when(F.length(plain).between(24, 240), F.concat(F.lit("article-copy:"), plain, F.lit(":"), F.array_join(numbers(title), ",")))
+    return F.transform(F.array(letters(title)), key)[0]
 
 
 def material(title: Column, body: Column, published: Column) -> Column:
@@ -30,33 +31,40 @@ def material(title: Column, body: Column, published: Column) -> Column:
     Leading blocks go that repeat the title, name the source or are short and end with the time of publication (in UTC or
     eight hours ahead); closing ones that are blank or state that all rights are reserved.
     """
-    stamps = [F.date_format(F.timestamp_seconds(published + h * HOUR), "yyyy-MM-dd HH:mm:ss") for h in (0, 8)]
+    stamp = lambda h: F.date_format(F.timestamp_seconds(published + h * HOUR), "yyyy-MM-dd HH:mm:ss")
 
-    def leads(block: Column) -> Column:
-        b = trimmed(block)
-        stamped = (F.length(b) <= 100) & (b.endswith(stamps[0]) | b.endswith(stamps[1]))
-        return (letters(b) == letters(title)) | b.startswith("来源：") | b.startswith("Source:") | F.coalesce(stamped, F.lit(False))
+    def leads(b: Column, r: Column) -> Column:
+        stamped = (F.length(b) <= 100) & (b.endswith(r["stamp"]) | b.endswith(r["ahead"]))
+        return b.startswith("来源：") | b.startswith("Source:") | F.coalesce(stamped, F.lit(False)) | (letters(b) == r["title"])
 
-    def closes(block: Column) -> Column:
-        b = trimmed(block)
+    def closes(b: Column) -> Column:
         return (b == "") | ((F.length(b) <= 100) & b.startswith("版权所有") & b.contains("转载"))
 
-    blocks = F.split(body, "\n\n")
-    first = F.array_position(F.transform(blocks, leads), F.lit(False)).cast("int")
-    rest = F.when(first > 0, F.slice(blocks, F.greatest(first, F.lit(1)), F.size(blocks))).otherwise(F.array().cast("array<string>"))
-    after = F.array_position(F.transform(F.reverse(rest), closes), F.lit(False)).cast("int")
-    text = F.when(after > 0, F.array_join(F.slice(rest, 1, F.size(rest) - after + 1), "\n\n"))
-    return F.when(F.length(text) >= 100, text)
+    def stay_from(blocks: Column, goes) -> Column:
+        """How many blocks go before the first that stays, as -1 less that number; what comes after it is not looked at."""
+        look = lambda n, block: F.when(n < 0, n).when(~goes(trimmed(block)), -n - 1).otherwise(n + 1)
+        return F.aggregate(blocks, F.lit(0), look)
+
+    def opened(r: Column) -> Column:
+        first = F.transform(F.array(stay_from(r["blocks"], lambda b: leads(b, r))), lambda n: F.when(n < 0, F.slice(r["blocks"], -n, F.size(r["blocks"]))).otherwise(F.array().cast("array<string>")))
+        return F.transform(first, closed)[0]
+
+    def closed(rest: Column) -> Column:
+        text = F.transform(F.array(stay_from(F.reverse(rest), closes)), lambda n: F.when(n < 0, F.array_join(F.slice(rest, 1, F.size(rest) + n + 1), "\n\n")))
+        return F.transform(text, lambda t: F.when(F.length(t) >= 100, t))[0]
+
+    own = F.struct(letters(title).alias("title"), stamp(0).alias("stamp"), stamp(8).alias("ahead"), F.split(body, "\n\n").alias("blocks"))
+    return F.transform(F.array(own), opened)[0]
 
 
 def same_copy(a: str, b: str, grams: dict[str, set[str]]) -> bool:
     """Whether one of two plain texts holds the other, with enough five-character windows in common."""
     if a not in b and b not in a:
         return False
-    for text in (a, b):
+    for text in {a, b}:
         if text not in grams:
             grams[text] = {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
-    common = len(grams[a] & grams[b])
+    common = len(grams[a]) if a == b else len(grams[a] & grams[b])
     return common >= 60 and 10 * common >= 9 * min(len(grams[a]), len(grams[b])) and 4 * common >= 3 * (len(grams[a]) + len(grams[b]) - common)
 
 
@@ -66,16 +74,16 @@ def copy_cohorts(reports: DataFrame, as_of: int) -> DataFrame:
     ``reports``: item, kind, title, body, published. Releases, discussions and what is published after ``as_of`` take no part.
     """
     fits = (~F.col("kind").isin("release", "discussion")) & (F.col("published") <= as_of)
-    own = reports.where(fits).select("item", "published", copy_key(F.col("title")).alias("copy_key"), material(F.col("title"), F.col("body"), F.col("published")).alias("text"))
-    own = own.where("copy_key is not null").select("item", "published", "copy_key", "text", F.xxhash64(F.array_join(numbers(F.col("text")), ","), negations(F.col("text"))).alias("tone"))
-    light = own.select("item", "copy_key", F.when(F.col("text").isNotNull(), F.col("tone")).alias("tone"))
-    titles = light.groupBy("copy_key").agg(F.count("*").alias("n")).where(F.col("n").between(2, MOST)).select("copy_key")
-    several = light.where("tone is not null").groupBy("copy_key", "tone").agg(F.count("*").alias("n")).where("n > 1").select("copy_key", "tone")
-    partners = several.join(titles, "copy_key", "left_semi")
+    titled = reports.where(fits).withColumn("copy_key", copy_key(F.col("title")))
+    titles = titled.groupBy("copy_key").agg(F.count("*").alias("n")).where(F.col("copy_key").isNotNull() & F.col("n").between(2, MOST)).select("copy_key")
+    # texts are dear to take apart: only those of titles that may be copies are, each once, and what is left of them is written
+    parts = lambda t: F.struct(letters(t).alias("plain"), F.concat_ws(",", numbers(t)).alias("figures"), F.concat_ws(",", F.transform(negations(t), lambda n: n.cast("string"))).alias("denials"))
+    told = F.transform(F.filter(F.array(material(F.col("title"), F.col("body"), F.col("published"))), lambda t: t.isNotNull()), parts)
+    own = written(titled.join(titles, "copy_key", "left_semi").select("item", "published", "copy_key", F.explode(told).alias("own")).select("item", "published", "copy_key", "own.*"))
     # the hash only says who may meet; numbers and negations themselves are compared below
-    meet = own.join(partners, ["copy_key", "tone"], "left_semi").select(
-        "item", "published", "copy_key", "tone", letters(F.col("text")).alias("plain"), F.concat_ws(",", numbers(F.col("text"))).alias("figures"), F.concat_ws(",", F.transform(negations(F.col("text")), lambda n: n.cast("string"))).alias("denials")
-    )
+    own = own.withColumn("tone", F.xxhash64("figures", "denials"))
+    partners = own.groupBy("copy_key", "tone").agg(F.count("*").alias("n")).where("n > 1").select("copy_key", "tone")
+    meet = own.join(partners, ["copy_key", "tone"], "left_semi")
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         grams: dict[str, set[str]] = {}

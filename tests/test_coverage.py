@@ -330,3 +330,23 @@ def test_arbiter(spark, monkeypatch, few):
     if few:
         assert rows_of(arbiter.assigned_groups(tables[0], tables[1].limit(0), tables[2].limit(0))) == sorted(((x, None, x) for _, x in leaders), key=repr)
         assert arbiter.assigned_groups(*(t.limit(0) for t in tables)).count() == 0
+
+
+def counted(spark, kind):
+    """A function that gives its argument back, and how often it was called."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf(kind)
+    def same(value):
+        calls.add(1)
+        return value
+
+    return same, calls
+
+
+def test_copies_take_texts_apart_once(spark):
+    same, calls = counted(spark, "string")
+    rows = report_rows()
+    table = spark.createDataFrame(rows, "item long, kind string, title string, body string, published long")
+    assert copy_cohorts(table.withColumn("body", same("body")), T0 + 400 * H).count() > 0
+    assert 0 < calls.value <= len(rows)
