@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.titles import trimmed
+from .folders import written
 
 WINDOW = 24 * 3600
 
@@ -148,7 +149,8 @@ def release_identity(url: Column, title: Column) -> Column:
 def change_references(url: Column, text: Column) -> Column:
     """The set of changes of its own repository that a release's text names: #123, or the address of a pull request or issue."""
     repo = F.lower(F.regexp_extract(url, r"^https://github\.com/([^/]+/[^/]+)/", 1))
-    words = F.transform(F.split(text, r"(?U)\s+"), lambda w: F.regexp_replace(w, r"^[()\[\],.;。]+|[()\[\],.;。]+$", ""))
+    may = F.filter(F.split(text, r"(?U)\s+"), lambda w: w.contains("#") | w.contains("https://github.com/"))
+    words = F.transform(may, lambda w: F.regexp_replace(w, r"^[()\[\],.;。]+|[()\[\],.;。]+$", ""))
     link = r"^https://github\.com/([^/]+/[^/]+)/(?:pull|issues)/([0-9]+)(?:[?#].*)?$"
     number = lambda w: F.when(w.rlike("^#[0-9]+$"), F.substring(w, F.lit(2), F.length(w))).when(F.lower(F.regexp_extract(w, link, 1)) == repo, F.regexp_extract(w, link, 2))
     return F.array_sort(F.array_distinct(F.filter(F.transform(words, number), lambda n: F.coalesce(n != "", F.lit(False)))))
@@ -162,7 +164,9 @@ def families(releases: DataFrame, as_of: int) -> DataFrame:
     stretch the family beyond 24 hours, or is for a target it has; then, for lines that share changes, one whose changes have nothing in common
     with the family's, or (strict lines) that has none.
     """
-    known = releases.where(F.col("identity").isNotNull() & (F.col("published") <= as_of)).select("item", "published", "changes", "identity.*")
+    # the grammar and the search for references are dear: each is evaluated once, and what it finds is written
+    told = written(releases.where(F.col("published") <= as_of).select("item", "published", "changes", "identity"))
+    known = told.where("identity is not null").select("item", "published", "changes", "identity.*")
     several = known.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line")
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:

@@ -11,7 +11,7 @@ from ..operators.arbiter import assigned_groups
 from ..operators.copies import WINDOW, copy_cohorts
 from ..operators.families import WINDOW as FAMILY_WINDOW
 from ..operators.families import change_references, families, release_identity
-from ..operators.folders import new_folder
+from ..operators.folders import new_folder, written
 from ..operators.material import allocated
 from ..operators.near_titles import SPAN, near_titles
 from ..operators.upserts import ItemStore
@@ -68,7 +68,7 @@ def c11_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaders = own.select(((AS_OF - F.col("published")) * 1_000_000_000_000 + F.col("item")).alias("rank"), F.col("item").alias("leader"))
     copies = copy_cohorts(reports(spark, sf_dir), AS_OF).select(F.concat(F.lit("0:"), F.col("leader").cast("string")).alias("option"), "item")
     lines = families(_released(spark, sf_dir), AS_OF).select(F.concat(F.lit("1:"), F.col("leader").cast("string")).alias("option"), "item")
-    both = copies.unionByName(lines)
+    both = written(copies.unionByName(lines))  # offers and members are both made of it
     tier = F.substring("option", 1, 1).cast("int")
     offers = both.select(F.col("item").alias("leader"), tier.alias("tier"), "option", F.when(tier == 0, WINDOW).otherwise(FAMILY_WINDOW).cast("long").alias("span"), (tier == 0).alias("keeps"))
     members = both.join(own, "item").select("option", F.col("item").alias("member"), F.col("published").alias("at"))

@@ -350,3 +350,12 @@ def test_copies_take_texts_apart_once(spark):
     table = spark.createDataFrame(rows, "item long, kind string, title string, body string, published long")
     assert copy_cohorts(table.withColumn("body", same("body")), T0 + 400 * H).count() > 0
     assert 0 < calls.value <= len(rows)
+
+
+def test_families_read_releases_once(spark):
+    same, calls = counted(spark, "array<string>")
+    rows = [(k, T0 + k, "@kit/" + "abc"[k % 3] + "@1.0.0") for k in range(30)]
+    table = spark.createDataFrame(rows, "item long, published long, title string").withColumn("url", F.concat(F.lit("https://github.com/o/kit/releases/tag/"), F.regexp_replace("title", "/", "%2F")))
+    told = table.select("item", "published", release_identity(F.col("url"), F.col("title")).alias("identity"), same(F.array(F.lit("1"))).alias("changes"))
+    assert families(told, T0 + 99).count() > 0
+    assert calls.value <= len(rows)
