@@ -16,8 +16,9 @@ place that each shares with others, over some rounds, and folded in order, one g
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,26 +27,39 @@ from .folders import exists, written
 FETCHED = "seq long, source string, external_id string, url string, title string, published long, hash string, summary string"
 ITEM = "item string, source string, external_id string, url string, title string, published long, hash string, summary string, version long, created_batch long, created_seq long"
 IDENTITY = "source string, kind string, value string, item string"
+_MADE = pa.schema([(name, pa.int64() if kind == "long" else pa.string()) for name, kind in (c.split() for c in f"made string, {ITEM}, kind string, value string".split(", "))])
 _ITEM, _IDENTITY = ([c.split()[0] for c in s.split(", ")] for s in (ITEM, IDENTITY))
 
 
 def fold_rows(rows: list[dict], items: dict[str, dict], identities: dict[tuple, str], batch: int) -> tuple[dict[str, dict], dict[tuple, str]]:
     """The items and identities that are new or changed after ``rows`` in order; ``items`` and ``identities`` are brought up to date."""
     changed, added = {}, {}
+    # items by the id and address they have now
+    holders: dict[tuple, set[str]] = {}
+    named = lambda x: [(x["source"], kind, x[c]) for kind, c in (("external", "external_id"), ("url", "url")) if x[c] is not None]
+    for i, x in items.items():
+        for k in named(x):
+            holders.setdefault(k, set()).add(i)
     for r in sorted(rows, key=lambda r: r["seq"]):
-        keys = [(r["source"], kind, r[c]) for kind, c in (("external", "external_id"), ("url", "url")) if r[c] is not None]
+        keys = named(r)
         meant = {identities[k] for k in keys if k in identities}
-        meant |= {i for i, x in items.items() if x["source"] == r["source"] and any(r[c] is not None and x[c] == r[c] for c in ("external_id", "url"))}
+        meant = meant.union(*(holders.get(k, ()) for k in keys))
         first = lambda i: (items[i]["hash"] != r["hash"], r["external_id"] is None or items[i]["external_id"] != r["external_id"], items[i]["created_batch"], items[i]["created_seq"], i)
         found = min(meant, key=first, default=None)
         own = {c: r[c] for c in ("external_id", "url", "title", "published", "hash")} | {"summary": r["summary"] or ""}
         if found is None:
             found = hashlib.sha256(f"{batch}:{r['seq']}".encode()).hexdigest()[:32]
             items[found] = changed[found] = {"item": found, "source": r["source"], **own, "version": 1, "created_batch": batch, "created_seq": r["seq"]}
+            for k in keys:
+                holders.setdefault(k, set()).add(found)
         elif items[found]["hash"] != own["hash"] or items[found]["summary"] != own["summary"]:
             before = items[found]
             own["published"] = before["published"] if own["published"] is None else own["published"]
             items[found] = changed[found] = {**before, **own, "version": before["version"] + 1}
+            for k in named(before):
+                holders[k].discard(found)
+            for k in keys:
+                holders.setdefault(k, set()).add(found)
         for k in keys:
             if k not in identities:
                 identities[k] = added[k] = found
@@ -88,20 +102,29 @@ class ItemStore:
         old = items.join(of_item, "item")
         others = self.identities(batch).join(of_item, "item")
 
-        def fold(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-            parts = {name: [] for name in ("row", "item", "identity")}
-            for name, data in zip(own["part"], own["data"], strict=True):
-                parts[name].append(data)
-            held = {x["item"]: x for x in parts["item"]}
+        def folded(own: list[dict]) -> list[dict]:
+            parts = {name: [x["data"] for x in own if x["part"] == name] for name in ("row", "item", "identity")}
+            held = {x["item"]: {c: x[c] for c in _ITEM} for x in parts["item"]}
             changed, added = fold_rows(parts["row"], held, {(x["source"], x["kind"], x["value"]): x["item"] for x in parts["identity"]}, batch)
             out = [{"made": "item", **x} for x in changed.values()]
-            out += [{"made": "identity", "source": s, "kind": k, "value": v, "item": i} for (s, k, v), i in added.items()]
-            columns = ["made", *_ITEM, "kind", "value"]
-            return pd.DataFrame([[x.get(c) for c in columns] for x in out], columns=columns, dtype=object)
+            return out + [{"made": "identity", "source": s, "kind": k, "value": v, "item": i} for (s, k, v), i in added.items()]
+
+        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[dict] = []  # the rows of the group that may go on
+            for rows_of in batches:
+                out = []
+                for x in rows_of.to_pylist():
+                    if held and held[0]["label"] != x["label"]:
+                        out += folded(held)
+                        held = []
+                    held.append(x)
+                yield pa.RecordBatch.from_pylist(out, _MADE)
+            yield pa.RecordBatch.from_pylist(folded(held) if held else [], _MADE)
 
         as_part = lambda df, name: df.select("label", F.lit(name).alias("part"), F.struct(*[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in _FIELDS.items()]).alias("data"))
         both = as_part(rows.join(labels, "seq"), "row").unionByName(as_part(old, "item")).unionByName(as_part(others, "identity"))
-        made = written(both.groupBy("label").applyInPandas(fold, f"made string, {ITEM}, kind string, value string"), "merged")
+        # most groups are one or two rows: they pass in order through one task's batches, not each as a table of its own
+        made = written(both.repartition("label").sortWithinPartitions("label").mapInArrow(fold, f"made string, {ITEM}, kind string, value string"), "merged")
         for table, columns, kind in (("items", _ITEM, "item"), ("identities", _IDENTITY, "identity")):
             made.where(F.col("made") == kind).select(*columns).write.mode("overwrite").parquet(f"{self.path}/{table}/batch={batch}")
 

@@ -79,3 +79,16 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame(rows[25:], FETCHED).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     upserts.upsert_stream(stream(), path, f"{tmp_path}/check").awaitTermination(180)
     assert rows_of(ItemStore(spark, path)) == folded([rows[:25], rows[25:]])
+
+
+def test_a_group_is_not_searched_for_every_row():
+    class Held(dict):
+        looked = 0
+
+        def items(self):
+            Held.looked += 1
+            return super().items()
+
+    rows = [{"seq": k, "source": "s", "external_id": f"e{k % 40}", "url": f"u{k % 7}", "title": "t", "published": k, "hash": f"h{k % 5}", "summary": ""} for k in range(200)]
+    upserts.fold_rows(rows, Held(), {}, 0)
+    assert Held.looked <= 1
