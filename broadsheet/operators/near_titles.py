@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.titles import distinctive, number_tokens, overlap, title_tokens, trigrams
+from .folders import written
 
 SPAN, LEAST_CHARS, LEAST_TOKENS, LEAST_DISTINCTIVE, TRIGRAMS = 36 * 3600, 55, 8, 4, 0.65
 
@@ -52,8 +53,9 @@ def near_titles(reports: DataFrame) -> DataFrame:
 
     The match is the most alike, of these the first; reports without one are left out. Rows without title, address or time match nothing.
     """
-    told = title_classes(reports).select("item", "published", "class", "kind", "figures", "title", "tokens")
-    classes = told.groupBy("class").agg(*[F.min(c).alias(c) for c in ("kind", "figures", "title", "tokens")])
+    # texts are read and titles told apart once; classes are joined with each other from what is written
+    told = written(title_classes(reports).select("item", "published", "class", "kind", "figures", "title", "tokens"))
+    classes = written(told.groupBy("class").agg(*[F.any_value(c).alias(c) for c in ("kind", "figures", "title", "tokens")]))
     rows = told.select("item", "published", "class")
     asks = rows.join(similar_classes(classes), "class").select("item", "published", F.col("other").alias("class"), "likeness")
     period = F.floor(F.col("published") / SPAN)

@@ -359,3 +359,12 @@ def test_families_read_releases_once(spark):
     told = table.select("item", "published", release_identity(F.col("url"), F.col("title")).alias("identity"), same(F.array(F.lit("1"))).alias("changes"))
     assert families(told, T0 + 99).count() > 0
     assert calls.value <= len(rows)
+
+
+def test_near_titles_read_titles_once(spark):
+    same, calls = counted(spark, "string")
+    title = "The regional council approves a revised harbour railway plan after lengthy talks"
+    rows = [(k, "news", title + " soon" * (k % 2), "https://a.example/p", T0 + k * H) for k in range(8)]
+    table = spark.createDataFrame(rows, "item long, kind string, title string, url string, published long")
+    assert near_titles(table.withColumn("title", same("title"))).count() > 0
+    assert calls.value <= 2 * len(rows)  # to see whether it fits, and what it is
