@@ -19,6 +19,7 @@ TRIES, LEASE, WAIT, DEFERRED = 3, 300, 60, 15
 #: ``kind``: submit (version), claim (lease), done (lease), failed (lease), broken (lease; for good), deferred (lease). ``at``: seconds.
 EVENT = "job long, seq long, at long, kind string, version long, lease string"
 TRANSITION = "job long, seq long, at long, status string, attempts int, next_at long"
+_EVENT = ["seq", "at", "kind", "version", "lease"]
 _NAMES = [c.split()[0] for c in TRANSITION.split(", ")]
 
 
@@ -66,18 +67,24 @@ def step(job: Job | None, kind: str, at: int, version: int | None, lease: str |
 def transitions(job_id: int, job: Job | None, events: pd.DataFrame) -> tuple[Job | None, list[tuple]]:
     """The job after ``events`` (in order), and a row for each change; a recovery has no seq."""
     out = []
-    text = lambda v: v if isinstance(v, str) else None
-    for seq, at, kind, version, lease in events[["seq", "at", "kind", "version", "lease"]].itertuples(index=False):
-        job, back = recovered(job, at)
-        if back is not None:
-            out.append((job_id, None, back, job.status, job.attempts, job.next_at))
-        new = step(job, kind, int(at), None if pd.isna(version) else int(version), text(lease))
-        if new != job:
-            job = new
-            out.append((job_id, int(seq), int(at), job.status, job.attempts, job.next_at))
+    for event in events[_EVENT].itertuples(index=False, name=None):
+        job = _after(job_id, job, event, out)
     return job, out
 
 
+def _after(job_id: int, job: Job | None, event: tuple, out: list[tuple]) -> Job | None:
+    """The job after one event (seq, at, kind, version, lease); a row for each change goes to ``out``."""
+    seq, at, kind, version, lease = event
+    job, back = recovered(job, at)
+    if back is not None:
+        out.append((job_id, None, back, job.status, job.attempts, job.next_at))
+    new = step(job, kind, int(at), None if pd.isna(version) else int(version), lease if isinstance(lease, str) else None)
+    if new != job:
+        job = new
+        out.append((job_id, int(seq), int(at), job.status, job.attempts, job.next_at))
+    return job
+
+
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=_NAMES).astype({"seq": "Int64", "next_at": "Int64"})
 
@@ -89,12 +96,12 @@ def job_history(events: DataFrame, as_of: int) -> DataFrame:
         now, job = None, None
         for pdf in batches:
             out = []
-            for job_id, own in pdf.groupby("job", sort=False):
+            # jobs have few events each, so these pass one by one, not as a table a job
+            for job_id, *event in zip(*(pdf[c].tolist() for c in ("job", *_EVENT)), strict=True):
                 if job_id != now:
                     out += _ended(now, job, as_of)
                     now, job = job_id, None
-                job, made = transitions(int(job_id), job, own)
-                out += made
+                job = _after(job_id, job, event, out)
             yield _frame(out)
         yield _frame(_ended(now, job, as_of))
 

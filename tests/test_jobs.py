@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from broadsheet.streaming.jobs import EVENT, job_history, leased_jobs
@@ -80,3 +81,14 @@ def test_stream_matches_the_batch(spark, tmp_path):
     got = sorted((tuple(r) for r in spark.table("jobs").collect()), key=repr)
     assert got == sorted((tuple(r) for r in job_history(spark.createDataFrame(events, EVENT), end + 5000).collect()), key=repr)
     assert spark.table("jobs").where(F.col("seq").isNull()).count() > 3
+
+
+def test_events_pass_one_by_one():
+    from broadsheet.streaming import jobs
+
+    events = [(k, 100 * k, ["submit", "claim", "failed", "claim", "done"][k % 5], 1.0 if k % 5 == 0 else float("nan"), "a") for k in range(40)]
+    job, out = None, []
+    for event in events:
+        job = jobs._after(7, job, event, out)
+    assert (job, out) == jobs.transitions(7, None, pd.DataFrame(events, columns=["seq", "at", "kind", "version", "lease"]))
+    assert out
