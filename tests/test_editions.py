@@ -60,3 +60,9 @@ def test_editions(spark, seed):
     assert sorted(tuple(r) for r in daily_editions(table, 20).collect()) == chosen(rows, 20, False)
     assert sorted(tuple(r) for r in weekly_editions(table, 30).collect()) == chosen(rows, 30, True)
     assert daily_editions(table.limit(0), 20).count() == 0
+
+
+def test_candidates_of_an_edition_are_made_once(spark, sf_dir):
+    from broadsheet.plans.editorial import q1_edition
+
+    assert not any("documents.parquet" in f for f in q1_edition(spark, sf_dir).inputFiles())
