@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.html import article_text, plain_text, reading_text
+from ..functions.html import article_text, page_batches, plain_text, reading_text
 from ..functions.titles import COMMON_WORDS
 from ..operators.arbiter import assigned_groups
 from ..operators.copies import WINDOW, copy_cohorts
@@ -85,14 +85,14 @@ def m1_material(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def h1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each page shows: its length in one line, and its paragraphs with their hash."""
-    p = table(spark, sf_dir, "pages").select("page_id", plain_text(F.col("html")).alias("plain"), reading_text(F.col("html")).alias("reading"))
+    p = page_batches(table(spark, sf_dir, "pages")).select("page_id", plain_text(F.col("html")).alias("plain"), reading_text(F.col("html")).alias("reading"))
     paragraphs = F.when(F.col("reading") == "", 0).otherwise(F.size(F.split("reading", "\n\n")))
     return p.select("page_id", F.length("plain").cast("long").alias("n_chars"), paragraphs.cast("long").alias("n_paragraphs"), F.md5(F.col("reading").cast("binary")).alias("reading_md5"))
 
 
 def h11_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The article text of each page that has one."""
-    p = table(spark, sf_dir, "pages").select("page_id", article_text(F.col("html")).alias("body")).where("body is not null")
+    p = page_batches(table(spark, sf_dir, "pages")).select("page_id", article_text(F.col("html")).alias("body")).where("body is not null")
     return p.select("page_id", F.length("body").cast("long").alias("n_chars"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 

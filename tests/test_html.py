@@ -122,3 +122,14 @@ def test_articles(spark):
     table = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(pages)], "i int, t string")
     got = table.select("i", H.article_text(F.col("t")).alias("a")).orderBy("i").collect()
     assert [r.a for r in got] == [w for _, w in pages]
+
+
+def test_pages_go_to_python_in_small_batches(spark, sf_dir):
+    from broadsheet.plans.coverage import h1_page_text, h11_articles
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for query in (h1_page_text, h11_articles):
+        spark.conf.unset(name)
+        query(spark, sf_dir)
+        assert 0 < int(spark.conf.get(name)) <= 250
+    spark.conf.unset(name)
