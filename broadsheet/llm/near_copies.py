@@ -1,20 +1,24 @@
 """Components of documents whose sets of word shingles have a Jaccard similarity of at least 0.8.
 
-Candidates come from MinHash: ROWS minima of random orders of a set's shingles make the key of a band, and two sets
-meet if one of BANDS keys is equal. A pair at 0.8 is missed with a probability of (1 - 0.8^5)^32, 3.1e-6, a nearer pair
-more rarely; every pair that meets is then confirmed on the whole sets. SimHash cannot do this with a limit that can
-be searched: at 0.8 about 19 of 128 bits differ (standard deviation 4), and more in short texts.
-
-Sets that are equal are one set throughout. Bands with many sets are first compared with one set each, drawn anew in
-every round, and what that joins need not meet again. After each round sets go that cannot be similar to anything
+Candidates come from SimHash (``simhash.segment_clusters``): a set's fingerprint is a ring of 160 segments of 16 bits, and two
+sets meet if a segment is equal and the chain of four segments behind it differs in few bits. At 0.8 a bit differs with a probability of
+0.152, a segment is equal with 0.0717 and its chain passes with 0.99, so such a pair is missed with a probability of (1 - 0.071)^160, some 8e-6, and
+a nearer one more rarely. In small sets more bits differ (0.1875 for four shingles of five), so sets of up to 40 shingles have two rings. A
+single fingerprint searched by its whole distance cannot do this: of 128 bits about 19 differ (standard deviation 4).
+Every pair that meets is then confirmed on the whole sets.
+
+Sets that are equal are one set throughout. What meets comes as clusters, in number of rows bound to their members; large clusters are first compared with one
+set each, drawn anew in every round, and what that joins need not meet again. After each round sets go that cannot be similar to anything
 left: a shingle that stands in one component alone is in no common part, so the rest of a set bounds its common part
-with every set of another component. Once rounds help no more, the sets that share a band and are not yet in one component are
+with every set of another component. Once rounds help no more, the sets that share a cluster and are not yet in one component are
 compared by odd sketches (a bit for each of some four times as many places as a set has shingles: whether an odd number of them falls
 there). Two sets differ in at least as many shingles as their sketches in bits, so a pair whose sketches are too far apart is not
-similar, and nothing is lost by leaving it out; each pair is looked at under one band only. Sketches are some 16 times smaller than sets,
-and a band with more than BLOCK sets is compared in pairs of blocks, each a group of its own, that send only the pairs the bound lets pass.
+similar, and nothing is lost by leaving it out. Sketches are some 16 times smaller than sets. Pairs of clusters up to SMALL sets are made by a
+join; a larger one is compared in pairs of blocks of BLOCK sets, each a group of its own, that send only the pairs the bound lets pass.
 Whole sets meet for those alone. Nothing is capped: what sketches are compared in the end grows with the square of the
-sets of a band that neither rounds could join nor the bound part, what is confirmed with the pairs that are similar or nearly so.
+sets of a cluster that neither rounds could join nor the bound part, what is confirmed with the pairs that are similar or nearly so. Sets
+that share a segment by chance are compared by their chains in one task a key, two words a set: that grows with the square of the
+sets, some sets * sets / 65,536 * 80 comparisons of a word.
 
 Words and shingles are those of ``simhash.shingle_hashes`` (a shingle stands as its XXH64). Texts without words are
 equal to each other and similar to nothing else.
@@ -23,7 +27,6 @@ equal to each other and similar to nothing else.
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,15 +35,12 @@ from pyspark.sql import functions as F
 
 from .common import dropped, saved
 from .components import components
-from .simhash import mixed, shingle_hashes
+from .simhash import mixed, segment_clusters, shingle_hashes, wide_print
 
-BANDS, ROWS = 32, 5
-#: Sets of a block of a band, and 64-bit words of sketches that are compared at once.
-BLOCK, WORDS = 512, 2_000_000
+#: Sets of a cluster whose pairs are made by a join, of a block of a larger one, and 64-bit words of sketches that are compared at once.
+SMALL, BLOCK, WORDS = 32, 512, 2_000_000
 #: Rounds go on while the pairs left outnumber the rows by so much, and the last round took at least this share of them.
 MANY, TAKEN = 40, 0.5
-_AT = np.arange(BANDS * ROWS, dtype=np.uint64)
-_TIMES, _PLUS = mixed(_AT) | np.uint64(1), mixed(_AT + np.uint64(1 << 32))
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -51,16 +51,6 @@ def set_id(shingles: np.ndarray) -> str:
     return hashlib.blake2b(shingles.astype("<u8").tobytes(), digest_size=16).hexdigest()
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    if not len(shingles):
-        return np.zeros(0, np.int64)
-    least = reduce(np.minimum, ((shingles[at : at + 512, None] * _TIMES + _PLUS).min(0) for at in range(0, len(shingles), 512)))
-    key = np.arange(BANDS, dtype=np.uint64)
-    for own in least.reshape(BANDS, ROWS).T:
-        key = mixed(key ^ own)
-    return key.view(np.int64)
-
-
 def odd_sketch(shingles: np.ndarray) -> np.ndarray:
     """Whether an odd number of shingles falls on each of 64 places a word; words are a power of two, at least one for 16 shingles."""
     words = max(2, 1 << max(0, (len(shingles) - 1) // 16).bit_length())
@@ -74,15 +64,18 @@ def folded(sketches: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, words), axis=1)
 
 
-def with_bands(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, set_id, size (of the set), bands and sketch of each document."""
+def with_prints(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, set_id, sid (a part of it), size (of the set), print (its SimHash; empty without shingles) and sketch of each document."""
 
-    @F.pandas_udf("set_id string, size long, bands array<long>, sketch array<long>")
-    def bands(texts: pd.Series) -> pd.DataFrame:
-        rows = [(set_id(s), len(s), band_keys(s), odd_sketch(s)) for s in (shingle_set(t, width) for t in texts)]  # one set at a time in memory
-        return pd.DataFrame(rows, columns=["set_id", "size", "bands", "sketch"])
+    @F.pandas_udf("set_id string, sid long, size long, print binary, sketch array<long>")
+    def prints(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for s in (shingle_set(t, width) for t in texts):  # one set at a time in memory
+            name = set_id(s)
+            rows.append((name, int.from_bytes(bytes.fromhex(name[:16]), "little", signed=True), len(s), wide_print(s).astype("<u8").tobytes() if len(s) else b"", odd_sketch(s)))
+        return pd.DataFrame(rows, columns=["set_id", "sid", "size", "print", "sketch"])
 
-    return docs.withColumn("_own", bands("text")).select("doc_id", "_own.*")
+    return docs.withColumn("_own", prints("text")).select("doc_id", "_own.*")
 
 
 def with_shingles(docs: DataFrame, width: int) -> DataFrame:
@@ -108,10 +101,10 @@ def bounded_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def near_pairs(own: pd.DataFrame) -> pd.DataFrame:
-    """a, b: of the sets of two blocks of one band (or of one block), the pairs that may be similar, have no component in common and meet here first."""
-    key, across = own["key"].iloc[0], own["low"].iloc[0] != own["high"].iloc[0]
+    """a, b: of the sets of two blocks of one cluster (or of one block), the pairs that may be similar and have no component in common."""
+    across = own["low"].iloc[0] != own["high"].iloc[0]
     size, shared, block = (own[c].to_numpy(np.int64) for c in ("size", "shared", "block"))
-    comp, ids, bands = pd.factorize(own["comp"])[0], own["set_id"].to_numpy(), np.stack(own["bands"].to_list())
+    comp, ids = pd.factorize(own["comp"])[0], own["set_id"].to_numpy()
     words = own["sketch"].str.len().to_numpy()
     found = []
     for few in np.unique(words):
@@ -132,27 +125,29 @@ def near_pairs(own: pd.DataFrame) -> pd.DataFrame:
                     found.append((i[a, 0], right[b]))
     if not found:
         return pd.DataFrame({"a": [], "b": []}, dtype=object)
-    a, b = (np.concatenate(v) for v in zip(*found, strict=True))
-    same = bands[a] == bands[b]
-    first = bands[a, same.argmax(1)] == key if len(a) else np.zeros(0, bool)
-    a, b = ids[a[first]], ids[b[first]]
+    a, b = (ids[np.concatenate(v)] for v in zip(*found, strict=True))
     return pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a)}, dtype=object)
 
 
-def pairs_by_sketch(rows: DataFrame) -> DataFrame:
-    """a, b of all bands; ``rows``: key, set_id, size, shared, comp, bands, sketch."""
-    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("set_id", "key"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("key", "set_id", "size", "shared", "comp", "bands", "sketch", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
-    return dealt.groupBy("key", "low", "high").applyInPandas(near_pairs, "a string, b string")
+def pairs_by_sketch(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """a, b of all clusters, once each; ``rows``: key, set_id, size, shared, comp, ``sketches``: set_id, size, sketch."""
+    sized = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key")
+    few = sized.where(F.col("n") <= SMALL)
+    other = few.select("key", *[F.col(c).alias(f"other_{c}") for c in ("set_id", "size", "shared", "comp")])
+    pairs = few.join(other, "key").where((F.col("set_id") < F.col("other_set_id")) & (F.col("comp") != F.col("other_comp")) & may_be("other_"))
+    pairs = bounded_pairs(pairs.select(F.col("set_id").alias("a"), F.col("other_set_id").alias("b")).distinct(), sketches)
+    many = sized.where(F.col("n") > SMALL).join(sketches.select("set_id", "sketch"), "set_id").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    dealt = many.withColumn("block", F.pmod(F.xxhash64("set_id", "key"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("key", "set_id", "size", "shared", "comp", "sketch", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
+    return pairs.unionByName(dealt.groupBy("key", "low", "high").applyInPandas(near_pairs, "a string, b string")).distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of set ids whose similarity is at least 0.8, in whole numbers: 9 common >= 4 (a + b)."""
     pairs = saved(pairs, "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    few = saved(sets.join(ends, "set_id", "left_semi"), "ends")  # where they are small by their files, Spark sends them to the pairs
-    of = lambda c: few.select(F.col("set_id").alias(c), F.col("shingles").alias(f"of_{c}"))
+    few = saved(sets.join(ends, "set_id", "left_semi"), "ends")
+    of = lambda c: few.hint("merge").select(F.col("set_id").alias(c), F.col("shingles").alias(f"of_{c}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     common = F.size(F.array_intersect("of_a", "of_b"))
     out = saved(both.where(9 * common >= 4 * (F.size("of_a") + F.size("of_b"))).select("a", "b"), "similar")
@@ -162,19 +157,19 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def mixed_bands(rows: DataFrame) -> DataFrame:
-    """``rows`` without the bands whose sets are all in one component, saved."""
+    """``rows`` without the clusters whose sets are all in one component, saved."""
     several = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     return saved(rows.join(several, "key", "left_semi"), "bands")
 
 
 def with_component(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """``rows`` with the column comp made anew, in mixed bands."""
+    """``rows`` with the column comp made anew, in mixed clusters."""
     roots = components(links)
     return mixed_bands(rows.drop("comp").join(roots, F.col("set_id") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "set_id")).drop("node", "root"))
 
 
 def pairs_left(rows: DataFrame) -> tuple[float, int]:
-    """Pairs of sets of different components that share a band, once a band, and the rows."""
+    """Pairs of sets of different components that share a cluster, once a cluster, and the rows."""
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.expr("n * cast(n as double)")).alias("within"))
     n = sizes.agg(F.sum(F.expr("(n * cast(n as double) - within) / 2")), F.sum("n")).first()
     return n[0] or 0.0, n[1] or 0
@@ -189,7 +184,7 @@ def may_be(other: str):
 def bounded(rows: DataFrame, whole: DataFrame) -> DataFrame:
     """The rows whose set may be similar to one of another component; ``shared`` counts the shingles that stand in several components.
 
-    A common part is no larger than that, and the other set no smaller than the least of the band and 0.8 of this one.
+    A common part is no larger than that, and the other set no smaller than the least of the cluster and 0.8 of this one.
     """
     each = whole.join(rows.select("set_id", "comp").distinct(), "set_id").select("set_id", "comp", F.explode("shingles").alias("shingle"))
     several = each.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("shingle")
@@ -200,7 +195,7 @@ def bounded(rows: DataFrame, whole: DataFrame) -> DataFrame:
 
 
 def rounds(rows: DataFrame, links: DataFrame, whole: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows and links after rounds in which the sets of each band meet one of them, and those that can meet none go."""
+    """Rows and links after rounds in which the sets of each cluster meet one of them, and those that can meet none go."""
     before, step = float("inf"), 0
     while True:
         left, n = pairs_left(rows)
@@ -220,19 +215,18 @@ def rounds(rows: DataFrame, links: DataFrame, whole: DataFrame, sketches: DataFr
 def similar_links(docs: DataFrame, of: DataFrame, sets: DataFrame, width: int) -> DataFrame:
     """a, b: links that join all sets which are similar."""
     spark = docs.sparkSession
-    single = saved(of.select("set_id", "size", "bands", "sketch").dropDuplicates(["set_id"]), "sets")
-    rows = saved(single.select("set_id", "size", F.explode("bands").alias("key"), F.col("set_id").alias("comp"), F.col("size").alias("shared")), "rows")
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    first = saved(rows.join(shared, "key", "left_semi"), "bands")
-    dropped(rows)
+    single = saved(of.select("set_id", "sid", "size", "print", "sketch").dropDuplicates(["set_id"]), "sets")
+    met = segment_clusters(single.select("sid", "print"))
+    first = saved(met.join(single.select("sid", "set_id", "size"), "sid").select("set_id", "size", "key", F.col("set_id").alias("comp"), F.col("size").alias("shared")), "bands")
     wanted = saved(sets.join(first.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "first"), "wanted")
-    texts = docs.join(wanted.select("first").distinct(), F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
+    texts = docs.hint("merge").join(wanted.select("first").distinct(), F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
     whole = with_shingles(texts, width).join(wanted.select("set_id"), "set_id", "left_semi")
     whole = saved(whole.groupBy("set_id").agg(F.first("shingles").alias("shingles")), "shingles")
     dropped(wanted)
     links = spark.createDataFrame([], "a string, b string")
-    rows, links = rounds(first, links, whole, single.select("set_id", "size", "sketch"))
-    links = links.unionByName(confirmed(pairs_by_sketch(rows.join(single.select("set_id", "bands", "sketch"), "set_id")), whole))
+    sketches = single.select("set_id", "size", "sketch")
+    rows, links = rounds(first, links, whole, sketches)
+    links = links.unionByName(confirmed(pairs_by_sketch(rows, sketches), whole))
     for done in (rows, whole, single):
         dropped(done)
     return links
@@ -241,7 +235,7 @@ def similar_links(docs: DataFrame, of: DataFrame, sets: DataFrame, width: int) -
 def near_copies(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id of each document; the latter is the least id of all that similar pairs lead to, null if there is none."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    of = saved(with_bands(own, width), "sketches")
+    of = saved(with_prints(own, width), "sketches")
     sets = saved(of.groupBy("set_id").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(similar_links(own, of, sets, width))
     named = sets.join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "first", F.coalesce("root", "set_id").alias("root"))

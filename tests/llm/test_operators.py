@@ -10,7 +10,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -371,6 +370,41 @@ def test_edited_copies_of_one_text_meet_by_sketch_only(spark, monkeypatch):
     assert got == brute_copies(rows)
 
 
+def test_wide_prints_count_bits():
+    rng = np.random.default_rng(7)
+    for n in (1, 4, 14, 15, 16, 40, 41, 255, 256, 700):
+        a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        words = simhash.wide_print(a)
+        assert len(words) == simhash.RING_WORDS * (2 if n <= simhash.FEW else 1)
+        for k in (0, 3, len(words) - 1):
+            own = simhash.mixed(a + np.uint64(k + 1) * simhash._MIX[0])
+            assert int(words[k]) == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in own) > len(a))
+
+
+def test_near_copies_meet_by_simhash(spark, monkeypatch):
+    """Pairs at a similarity of 0.8 (or hardly more), the hardest: the segments of their SimHashes find all, and hardly any pair that is not one."""
+    rng = np.random.default_rng(8)
+    sets = []
+    for n in (4, 8, 20, 36, 40, 80, 200, 400):
+        for _ in range(100):
+            every = np.unique(rng.integers(0, 1 << 64, n + n // 4, dtype=np.uint64))
+            cut = len(every) // 10  # common 8 of 10 shingles
+            sets += [every[: len(every) - cut], every[cut:]] if len(every) >= 10 else [every, every[:-1]]
+    ids = [int.from_bytes(bytes.fromhex(near_copies.set_id(x)[:16]), "little", signed=True) for x in sets]
+    prints = spark.createDataFrame([(i, bytearray(simhash.wide_print(x).tobytes())) for i, x in zip(ids, sets, strict=True)], "sid long, print binary")
+    met: dict[int, set[int]] = {}
+    for key, i in simhash.segment_clusters(prints).collect():
+        met.setdefault(key, set()).add(i)
+    pairs = {(a, b) for own in met.values() for a in own for b in own if a != b}
+    assert all(p in pairs for p in zip(ids[::2], ids[1::2], strict=True))
+    assert len(pairs) < 2.1 * len(ids)
+    asked = []
+    monkeypatch.setattr(near_copies, "segment_clusters", lambda x: asked.append(1) or simhash.segment_clusters(x))
+    text = " ".join(f"w{i}" for i in range(100))
+    table = spark.createDataFrame([(0, text), (1, text.replace("w50", "other"))], "doc_id long, text string")
+    assert [r[0] for r in simhash.one_of_each(table).select("doc_id").collect()] == [0] and asked
+
+
 def test_odd_sketches_never_overstate():
     rng = np.random.default_rng(2)
     for n in (0, 1, 20, 300, 5000):
