@@ -281,6 +281,22 @@ def _compare(length: int, k: int, block_bytes: int, hot_bytes: int):
     return go
 
 
+def cut_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts with arrays of what is asked of them (a, m, lo, len, p) to a row a context with its bytes; a frame holds the contexts of many texts."""
+    for pdf in batches:
+        at, held, raws = 0, 0, []
+        for k, (text, lo, size) in enumerate(zip(pdf["text"], pdf["lo"], pdf["len"], strict=True)):
+            raw = text.encode()
+            raws += [raw[b : b + n] for b, n in zip(lo.tolist(), size.tolist(), strict=True)]
+            held += int(size.sum())
+            if held >= BLOCK_BYTES or k + 1 == len(pdf):
+                some = pdf.iloc[at : k + 1]
+                times = some["lo"].str.len().to_numpy(np.int64)
+                out = {"a": np.concatenate(some["a"].to_list()), "th": np.repeat(some["th"].to_numpy(), times), "nb": np.repeat(some["nb"].to_numpy(), times)}
+                yield pd.DataFrame(out | {c: np.concatenate(some[c].to_list()) for c in ("m", "lo", "len", "p")} | {"bytes": raws})
+                at, held, raws = k + 1, 0, []
+
+
 def repeat_spans(docs: DataFrame, length: int = LENGTH, k: int = K, text_col: str = "text", block_bytes: int = BLOCK_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """th, nb, lo, hi: spans of repeated bytes of each distinct text; they may overlap."""
     table = saved(context_table(docs, length, k, text_col), "table")
@@ -296,15 +312,11 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, k: int = K, text_col: st
     first = own.groupBy("th", "nb").agg(F.min("row").alias("row"))
     wanted = wanted.join(first, ["th", "nb"])
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for th, nb, text, parts in zip(pdf["th"], pdf["nb"], pdf["text"], pdf["parts"], strict=True):
-                raw = text.encode()
-                rows = [(p["a"], th, nb, p["m"], p["lo"], p["len"], p["p"], raw[p["lo"] : p["lo"] + p["len"]]) for p in parts]
-                yield pd.DataFrame(rows, columns=["a", "th", "nb", "m", "lo", "len", "p", "bytes"])
-
+    # a column of each field: whole arrays come to Python, not a row for each context
+    fields = ("a", "m", "lo", "len", "p")
+    asked = own.join(wanted, ["th", "nb", "row"]).select("th", "nb", "text", *[F.col(f"parts.{c}").alias(c) for c in fields])
     # rows that repeat altogether would give a context twice
-    pieces = own.join(wanted, ["th", "nb", "row"]).mapInPandas(cut, "a long, th long, nb long, m long, lo long, len int, p int, bytes binary").dropDuplicates(["a", "th", "nb", "lo"])
+    pieces = asked.mapInPandas(cut_contexts, "a long, th long, nb long, m long, lo long, len int, p int, bytes binary").dropDuplicates(["a", "th", "nb", "lo"])
     out = saved(pieces.repartition("a").sortWithinPartitions("a").mapInPandas(_compare(length, k, block_bytes, hot_bytes), "a long, th long, nb long, m long, lo long, hi long, s1 long, s2 long"), "spans")
     strings = out.where("s1 is not null")
     twice = strings.groupBy("a", "s1", "s2").agg(F.sum("m").alias("n")).where("n > 1").select("a", "s1", "s2")

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -405,6 +406,26 @@ def test_near_copies_meet_by_simhash(spark, monkeypatch):
     assert [r[0] for r in simhash.one_of_each(table).select("doc_id").collect()] == [0] and asked
 
 
+def test_line_dedup_writes_no_plan_that_turns_with_size(spark):
+    """Texts meet the keys of their lines by the same join whatever the size, so what is shuffled grows with the table."""
+    rows = [(i, f"s{i}", f"every\nown {i}") for i in range(30)]
+    out = lines.without_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    assert sorted(r[2] for r in out.collect()) == sorted(["every\nown 0"] + [f"own {i}" for i in range(1, 30)])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_contexts_are_cut_many_texts_at_once():
+    n = 500
+    texts = [f"{i:04d}" * 100 for i in range(n)]
+    each = {c: [np.array([k + i, k], np.int64) for i in range(n)] for k, c in enumerate(("a", "m", "lo", "len", "p"), 1)}
+    frames = list(repeats.cut_contexts(iter([pd.DataFrame({"th": np.arange(n), "nb": 400, "text": texts} | each)])))
+    assert len(frames) == 1  # before, a frame for each text
+    got = frames[0]
+    assert got["bytes"].tolist() == [texts[i].encode()[lo : lo + size] for i in range(n) for lo, size in zip(each["lo"][i], each["len"][i], strict=True)]
+    assert got["a"].tolist() == [x for y in each["a"] for x in y] and got["th"].tolist() == [i for i in range(n) for _ in range(2)]
+
+
 def test_odd_sketches_never_overstate():
     rng = np.random.default_rng(2)
     for n in (0, 1, 20, 300, 5000):
