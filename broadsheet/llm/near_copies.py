@@ -14,8 +14,8 @@ with every set of another component. Once rounds help no more, the sets that sha
 compared by odd sketches (a bit for each of some four times as many places as a set has shingles: whether an odd number of them falls
 there). Two sets differ in at least as many shingles as their sketches in bits, so a pair whose sketches are too far apart is not
 similar, and nothing is lost by leaving it out. Sketches are some 16 times smaller than sets. Pairs of clusters up to SMALL sets are made by a
-join; a larger one is compared in pairs of blocks of BLOCK sets, each a group of its own, that send only the pairs the bound lets pass.
-Whole sets meet for those alone. Nothing is capped: what sketches are compared in the end grows with the square of the
+join; a larger one is compared where its sketches lie, in pairs of blocks of BLOCK sets, which send only the pairs the bound lets pass, and of
+these none that meets at an earlier segment and so in another cluster: near copies share many. Whole sets meet for those alone. Nothing is capped: what sketches are compared in the end grows with the square of the
 sets of a cluster that neither rounds could join nor the bound part, what is confirmed with the pairs that are similar or nearly so. Sets
 that share a segment by chance are compared by their chains in one task a key, two words a set: that grows with the square of the
 sets, some sets * sets / 65,536 * 80 comparisons of a word.
@@ -27,6 +27,7 @@ equal to each other and similar to nothing else.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,10 +36,12 @@ from pyspark.sql import functions as F
 
 from .common import dropped, saved
 from .components import components
-from .simhash import mixed, segment_clusters, shingle_hashes, wide_print
+from .simhash import earlier_in_run, met_before, mixed, prefixes, segment_clusters, shingle_hashes, whole_groups, wide_print
 
-#: Sets of a cluster whose pairs are made by a join, of a block of a larger one, and 64-bit words of sketches that are compared at once.
-SMALL, BLOCK, WORDS = 32, 512, 2_000_000
+#: Sets of a cluster whose pairs are made by a join (at most two and a half a row), of a block of a larger one; pairs and 64-bit words of sketches that are compared at once.
+SMALL, BLOCK, PAIRS, WORDS = 6, 512, 500_000, 2_000_000
+#: What rows of two blocks of a cluster have in common.
+DEALT = ["key", "low", "high"]
 #: Rounds go on while the pairs left outnumber the rows by so much, and the last round took at least this share of them.
 MANY, TAKEN = 40, 0.5
 
@@ -93,53 +96,75 @@ def close_sizes(a: str, b: str):
 
 
 def bounded_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sketches (set_id, size, sketch) do not rule out that they are similar; sketches of other sizes tell nothing here."""
-    of = lambda c: sketches.select(F.col("set_id").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"of_{c}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    far = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return both.where((F.size("of_a") != F.size("of_b")) | (9 * far <= F.col("size_a") + F.col("size_b"))).select("a", "b")
-
-
-def near_pairs(own: pd.DataFrame) -> pd.DataFrame:
-    """a, b: of the sets of two blocks of one cluster (or of one block), the pairs that may be similar and have no component in common."""
-    across = own["low"].iloc[0] != own["high"].iloc[0]
-    size, shared, block = (own[c].to_numpy(np.int64) for c in ("size", "shared", "block"))
-    comp, ids = pd.factorize(own["comp"])[0], own["set_id"].to_numpy()
-    words = own["sketch"].str.len().to_numpy()
-    found = []
-    for few in np.unique(words):
-        left = np.flatnonzero(words == few)
-        for many in np.unique(words[words >= few]):
-            right = np.flatnonzero(words == many)
-            x, y = np.stack(own["sketch"].iloc[left].to_list()).view(np.uint64), folded(np.stack(own["sketch"].iloc[right].to_list()).view(np.uint64), few)
-            step = max(1, WORDS // (len(right) * int(few)))
-            for at in range(0, len(left), step):
-                i, j = left[at : at + step, None], right[None, :]
-                total = size[i] + size[j]
-                may = (5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j])) & (9 * np.minimum(shared[i], shared[j]) >= 4 * total) & (comp[i] != comp[j])
-                may &= (block[i] != block[j]) if across else True
-                may &= (i < j) if few == many else True
-                if may.any():
-                    far = np.bitwise_count(x[at : at + step, None, :] ^ y[None, :, :]).sum(-1, dtype=np.int64)
-                    a, b = np.nonzero(may & (9 * far <= total))
-                    found.append((i[a, 0], right[b]))
-    if not found:
-        return pd.DataFrame({"a": [], "b": []}, dtype=object)
-    a, b = (ids[np.concatenate(v)] for v in zip(*found, strict=True))
-    return pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a)}, dtype=object)
+    """a, b: set ids of the pairs (sids a, b, and most: what they can have in common) whose sizes and sketches (sid, set_id, size, sketch) do not rule out that they are similar.
+
+    Sketches of other sizes tell nothing here.
+    """
+    of = lambda c: sketches.select(F.col("sid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("set_id", "size", "sketch")])
+    both = pairs.join(of("a"), "a").join(of("b"), "b").where(close_sizes("size_a", "size_b") & (9 * F.col("most") >= 4 * (F.col("size_a") + F.col("size_b"))))
+    far = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    near = both.where((F.size("sketch_a") != F.size("sketch_b")) | (9 * far <= F.col("size_a") + F.col("size_b")))
+    return near.select(F.least("set_id_a", "set_id_b").alias("a"), F.greatest("set_id_a", "set_id_b").alias("b"))
+
+
+def sketches_near(sketches: pd.Series, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the sketches of rows a and b do not rule out that their sets are similar."""
+    words, place, near = sketches.str.len().to_numpy(), np.zeros(len(sketches), np.int64), np.zeros(len(a), bool)
+    stacked = {}
+    for own in np.unique(words):
+        rows = np.flatnonzero(words == own)
+        stacked[own], place[rows] = np.stack(sketches.iloc[rows].to_list()).view(np.uint64), np.arange(len(rows))
+    for one in stacked:
+        for other in stacked:
+            pairs = np.flatnonzero((words[a] == one) & (words[b] == other))
+            few = min(one, other)
+            x, y = folded(stacked[one], few), folded(stacked[other], few)
+            step = max(1, WORDS // int(few))
+            for at in range(0, len(pairs), step):
+                some = pairs[at : at + step]
+                far = np.bitwise_count(x[place[a[some]]] ^ y[place[b[some]]]).sum(-1, dtype=np.int64)
+                near[some] = 9 * far <= size[a[some]] + size[b[some]]
+    return near
+
+
+def near_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """a, b: of rows in order of DEALT (two blocks of one cluster, or one block), the pairs of different components that may be similar.
+
+    A pair that meets at a segment before its cluster's first place is left to the cluster it shares there, so it hardly ever comes twice.
+    """
+    for own in whole_groups(batches, DEALT):
+        begin = np.flatnonzero(np.append(True, (own[DEALT].iloc[1:].to_numpy() != own[DEALT].iloc[:-1].to_numpy()).any(axis=1)))
+        size, shared, block, place = (own[c].to_numpy(np.int64) for c in ("size", "shared", "block", "place"))
+        across, comp, ids = (own["low"] != own["high"]).to_numpy(), pd.factorize(own["comp"])[0], own["set_id"].to_numpy()
+        first = prefixes(own["first"])
+        for a, b in earlier_in_run(begin, len(own), PAIRS):
+            total = size[a] + size[b]
+            may = (5 * np.minimum(size[a], size[b]) >= 4 * np.maximum(size[a], size[b])) & (9 * np.minimum(shared[a], shared[b]) >= 4 * total)
+            may &= (comp[a] != comp[b]) & (~across[a] | (block[a] != block[b]))
+            a, b = a[may], b[may]
+            near = sketches_near(own["sketch"], size, a, b)
+            a, b = a[near], b[near]
+            new = ~met_before(first, a, b, place[a])
+            if new.any():
+                x, y = ids[a[new]], ids[b[new]]
+                yield pd.DataFrame({"a": np.where(x < y, x, y), "b": np.where(x < y, y, x)}, dtype=object)
 
 
 def pairs_by_sketch(rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    """a, b of all clusters, once each; ``rows``: key, set_id, size, shared, comp, ``sketches``: set_id, size, sketch."""
-    sized = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key")
-    few = sized.where(F.col("n") <= SMALL)
-    other = few.select("key", *[F.col(c).alias(f"other_{c}") for c in ("set_id", "size", "shared", "comp")])
-    pairs = few.join(other, "key").where((F.col("set_id") < F.col("other_set_id")) & (F.col("comp") != F.col("other_comp")) & may_be("other_"))
-    pairs = bounded_pairs(pairs.select(F.col("set_id").alias("a"), F.col("other_set_id").alias("b")).distinct(), sketches)
-    many = sized.where(F.col("n") > SMALL).join(sketches.select("set_id", "sketch"), "set_id").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    dealt = many.withColumn("block", F.pmod(F.xxhash64("set_id", "key"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("key", "set_id", "size", "shared", "comp", "sketch", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
-    return pairs.unionByName(dealt.groupBy("key", "low", "high").applyInPandas(near_pairs, "a string, b string")).distinct()
+    """a, b of all clusters, once each; ``rows``: key, sid, comp, shared, place, n (sets of the cluster, or more), ``sketches``: sid, set_id, size, sketch, print."""
+    rows = rows.select("key", "sid", "comp", "shared", "place", "n")
+    few = rows.where(F.col("n") <= SMALL).select("key", "sid", "comp", "shared")
+    other = few.select("key", *[F.col(c).alias(f"other_{c}") for c in ("sid", "comp", "shared")])
+    pairs = few.join(other, "key").where((F.col("sid") < F.col("other_sid")) & (F.col("comp") != F.col("other_comp")))
+    pairs = bounded_pairs(pairs.select(F.col("sid").alias("a"), F.col("other_sid").alias("b"), F.least("shared", "other_shared").alias("most")).distinct(), sketches)
+    many = rows.where(F.col("n") > SMALL)
+    one = many.where(F.col("n") <= BLOCK).withColumns({c: F.lit(0) for c in ("block", "low", "high")})
+    more = many.where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    more = more.withColumn("block", F.pmod(F.xxhash64("sid", "key"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
+    more = more.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
+    dealt = one.unionByName(more.select(one.columns)).join(sketches.select("sid", "set_id", "size", "sketch", "print"), "sid")
+    dealt = dealt.select(*DEALT, "set_id", "size", "shared", "comp", "block", "place", "sketch", F.expr("substring(print, 1, 2 * place + 8)").alias("first"))
+    return pairs.unionByName(dealt.repartition(*DEALT).sortWithinPartitions(*DEALT).mapInPandas(near_pairs, "a string, b string")).distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -195,15 +220,20 @@ def bounded(rows: DataFrame, whole: DataFrame) -> DataFrame:
 
 
 def rounds(rows: DataFrame, links: DataFrame, whole: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows and links after rounds in which the sets of each cluster meet one of them, and those that can meet none go."""
+    """Rows and links after rounds in which the sets of each cluster meet one of them, and those that can meet none go.
+
+    Rows without set_id and size get them for the first round; without one they do without.
+    """
     before, step = float("inf"), 0
     while True:
         left, n = pairs_left(rows)
         if left <= MANY * n or left > (1 - TAKEN) * before:
             return rows, links
-        drawn = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("set_id", F.lit(step)), "set_id", "size", "comp", "shared")).alias("one"))
+        if "size" not in rows.columns:
+            rows = rows.drop("comp", "shared").join(sketches.select("sid", "set_id", "size"), "sid").withColumns({"comp": F.col("set_id"), "shared": F.col("size")})
+        drawn = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("set_id", F.lit(step)), "sid", "size", "comp", "shared")).alias("one"))
         pairs = rows.join(drawn, "key").where((F.col("comp") != F.col("one.comp")) & may_be("one."))
-        pairs = pairs.select(F.least("set_id", "one.set_id").alias("a"), F.greatest("set_id", "one.set_id").alias("b")).distinct()
+        pairs = pairs.select(F.least("sid", "one.sid").alias("a"), F.greatest("sid", "one.sid").alias("b"), F.least("shared", "one.shared").alias("most")).distinct()
         new = confirmed(bounded_pairs(pairs, sketches), whole)
         links, before, step = links.unionByName(new), left, step + 1
         joined = with_component(rows, links)
@@ -216,18 +246,18 @@ def similar_links(docs: DataFrame, of: DataFrame, sets: DataFrame, width: int) -
     """a, b: links that join all sets which are similar."""
     spark = docs.sparkSession
     single = saved(of.select("set_id", "sid", "size", "print", "sketch").dropDuplicates(["set_id"]), "sets")
-    met = segment_clusters(single.select("sid", "print"))
-    first = saved(met.join(single.select("sid", "set_id", "size"), "sid").select("set_id", "size", "key", F.col("set_id").alias("comp"), F.col("size").alias("shared")), "bands")
-    wanted = saved(sets.join(first.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "first"), "wanted")
+    met = saved(segment_clusters(single.select("sid", "print")).select("key.*", "sid"), "bands")
+    first = met.withColumns({"comp": F.col("sid").cast("string"), "shared": F.lit((1 << 31) - 1).cast("long")})  # nothing is joined, and no bound known
+    own = single.join(met.select("sid").distinct(), "sid", "left_semi").select("set_id")
+    wanted = saved(sets.join(own, "set_id", "left_semi").select("set_id", "first"), "wanted")
     texts = docs.hint("merge").join(wanted.select("first").distinct(), F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
     whole = with_shingles(texts, width).join(wanted.select("set_id"), "set_id", "left_semi")
     whole = saved(whole.groupBy("set_id").agg(F.first("shingles").alias("shingles")), "shingles")
     dropped(wanted)
     links = spark.createDataFrame([], "a string, b string")
-    sketches = single.select("set_id", "size", "sketch")
-    rows, links = rounds(first, links, whole, sketches)
-    links = links.unionByName(confirmed(pairs_by_sketch(rows, sketches), whole))
-    for done in (rows, whole, single):
+    rows, links = rounds(first, links, whole, single)
+    links = links.unionByName(confirmed(pairs_by_sketch(rows, single), whole))
+    for done in (met, rows, whole, single):
         dropped(done)
     return links
 

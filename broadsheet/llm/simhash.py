@@ -369,26 +369,32 @@ def segment_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"key": key.ravel().astype(np.int32), "sid": np.repeat(sid, m), "chain": chain.ravel().view(np.int64)})
 
 
-def _clusters(key: np.ndarray, sid: np.ndarray, chain: np.ndarray) -> pd.DataFrame | None:
-    """cluster, sid: of rows in order of their key, those that are joined under a key by chains within CHAIN_BITS. A cluster is named by its members."""
-    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    run = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(key))))
-    partners = np.arange(len(key)) - begin[run]
+def earlier_in_run(begin: np.ndarray, n: int, most: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """a, b: each of n rows with all that stand before it in its run (``begin``: the runs' first rows), about ``most`` pairs at once."""
+    first = np.repeat(begin, np.diff(np.append(begin, n)))
+    partners = np.arange(n) - first
     rows = np.flatnonzero(partners)
     upto = np.cumsum(partners[rows])
-    found_a, found_b, at = [], [], 0
+    at = 0
     while at < len(rows):
-        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
-        n = partners[rows[at:end]]
-        a = np.repeat(rows[at:end], n)
-        b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + begin[run[a]]
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        some = rows[at:end]
+        a = np.repeat(some, partners[some])
+        yield a, np.arange(len(a)) - np.repeat(np.cumsum(partners[some]) - partners[some], partners[some]) + first[a]
+        at = end
+
+
+def _clusters(key: np.ndarray, sid: np.ndarray, chain: np.ndarray) -> pd.DataFrame | None:
+    """cluster, sid, place, n (the cluster's sets): of rows in order of their key, those that are joined under a key by chains within CHAIN_BITS. A cluster is named by its members."""
+    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    found_a, found_b = [], []
+    for a, b in earlier_in_run(begin, len(key)):
         near = np.flatnonzero(np.bitwise_count(chain[a] ^ chain[b]) <= CHAIN_BITS)
         if len(near):
             used, ends = np.unique(np.concatenate([a[near], b[near]]), return_inverse=True)
             node, root = forest(ends[: len(near)], ends[len(near) :], len(used))
             found_a.append(used[node])
             found_b.append(used[root])
-        at = end
     if not found_a:
         return None
     a, b = np.concatenate(found_a), np.concatenate(found_b)
@@ -400,41 +406,71 @@ def _clusters(key: np.ndarray, sid: np.ndarray, chain: np.ndarray) -> pd.DataFra
     head = np.flatnonzero(np.append(True, np.diff(label[order]) > 0))
     ids = sid[used[order]]
     names = np.add.reduceat(mixed(ids.view(np.uint64)), head)
-    return pd.DataFrame({"cluster": np.repeat(names, np.diff(np.append(head, len(ids)))).view(np.int64), "sid": ids})
+    n = np.diff(np.append(head, len(ids)))
+    return pd.DataFrame({"cluster": np.repeat(names, n).view(np.int64), "sid": ids, "place": (key[used[order]] >> 16).astype(np.int32), "n": np.repeat(n, n)})
 
 
-def clusters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of ``segment_rows`` in order of their key to ``_clusters``; what is held is two words a row of the last key."""
+def whole_groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows in order of ``by`` in frames that end where a group ends."""
     held: list[pd.DataFrame] = []
-
-    def told(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if sum(map(len, parts)) > 1:
-            pdf = pd.concat(parts, ignore_index=True)
-            out = _clusters(pdf["key"].to_numpy(), pdf["sid"].to_numpy(np.int64), pdf["chain"].to_numpy(np.int64).view(np.uint64))
-            if out is not None:
-                yield out
-
     for pdf in batches:
-        tail = (pdf["key"] == pdf["key"].iloc[-1]).to_numpy() if len(pdf) else None
-        if tail is None:
+        if not len(pdf):
             continue
-        if tail.all() and held and held[-1]["key"].iloc[-1] == pdf["key"].iloc[0]:
+        last = pdf[by].iloc[-1]
+        tail = (pdf[by] == last).all(axis=1).to_numpy()
+        if tail.all() and held and (held[-1][by].iloc[-1] == last).all():
             held.append(pdf)
             continue
-        yield from told([*held, pdf[~tail]])
+        if held or not tail.all():
+            yield pd.concat([*held, pdf[~tail]], ignore_index=True)
         held = [pdf[tail]]
-    yield from told(held)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def clusters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of ``segment_rows`` in order of their key to ``_clusters``; what is held is two words a row of the last key."""
+    for pdf in whole_groups(batches, ["key"]):
+        out = _clusters(pdf["key"].to_numpy(), pdf["sid"].to_numpy(np.int64), pdf["chain"].to_numpy(np.int64).view(np.uint64))
+        if out is not None:
+            yield out
+
+
+def prefixes(prints: pd.Series) -> np.ndarray:
+    """First segments of wide fingerprints (bytes), a row each; ``met_before`` looks at no segment beyond the shorter of two."""
+    length = prints.str.len().to_numpy()
+    out = np.zeros((len(prints), int(length.max(initial=0)) // 2), "<u2")
+    for own in np.unique(length):
+        rows = np.flatnonzero(length == own)
+        out[rows, : own // 2] = np.frombuffer(b"".join(prints.iloc[rows]), "<u2").reshape(len(rows), -1)
+    return out
+
+
+def met_before(first: np.ndarray, a: np.ndarray, b: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether rows a and b of ``first`` (``prefixes`` that reach four segments beyond ``place``, or to the ring's end) meet at a segment before ``place``."""
+    m, before = 4 * RING_WORDS, np.zeros(len(a), bool)
+    step = max(1, PAIRS // max(1, first.shape[1]))
+    for at in range(0, len(a), step):
+        some = slice(at, at + step)
+        far = np.bitwise_count(first[a[some]] ^ first[b[some]])
+        for ring in range(0, far.shape[1], m):
+            own = far[:, ring : ring + m]
+            around = np.concatenate([own, np.zeros((len(own), m - own.shape[1]), np.uint8), own[:, :4]], axis=1)[:, : own.shape[1] + 4]
+            chain = sum(around[:, k : k + own.shape[1]] for k in range(1, 5))
+            before[some] |= ((own == 0) & (chain <= CHAIN_BITS) & (ring + np.arange(own.shape[1]) < place[some, None])).any(axis=1)
+    return before
 
 
 def segment_clusters(prints: DataFrame) -> DataFrame:
-    """key, sid: the sets (long sid, binary print: ``wide_print``) that meet, by clusters; each set of members once.
+    """key, sid: the sets (long sid, binary print: ``wide_print``) that meet, by clusters; each set of members once. ``key`` tells a cluster's key, first place and n, the sets in it.
 
     A pair meets if some segment is equal and the chain of the four behind it differs in at most CHAIN_BITS bits. A cluster holds all
     that such pairs join under one segment, so its rows grow with its members, not with their pairs.
     """
     rows = prints.mapInPandas(segment_rows, "key int, sid long, chain long")
-    met = rows.repartition("key").sortWithinPartitions("key").mapInPandas(clusters, "cluster long, sid long")
-    return met.distinct().withColumnRenamed("cluster", "key")
+    met = rows.repartition("key").sortWithinPartitions("key").mapInPandas(clusters, "cluster long, sid long, place int, n long")
+    met = met.groupBy("cluster", "sid").agg(F.min("place").alias("place"), F.max("n").alias("n"))
+    return met.select(F.struct(F.col("cluster").alias("key"), "place", "n").alias("key"), "sid")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

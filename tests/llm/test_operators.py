@@ -406,6 +406,40 @@ def test_near_copies_meet_by_simhash(spark, monkeypatch):
     assert [r[0] for r in simhash.one_of_each(table).select("doc_id").collect()] == [0] and asked
 
 
+def test_pairs_of_edited_copies_leave_their_clusters_once(spark):
+    """Edited copies of one text share many segments of their SimHashes: a pair that may be similar is listed for one of them, and none is lost."""
+    rng = random.Random(9)
+    sets = {}
+    for words in (200, 30):  # 30: sets of two rings
+        base = [f"w{rng.randrange(5000)}" for _ in range(words)]
+        for i in range(250):
+            own = list(base)
+            for at in rng.sample(range(words), 1 + words // 70):
+                own[at] = f"x{i}.{at}"
+            s = near_copies.shingle_set(" ".join(own), 5)
+            sets[int.from_bytes(bytes.fromhex(near_copies.set_id(s)[:16]), "little", signed=True)] = s
+    prints = {i: simhash.wide_print(s).astype("<u8").tobytes() for i, s in sets.items()}
+    met = simhash.segment_clusters(spark.createDataFrame([(i, bytearray(x)) for i, x in prints.items()], "sid long, print binary")).select("key.*", "sid").toPandas()
+    assert (met["n"] == met.groupby("key")["sid"].transform("size")).all() and not met.duplicated(["key", "sid"]).any()
+    rows = pd.DataFrame({"key": met["key"], "low": 0, "high": 0, "block": 0, "place": met["place"], "set_id": met["sid"].map(str), "comp": met["sid"].map(str), "shared": 1 << 30})
+    rows["size"] = met["sid"].map(lambda i: len(sets[i]))
+    rows["sketch"] = met["sid"].map(lambda i: near_copies.odd_sketch(sets[i]))
+    rows["first"] = [prints[i][: 2 * p + 8] for i, p in zip(met["sid"], met["place"], strict=True)]
+    rows = rows.sort_values(near_copies.DEALT, kind="stable", ignore_index=True)
+    got = pd.concat(list(near_copies.near_pairs(rows.iloc[at : at + 1000] for at in range(0, len(rows), 1000))))
+    together = {tuple(sorted((a, b))) for own in rows.groupby("key")["set_id"].agg(list) for a in own for b in own if a != b}
+    one = rows.drop_duplicates("set_id").set_index("set_id")
+
+    def may(a, b):
+        x, y = (one.at[i, "sketch"].view(np.uint64)[None] for i in (a, b))
+        few, p, q = min(x.shape[1], y.shape[1]), one.at[a, "size"], one.at[b, "size"]
+        return 5 * min(p, q) >= 4 * max(p, q) and 9 * int(np.bitwise_count(near_copies.folded(x, few) ^ near_copies.folded(y, few)).sum()) <= p + q
+
+    want = {p for p in together if may(*p)}
+    assert set(zip(got["a"], got["b"], strict=True)) == want and len(want) > 500
+    assert len(got) < 1.1 * len(want)  # before, once for each segment that both share
+
+
 def test_line_dedup_writes_no_plan_that_turns_with_size(spark):
     """Texts meet the keys of their lines by the same join whatever the size, so what is shuffled grows with the table."""
     rows = [(i, f"s{i}", f"every\nown {i}") for i in range(30)]
