@@ -416,14 +416,13 @@ def whole_groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.
     for pdf in batches:
         if not len(pdf):
             continue
-        last = pdf[by].iloc[-1]
-        tail = (pdf[by] == last).all(axis=1).to_numpy()
-        if tail.all() and held and (held[-1][by].iloc[-1] == last).all():
+        begin = len(pdf) - int(np.logical_and.reduce([pdf[c].to_numpy() == pdf[c].iat[-1] for c in by]).sum())  # of the last group
+        if not begin and held and all(held[-1][c].iat[-1] == pdf[c].iat[-1] for c in by):
             held.append(pdf)
             continue
-        if held or not tail.all():
-            yield pd.concat([*held, pdf[~tail]], ignore_index=True)
-        held = [pdf[tail]]
+        if held or begin:
+            yield pd.concat([*held, pdf.iloc[:begin]], ignore_index=True)
+        held = [pdf.iloc[begin:]]
     if held:
         yield pd.concat(held, ignore_index=True)
 
