@@ -66,7 +66,7 @@ def c11_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """leader, tier (0 copies, 1 release family; null: alone), n_members, first, last: what each leader, newest first, takes."""
     own = reports(spark, sf_dir).where(F.col("published") <= AS_OF).select("item", "published")
     leaders = own.select(((AS_OF - F.col("published")) * 1_000_000_000_000 + F.col("item")).alias("rank"), F.col("item").alias("leader"))
-    copies = copy_cohorts(reports(spark, sf_dir), AS_OF).select(F.concat(F.lit("0:"), F.col("leader").cast("string")).alias("option"), "item")
+    copies = copy_cohorts(reports(spark, sf_dir), AS_OF, most=None).select(F.concat(F.lit("0:"), F.col("leader").cast("string")).alias("option"), "item")
     lines = families(_released(spark, sf_dir), AS_OF).select(F.concat(F.lit("1:"), F.col("leader").cast("string")).alias("option"), "item")
     both = written(copies.unionByName(lines))  # offers and members are both made of it
     tier = F.substring("option", 1, 1).cast("int")
