@@ -26,7 +26,7 @@ def _listed(rows: DataFrame) -> DataFrame:
 
 
 def c3_copy_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _listed(copy_cohorts(reports(spark, sf_dir), AS_OF))
+    return _listed(copy_cohorts(reports(spark, sf_dir), AS_OF, most=None))
 
 
 def e3_near_titles(spark: SparkSession, sf_dir: str) -> DataFrame:

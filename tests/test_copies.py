@@ -101,6 +101,12 @@ def common_title(spark, tmp_path_factory):
     return folder, {leader: [item for _, item in sorted(members)] for leader, members in cohorts.items()}
 
 
+def test_c3_lists_copies_under_a_common_title(spark, common_title):
+    folder, cohorts = common_title
+    got = {r.leader: (r.n_members, r.members) for r in registry.queries()["c3_copy_cohorts"](spark, folder).collect()}
+    assert got == {leader: (len(m), ",".join(map(str, m))) for leader, m in cohorts.items()} and len(got) > 5
+
+
 def test_c11_groups_copies_under_a_common_title(spark, common_title):
     folder, cohorts = common_title
     got = rows_of(registry.queries()["c11_groups"](spark, folder).where("tier = 0").select("n_members", "first", "last"))
