@@ -170,7 +170,8 @@ def copy_cohorts(reports: DataFrame, as_of: int, most: int | None = MOST) -> Dat
     fits = (~F.col("kind").isin("release", "discussion")) & (F.col("published") <= as_of)
     titled = reports.where(fits).withColumn("copy_key", copy_key(F.col("title")))
     looked = F.col("copy_key").isNotNull() & (F.col("n") >= 2)
-    titles = titled.groupBy("copy_key").agg(F.count("*").alias("n")).where(looked if most is None else looked & (F.col("n") <= most)).select("copy_key")
+    # a table of its own: so the reports of one title are dealt to several tasks where they are many
+    titles = written(titled.groupBy("copy_key").agg(F.count("*").alias("n")).where(looked if most is None else looked & (F.col("n") <= most)).select("copy_key"))
     # texts are dear to take apart: only those of titles that may be copies are, each once, and what is left of them is written
     denials = lambda t: F.concat_ws(",", F.transform(negations(t), lambda n: n.cast("string")))
     parts = lambda t: F.struct(letters(t).alias("plain"), F.concat_ws(",", numbers(t)).alias("figures"), denials(t).alias("denials"))
