@@ -104,8 +104,9 @@ def copy_links(texts: DataFrame) -> DataFrame:
     size = F.length("plain").alias("size")
     # a hash of both: texts that do not meet may share one, and are told apart below
     each = written(texts.select("no", "meets", "grams", size, F.explode("marks").alias("mark")).select("no", "grams", "size", F.xxhash64("meets", "mark").alias("mark")))
-    counts = each.groupBy("mark").agg(F.count("*").alias("n"))
-    rarest = each.join(counts, "mark").groupBy("no", "grams", "size").agg(F.min(F.struct("n", "mark")).alias("r")).where("r.n > 1").select("no", "grams", "size", F.col("r.mark").alias("mark"))
+    # tables of their own, here and below: so what many texts have in common is dealt to several tasks
+    counts = written(each.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1"))
+    rarest = each.join(counts, "mark", "left").groupBy("no", "grams", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "mark")).alias("r")).where("r.n > 1").select("no", "grams", "size", F.col("r.mark").alias("mark"))
     other = each.select(F.col("no").alias("other"), F.col("grams").alias("other_grams"), F.col("size").alias("other_size"), "mark")
     held = written(rarest.join(other, "mark").where("size < other_size and grams <= other_grams and 4 * grams >= 3 * other_grams").select("no", "other"))
     of = lambda p: [F.col(c).alias(p + c) for c in ("no", "meets", "plain", "first", "last")]
@@ -170,7 +171,6 @@ def copy_cohorts(reports: DataFrame, as_of: int, most: int | None = MOST) -> Dat
     fits = (~F.col("kind").isin("release", "discussion")) & (F.col("published") <= as_of)
     titled = reports.where(fits).withColumn("copy_key", copy_key(F.col("title")))
     looked = F.col("copy_key").isNotNull() & (F.col("n") >= 2)
-    # a table of its own: so the reports of one title are dealt to several tasks where they are many
     titles = written(titled.groupBy("copy_key").agg(F.count("*").alias("n")).where(looked if most is None else looked & (F.col("n") <= most)).select("copy_key"))
     # texts are dear to take apart: only those of titles that may be copies are, each once, and what is left of them is written
     denials = lambda t: F.concat_ws(",", F.transform(negations(t), lambda n: n.cast("string")))
@@ -181,7 +181,7 @@ def copy_cohorts(reports: DataFrame, as_of: int, most: int | None = MOST) -> Dat
     own = written(own.select("item", "published", meets.alias("meets"), F.sha2("plain", 256).alias("text"), "plain"))
     rows = own.select("item", "published", "meets", "text")
     each = rows.groupBy("meets", "text").agg(F.count("*").alias("n"), F.min("published").alias("first"), F.max("published").alias("last"))
-    partners = each.groupBy("meets").agg(F.sum("n").alias("reports"), (F.count("*") > 1).alias("several")).where("reports > 1").select("meets", "several")
+    partners = written(each.groupBy("meets").agg(F.sum("n").alias("reports"), (F.count("*") > 1).alias("several")).where("reports > 1").select("meets", "several"))
     meet = each.join(partners, "meets").join(own.groupBy("meets", "text").agg(F.any_value("plain").alias("plain")), ["meets", "text"])
     texts = written(measured(meet).withColumn("no", F.monotonically_increasing_id()))
     links = copy_links(texts.where("several"))
